@@ -53,3 +53,23 @@ def repeated_words(docs: list[tuple[int, str | None]], window: int = 20) -> dict
                 gone[i : i + window] = [True] * window
         out[d] = gone
     return out
+
+
+def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
+    import re
+
+    text = text or ""
+    assign = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    return {
+        "assign": [m.span() for m in assign.finditer(text) if len(m[2]) >= 6],
+        "access": [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20],
+        "hex": [m.span() for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24],
+    }
+
+
+def base_digest(text: str | None) -> tuple[int, int, int, str]:
+    import hashlib
+
+    found = base_spans(text)
+    listed = sorted((a, i, b, k) for i, k in enumerate(("assign", "access", "hex")) for a, b in found[k])
+    return (*(len(found[k]) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in listed).encode()).hexdigest())

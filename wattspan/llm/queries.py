@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wattspan.llm.exact_dedup import exact_duplicates
 from wattspan.llm.near_dedup import near_duplicates
 from wattspan.llm.packing import pack_documents
+from wattspan.llm.secrets import digest, scan_secrets
 
 _SQL: dict[str, str] = {}
 
@@ -36,6 +37,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(_table(spark, sf_dir, "documents")))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
