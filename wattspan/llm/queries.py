@@ -12,6 +12,7 @@ from wattspan.llm.exact_dedup import exact_duplicates
 from wattspan.llm.near_dedup import near_duplicates
 from wattspan.llm.packing import pack_documents
 from wattspan.llm.secrets import digest, scan_secrets
+from wattspan.llm.substring_dedup import repeated_spans
 from wattspan.llm.toxicity import fit_toxicity, score_toxicity
 
 _SQL: dict[str, str] = {}
@@ -46,6 +47,10 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
