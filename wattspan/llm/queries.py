@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wattspan.llm.exact_dedup import exact_duplicates
+from wattspan.llm.line_dedup import dedup_lines
 from wattspan.llm.near_dedup import near_duplicates
 from wattspan.llm.packing import pack_documents
 from wattspan.llm.secrets import digest, scan_secrets
@@ -63,6 +64,31 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_table(spark, sf_dir, "documents"), run=2)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_SQL["op10_line_dedup"] = """
+WITH s AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM s
+), w AS (
+  SELECT doc_id, pos, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l
+), r AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS n
+  FROM w WHERE regexp_matches(run, '[^ \t\r\n]')
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS pos FROM r CROSS JOIN (VALUES (0), (1)) AS t(k) WHERE n > 1
+)
+SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos
+GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
