@@ -13,6 +13,7 @@ from wattspan.llm.line_dedup import dedup_lines
 from wattspan.llm.near_dedup import near_duplicates
 from wattspan.llm.packing import pack_documents
 from wattspan.llm.secrets import digest, scan_secrets
+from wattspan.llm.sentencepiece import encode_digests
 from wattspan.llm.substring_dedup import repeated_spans
 from wattspan.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -27,6 +28,10 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), learn=_fold(5) != 0)
