@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wattspan.llm.exact_dedup import exact_duplicates
+from wattspan.llm.language_id import fit_language_id, identify_languages
 from wattspan.llm.line_dedup import dedup_lines
 from wattspan.llm.near_dedup import near_duplicates
+from wattspan.llm.nearest import nearest_neighbours
 from wattspan.llm.packing import pack_documents
 from wattspan.llm.secrets import digest, scan_secrets
 from wattspan.llm.sentencepiece import encode_digests
@@ -53,10 +55,20 @@ FROM d JOIN g ON d.norm = g.norm
 """
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_language_id(docs, learn=_fold(4) != 2)
+    return identify_languages(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
