@@ -23,7 +23,13 @@ ORM_MARKERS = (
 _ORM = r"(?i)(^|[^a-z0-9])(" + "|".join(ORM_MARKERS) + r")([^a-z0-9]|$)"
 _PLACEHOLDER = r"\?|%s|(^|[^@])@[A-Za-z_]|(^|[^:]):[A-Za-z_]|\$\d"
 
-IDENTITY = F.get("grouping", 0)
+
+
+def _identity(half: str) -> Column:
+    """Key or value of the first grouping attribute; the empty string stands for none, so keys join and group null-safely."""
+    return F.coalesce(F.get("grouping", 0)[half], F.lit(""))
+
+
 FINDING = (
     "type", "severity", "severity_ord", "type_ord", "trace_id", "service", "grouping", "source_endpoint", "pattern", "suggestion",
     "first_timestamp", "last_timestamp", "classification_method", "code_location", "instrumentation_scopes", "evidence",
@@ -32,7 +38,7 @@ FINDING = (
 
 def _keyed(normalized: DataFrame) -> DataFrame:
     """Spans with their grouping identity as two columns that group and join null-safely."""
-    return normalized.withColumns({"gk": F.coalesce(IDENTITY["key"], F.lit("")), "gv": F.coalesce(IDENTITY["value"], F.lit(""))})
+    return normalized.withColumns({"gk": _identity("key"), "gv": _identity("value")})
 
 
 def nearest_rank(sorted_values: Column, percent: int) -> Column:
@@ -134,7 +140,7 @@ def detect_n_plus_one(normalized: DataFrame, threshold: int = _D.n_plus_one, win
 
 def _redundant_groups(normalized: DataFrame, n_plus_one: DataFrame) -> DataFrame:
     keyed = _keyed(normalized).filter("event_type <> 'messaging'")
-    fired = n_plus_one.select("trace_id", F.col("pattern.template").alias("template"), F.coalesce(IDENTITY["key"], F.lit("")).alias("gk"), F.coalesce(IDENTITY["value"], F.lit("")).alias("gv")).distinct()
+    fired = n_plus_one.select("trace_id", F.col("pattern.template").alias("template"), _identity("key").alias("gk"), _identity("value").alias("gv")).distinct()
     groups = keyed.groupBy(*_GROUP, F.to_json("params").alias("same")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative())
     return groups.filter("n >= 2").join(fired, ["trace_id", "template", "gk", "gv"], "left_anti")
 
