@@ -45,7 +45,7 @@ def period_totals(windows: DataFrame) -> DataFrame:
 def attribute_services(windows: DataFrame, max_services: int = 4096) -> DataFrame:
     """Requests, ops, energy and grams of each service. Windows with energy by service give it as it is; those with ops by
     service share out energy and grams by ops; others go to one unattributed row. Requests always go by ops."""
-    n = F.size(F.coalesce("per_service", F.array().cast("array<struct<service:string>>")))
+    n = F.when(F.col("per_service").isNull(), 0).otherwise(F.size("per_service"))
     grams = F.coalesce("operational_g", F.lit(0.0))
     total = F.aggregate("per_service", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["io_ops"], F.lit(0)))
     each = windows.filter(n > 0).select("requests", window_energy().alias("w_kwh"), grams.alias("w_g"), total.alias("w_ops"), F.exists("per_service", lambda x: x["energy_kwh"].isNotNull()).alias("runtime"), F.explode("per_service").alias("s"))

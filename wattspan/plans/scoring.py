@@ -143,10 +143,10 @@ def _summary(spark, sf_dir):
 def _events(spark, sf_dir) -> DataFrame:
     """Energy samples from the events: one a row, of eight services."""
     (events,) = read_tables(spark, sf_dir, "events")
-    return events.select(F.concat(F.lit("svc-"), F.col("user_id") % 8).alias("service"), F.unix_millis("ts").alias("ts_ms"), F.abs("value").alias("watts"), F.col("event_id").alias("id"))
+    return events.select(F.concat(F.lit("svc-"), F.col("user_id") % 8).alias("service"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.abs("value").alias("watts"), F.col("event_id").alias("id"))
 
 
-_EVENTS = "WITH p AS (SELECT 'svc-' || (user_id % 8) AS service, epoch_ms(ts) AS ts_ms, abs(value) AS watts, event_id AS id FROM events)"
+_EVENTS = "WITH p AS (SELECT 'svc-' || (user_id % 8) AS service, epoch_us(ts) // 1000 AS ts_ms, abs(value) AS watts, event_id AS id FROM events)"
 _HOUR = ", h AS (SELECT service, ts_ms // 3600000 * 3600000 AS ts_ms, count(*) AS ops, avg(watts) AS watts, sum(watts) AS total FROM p GROUP BY ALL)"
 
 
@@ -227,7 +227,7 @@ def _trapezoid(spark, sf_dir):
     return e.power_to_energy(u).select("service", "ts_ms", _r("kwh", 12))
 
 
-_CAL = SPANS_SQL.rstrip() + """, rd AS (SELECT 'svc-' || (user_id % 8) AS service, 1752156000000 + (epoch_ms(ts) % 43200000) AS ts_ms, abs(value) / 1000 AS kwh FROM events), b AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM rd),
+_CAL = SPANS_SQL.rstrip() + """, rd AS (SELECT 'svc-' || (user_id % 8) AS service, 1752156000000 + (epoch_us(ts) // 1000 % 43200000) AS ts_ms, abs(value) / 1000 AS kwh FROM events), b AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM rd),
 o AS (SELECT service, count(*) AS ops FROM spans, b WHERE ts_ms BETWEEN lo AND hi GROUP BY service), k AS (SELECT service, sum(kwh) AS kwh FROM rd GROUP BY service) """
 
 
@@ -429,8 +429,8 @@ def _windows(spark, sf_dir) -> DataFrame:
 
 
 _PERIOD = ("2025-07-10", "2025-07-12")
-_WIN = SPANS_SQL.rstrip() + ", normalized3 AS (SELECT 1)" + _SCORED + """, by AS (SELECT ts_ms // 3600000 * 3600000 AS ts_ms, service, count(*) AS io_ops, count(DISTINCT trace_id) AS requests, sum(energy_kwh) AS kwh, coalesce(sum(co2_grams), 0) AS g, sum(transport_grams) AS t FROM scored GROUP BY ALL),
-win AS (SELECT ts_ms, sum(requests) AS requests, sum(io_ops) AS io_ops, sum(kwh) AS kwh, sum(g) AS g, sum(requests) * 0.001 AS emb, sum(t) AS t FROM by GROUP BY ALL) """
+_WIN = SPANS_SQL.rstrip() + ", normalized3 AS (SELECT 1)" + _SCORED + """, bs AS (SELECT ts_ms // 3600000 * 3600000 AS ts_ms, service, count(*) AS io_ops, count(DISTINCT trace_id) AS requests, sum(energy_kwh) AS kwh, coalesce(sum(co2_grams), 0) AS g, sum(transport_grams) AS t FROM scored GROUP BY ALL),
+win AS (SELECT ts_ms, sum(requests) AS requests, sum(io_ops) AS io_ops, sum(kwh) AS kwh, sum(g) AS g, sum(requests) * 0.001 AS emb, sum(t) AS t FROM bs GROUP BY ALL) """
 
 
 @register("period_totals", _WIN + "SELECT count(*) AS windows, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(io_ops) AS BIGINT) AS io_ops, round(sum(kwh), 12) AS energy_kwh, round(sum(g + emb + t) / 1000, 9) AS carbon_kg FROM win")
@@ -443,8 +443,8 @@ def _range(spark, sf_dir):
     return periodic.archive_time_range(_windows(spark, sf_dir))
 
 
-@register("attribute_services", _WIN + """, a AS (SELECT by.service, round(win.requests * by.io_ops / win.io_ops) AS rq, by.io_ops,
-  CASE WHEN by.ts_ms % 7200000 = 0 THEN CASE WHEN by.service IN ('svc-0', 'svc-1') THEN by.kwh ELSE 0 END ELSE win.kwh * by.io_ops / win.io_ops END AS kwh, CASE WHEN by.ts_ms % 7200000 = 0 THEN CASE WHEN by.service IN ('svc-0', 'svc-1') THEN by.g ELSE 0 END ELSE win.g * by.io_ops / win.io_ops END AS g FROM by JOIN win ON by.ts_ms = win.ts_ms)
+@register("attribute_services", _WIN + """, a AS (SELECT bs.service, round(win.requests * bs.io_ops / win.io_ops) AS rq, bs.io_ops,
+  CASE WHEN bs.ts_ms % 7200000 = 0 THEN CASE WHEN bs.service IN ('svc-0', 'svc-1') THEN bs.kwh ELSE 0 END ELSE win.kwh * bs.io_ops / win.io_ops END AS kwh, CASE WHEN bs.ts_ms % 7200000 = 0 THEN CASE WHEN bs.service IN ('svc-0', 'svc-1') THEN bs.g ELSE 0 END ELSE win.g * bs.io_ops / win.io_ops END AS g FROM bs JOIN win ON bs.ts_ms = win.ts_ms)
 SELECT service, CAST(sum(rq) AS BIGINT) AS requests, CAST(sum(io_ops) AS BIGINT) AS io_ops, round(sum(kwh), 12) AS energy_kwh, round(sum(g), 9) AS co2_g FROM a GROUP BY service""")
 def _attribute(spark, sf_dir):
     return periodic.attribute_services(_windows(spark, sf_dir)).select("service", "requests", "io_ops", _r("energy_kwh", 12), _r("co2_g"))
@@ -495,7 +495,7 @@ def _methods(spark, sf_dir):
     return periodic.methodology_sets(_windows(spark, sf_dir))
 
 
-@register("measured_ratios", _WIN + "SELECT service, avg(CASE WHEN service IN ('svc-0', 'svc-1') AND ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS measured_ratio FROM by GROUP BY service")
+@register("measured_ratios", _WIN + "SELECT service, avg(CASE WHEN service IN ('svc-0', 'svc-1') AND ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS measured_ratio FROM bs GROUP BY service")
 def _ratios(spark, sf_dir):
     return periodic.measured_ratios(_windows(spark, sf_dir))
 

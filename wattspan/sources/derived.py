@@ -21,7 +21,7 @@ WITH line AS (
     CASE WHEN l_returnflag = 'A' OR l_linestatus = 'F' THEN 'SELECT * FROM part WHERE p_partkey = ' || l_partkey || ' AND p_size IN (1, 2)'
          WHEN l_returnflag = 'N' THEN 'http://supplier-svc/api/suppliers/' || (l_suppkey % 5) || '?page=' || (l_linenumber % 2) ELSE 'orders' END AS target,
     CASE WHEN l_returnflag = 'A' OR l_linestatus = 'F' THEN 'SELECT' WHEN l_returnflag = 'N' THEN 'GET' ELSE 'kafka' END AS operation,
-    'POST /api/orders/' || lower(substr(o_orderpriority, 3)) AS endpoint, CAST(l_extendedprice * 20 AS BIGINT) AS response_size_bytes,
+    'POST /api/orders/' || lower(substr(o_orderpriority, 3)) AS endpoint, CAST(floor(l_extendedprice * 20) AS BIGINT) AS response_size_bytes,
     CASE n_regionkey WHEN 0 THEN 'eu-west-3' WHEN 1 THEN 'us-east-1' WHEN 2 THEN 'europe-west1' WHEN 3 THEN 'westeurope' END AS cloud_region
   FROM line JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 ), normalized AS (
@@ -60,5 +60,5 @@ def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array().cast(GROUPING).alias("grouping"), region.alias("cloud_region"), pick(F.lit("sql"), F.lit("http_out"), F.lit("messaging")).alias("event_type"), pick(F.lit("SELECT"), F.lit("GET"), F.lit("kafka")).alias("operation"),
         pick(text("SELECT * FROM part WHERE p_partkey = ", F.col("l_partkey"), " AND p_size IN (1, 2)"), text("http://supplier-svc/api/suppliers/", F.col("l_suppkey") % 5, "?page=", F.col("l_linenumber") % 2), F.lit("orders")).alias("target"),
         (F.col("l_quantity") * 1000).cast("long").alias("duration_us"), F.struct(text("POST /api/orders/", F.lower(F.substring("o_orderpriority", 3, 99))).alias("endpoint"), F.lit("POST").alias("method")).alias("source"),
-        F.lit(200).alias("status_code"), (F.col("l_extendedprice") * 20).cast("long").alias("response_size_bytes"), null(CODE).alias("code"), F.array().cast("array<string>").alias("instrumentation_scopes"), F.col("rn").cast("long").alias("ord"),
+        F.lit(200).alias("status_code"), F.floor(F.col("l_extendedprice") * 20).cast("long").alias("response_size_bytes"), null(CODE).alias("code"), F.array().cast("array<string>").alias("instrumentation_scopes"), F.col("rn").cast("long").alias("ord"),
     )
