@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +31,12 @@ _LAST = (1 << 63) - 1
 _DOCUMENTS = "id long, n_words long, all_sha256 string, k1 long, k2 long, anchors array<long>"
 
 
+def _int_lists(column) -> list[np.ndarray]:
+    """A list column as arrays; null lists are empty."""
+    lengths = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)[:-1])
+
+
 class _Words:
     """Words, runs and anchors of the texts of one block."""
 
@@ -65,9 +72,15 @@ class _Words:
         where[where == len(anchors)] = 0
         return np.bincount(where[anchors[where] == grams], minlength=len(anchors)) > 1
 
-    def run_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def all_runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the run that starts at each word of the block."""
+        at = np.arange(max(len(self.starts) - self.window + 1, 0))
         return tuple(h.of_values(x, at, at + self.window).view(np.int64) for h, x in zip(self.hashers, self.hashes, strict=True))
 
+    def run_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.all_runs[0][at], self.all_runs[1][at]
+
     def sha256(self, i: int, removed: np.ndarray | None = None) -> str:
         a, b = self.first[i], self.first[i + 1]
         keep = np.arange(a, b) if removed is None else np.flatnonzero(~removed) + a
@@ -115,10 +128,10 @@ def _runs(window: int):
         for part, texts in batch_blocks(batches, "text"):
             words = _Words(texts, hashers, window)
             out: list[list] = [[], [], [], []]
-            for i, (doc, k1, dead) in enumerate(zip(part.column("doc").to_pylist(), part.column("k1").to_pylist(), part.column("dead").to_pylist(), strict=True)):
+            for i, (doc, k1, dead) in enumerate(zip(part.column("doc").to_pylist(), part.column("k1").to_pylist(), _int_lists(part.column("dead")), strict=True)):
                 if k1 != words.whole[0][i]:
                     continue  # another text of the same id
-                at, h, c, first = _live_runs(words, i, np.asarray(dead, np.int64))
+                at, h, c, first = _live_runs(words, i, dead)
                 for column, values in zip(out, (h[first], c[first], np.full(first.sum(), doc), at[first]), strict=True):
                     column.append(values)
             if out[0]:
@@ -135,12 +148,12 @@ def _spans(window: int):
         for part, texts in batch_blocks(batches, "text"):
             words = _Words(texts, hashers, window)
             rows = []
-            columns = (part.column(c).to_pylist() for c in ("doc", "k1", "dead", "firsts"))
+            columns = part.column("doc").to_pylist(), part.column("k1").to_pylist(), _int_lists(part.column("dead")), _int_lists(part.column("firsts"))
             for i, (doc, k1, dead, firsts) in enumerate(zip(*columns, strict=True)):
                 if k1 != words.whole[0][i]:
                     continue
-                at, _, _, _ = _live_runs(words, i, np.asarray(dead, np.int64))
-                gone = np.setdiff1d(at, np.asarray(firsts or [], np.int64), assume_unique=True)
+                at = _live_runs(words, i, dead)[0]
+                gone = np.setdiff1d(at, firsts, assume_unique=True)
                 edge = np.zeros(words.n_words(i) + 1, np.int32)
                 np.add.at(edge, gone, 1)
                 np.add.at(edge, gone + window, -1)
