@@ -1,4 +1,4 @@
-"""Shared folders, materialised tables and hot-key joins for the training-data operators."""
+"""Shared folders, materialised tables, hot-key joins and connected components for the training-data operators."""
 
 from __future__ import annotations
 
@@ -59,40 +59,21 @@ def batch_blocks(batches: Iterable, column: str, size: int = 1_000_000) -> Itera
             yield part, part.column(column).to_pylist()
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """rows ⋈ lookup where lookup has one, possibly wide, row a key and some keys are frequent in ``rows``.
-
-    Only the ids of the at most HOT_SHARE hot keys are broadcast. Their lookup rows are copied once a salt, and ``rows``
-    are dealt over the salts by the column ``spread``.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    hot = counts.filter(F.col("_n") * HOT_SHARE > F.lit(total)).select(key, F.ceil(F.col("_n") * HOT_SHARE / F.lit(max(total, 1))).cast("int").alias("_salts"))
-    salts = F.coalesce("_salts", F.lit(1))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
-    right = lookup.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components as (node, root): root is the smallest node reachable. Nodes without links are not returned.
 
-    Alternating large-star and small-star steps; a node's smallest neighbour comes from a partial aggregate and goes back
-    to its links by join_by_key, so no node's links meet in one task. Each step is written to the shared folder.
+    Alternating large-star and small-star steps, each written to the shared folder, until every component is a star. The
+    joins bring one number to each link; AQE splits those of nodes with very many links.
     """
-    edges = materialise(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    edges = materialise(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"), "links")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        n = both.count()
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-        large = join_by_key(both, low, ["u"], "degree", n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-        small = join_by_key(large, low, ["u"], "degree", max(n, 1))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialise(small, "small")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        if now == before:
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = materialise(small.filter("u <> v").distinct(), "small")
+        if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now

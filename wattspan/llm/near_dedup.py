@@ -19,14 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks, components, join_by_key, materialise, salted_join
+from wattspan.llm.common import batch_blocks, components, join_by_key, materialise
 from wattspan.llm.segments import Hasher, document_words, mix
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 160, 5, 1024
 FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
 SETS = "rep long, n_shingles long, shingles array<long>"
-#: Bands of at most so many members are compared in full after the first round; larger ones with leaders.
-SMALL_BAND, LEADERS = 64, 16
+#: Bands of at most so many members are compared in full after the first round; larger ones with so many leaders at first.
+SMALL_BAND, LEADERS = 32, 4
 #: Sketches that differ in more bits belong to pairs of an estimated similarity below 0.6.
 MAX_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.4 / BITS)))
 
@@ -102,36 +102,38 @@ def _sets(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(x) for x in own], pa.int64()), _lists(own)], ["rep", "n_shingles", "shingles"])
 
 
-def _candidates(members: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
+def _differ(x: str, y: str):
+    """Bits in which two odd sketches differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
+
+
+def _more_pairs(members: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare in the open bands, and the (band, rep) that are thereby compared with all of their band.
 
-    members: band, rep, comp, n (members of the band). With no classes, every band has one leader, its smallest rep.
+    members: band, rep, ties, comp, n (members of the band), sketch. A small band is compared in full; in a large one the most
+    central representative of each of ``classes`` classes of components is compared with all members. Sketches decide
+    inside the join, so pairs that are far apart are never made.
     """
-    if classes:
-        small = members.filter(F.col("n") <= SMALL_BAND)
-        large = members.filter(F.col("n") > SMALL_BAND)
-    else:
-        small, large = members.limit(0), members
-    mine = small.select("band", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    pairs = mine.join(small.select("band", F.col("rep").alias("b"), F.col("comp").alias("cb")), "band").filter("a < b and ca <> cb").select("a", "b")
-    leader_class = F.pmod(F.xxhash64("comp"), F.lit(max(classes, 1)))
-    leaders = large.groupBy("band", leader_class.alias("k")).agg(F.min_by(F.struct("rep", "comp"), "rep").alias("x"), F.max("n").alias("n")).select("band", F.col("x.rep").alias("leader"), F.col("x.comp").alias("cl"), "n")
-    # a band's members meet each of its few leaders; the frequent bands' leaders are a row or LEADERS rows a band
-    led = salted_join(large.select("band", "rep", "comp"), leaders.groupBy("band").agg(F.collect_list(F.struct("leader", "cl")).alias("all")), "band", "rep")
-    led = led.withColumn("x", F.explode("all")).select("rep", "comp", F.col("x.leader").alias("leader"), F.col("x.cl").alias("cl")).filter("rep <> leader" if not classes else "rep <> leader and comp <> cl")
-    pairs = pairs.unionByName(led.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))).distinct()
-    return pairs, leaders.select("band", F.col("leader").alias("rep")).unionByName(small.select("band", "rep"))
+    small = members.filter(F.col("n") <= SMALL_BAND)
+    large = members.filter(F.col("n") > SMALL_BAND).withColumn("k", F.pmod(F.xxhash64("comp"), F.lit(classes)))
+    other = lambda df: df.select("band", F.col("rep").alias("other"), F.col("comp").alias("co"), F.col("sketch").alias("so"))
+    near = lambda a, b, first: a.alias("a").join(b.alias("b"), (F.col("a.band") == F.col("b.band")) & first & (F.col("comp") != F.col("co")) & (_differ("sketch", "so") <= MAX_XOR))
+    ordered = lambda df: df.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    top = large.groupBy("band", "k").agg(F.max_by("rep", F.struct("ties", -F.col("rep"))).alias("rep"))
+    leaders = large.drop("k").join(top.select("band", "rep"), ["band", "rep"], "left_semi")
+    pairs = ordered(near(small, other(small), F.col("rep") < F.col("other"))).unionByName(ordered(near(large, other(leaders), F.col("rep") != F.col("other")))).distinct()
+    return pairs, leaders.select("band", "rep").unionByName(small.select("band", "rep"))
 
 
 def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the similarity: odd sketches first, then whole sets."""
-    sketch = reps.select(F.col("rep"), "sketch")
-    near = salted_join(pairs, sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a", "b")
-    near = salted_join(near, sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b", "a")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = materialise(near.filter(differ <= MAX_XOR).select("a", "b"), "near")
-    full = salted_join(near, sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b", "a")
-    full = salted_join(full, sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a", "b")
+    """The pairs whose sets reach the similarity: odd sketches first, then whole sets.
+
+    A leader stands in many pairs; AQE splits its pairs, each of which brings its own other side.
+    """
+    sketch = reps.select("rep", "sketch")
+    near = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
+    near = near.filter(_differ("sa", "sb") <= MAX_XOR).select("a", "b")
+    full = near.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
     both = F.size(F.array_intersect("xa", "xb"))
     return full.filter(both * 100 >= (F.size("xa") + F.size("xb") - both) * percent).select("a", "b")
 
@@ -161,27 +163,35 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the representatives that are linked with others."""
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = join_by_key(banded, shared, ["band"], "n", reps.count() * (SAMPLES // ROWS)).select("band", "rep", F.col("rep").alias("comp"), "n")
-    members = materialise(members, "members")
-    involved = members.select("rep").distinct()
-    sets = materialise(source.join(involved, source.doc_id == involved.rep).select("rep", "text").mapInArrow(_sets, SETS), "sets")
-    links = roots = tested = None
-    classes = 0
+    members = materialise(banded.join(shared, "band"), "shared")
+    # a text that shares most with most others is central: its edits, if any, are fewest
+    central = members.groupBy("rep").agg(F.sum("n").alias("ties"))
+    members = materialise(members.join(central, "rep"), "members")
+    # first round: every band has one leader, its most central representative
+    leaders = members.groupBy("band").agg(F.max_by("rep", F.struct("ties", -F.col("rep"))).alias("leader"))
+    members = materialise(members.join(leaders, "band"), "members")
+    pairs = materialise(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    involved = pairs.select("b").unionByName(pairs.select(F.col("a").alias("b"))).distinct()
+    sets = materialise(source.join(involved.hint("shuffle_hash"), source.doc_id == involved.b).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, SETS), "sets")
+    tested = pairs
+    links = materialise(_links(pairs, reps, sets, percent), "linked")
+    roots = components(links)
+    done, classes = members.filter("rep = leader").select("band", "rep"), LEADERS
     while True:
-        pairs, done = _candidates(members, classes)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(_links(pairs, reps, sets, percent), "found")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        open_ = members.drop("comp", "n").join(done, ["band", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("root", "rep").alias("comp"))
-        left = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "n")
-        members = materialise(salted_join(open_, left, "band", "rep"), "members").select("band", "rep", "comp", "n")
+        left = members.select("band", "rep", "ties").join(done, ["band", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", "ties", F.coalesce("root", "rep").alias("comp"))
+        left = materialise(left, "left")
+        still = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "n")
+        members = materialise(left.join(still, "band"), "open")
         if members.isEmpty():
             return roots
-        classes = LEADERS if not classes else classes * 4
+        pairs, done = _more_pairs(members.join(reps.select("rep", "sketch"), "rep"), classes)
+        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        found = materialise(_links(pairs, reps, sets, percent), "linked")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+        classes *= 4
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
