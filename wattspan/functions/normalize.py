@@ -26,8 +26,8 @@ def _is_value(token: Column) -> Column:
 
 def _cut(sql: Column) -> Column:
     """At most MAX_STATEMENT bytes, on a character boundary."""
-    fits = F.octet_length(sql) <= MAX_STATEMENT
-    return F.when(fits, sql).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(sql, "UTF-8"), 1, MAX_STATEMENT), "UTF-8"), "�+$", ""))
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(sql, "UTF-8"), 1, MAX_STATEMENT).cast("string")), "\ufffd+$", "")
+    return F.when(F.octet_length(sql) <= MAX_STATEMENT, sql).otherwise(cut)
 
 
 def sql_tokens(sql: Column) -> Column:

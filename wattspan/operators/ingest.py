@@ -25,7 +25,7 @@ FILTER_REASONS = ("not_io", "missing_db_statement", "missing_http_url", "non_sql
 
 def cut_bytes(text: Column, limit: int) -> Column:
     """At most ``limit`` UTF-8 bytes, on a character boundary."""
-    cut = F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, limit), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 
@@ -97,23 +97,28 @@ def ingest_stats(classified: DataFrame) -> DataFrame:
 
 
 def ancestors(spans: DataFrame, max_hops: int = MAX_HOPS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """trace_id, span_id, hop (from 1), ancestor and its ``carry`` columns: an unrolled ladder of equi-joins on (trace_id, span).
+    """trace_id, span_id, hop (from 1), ancestor and its ``carry`` columns.
 
-    A walk stops at a missing parent, at a span that is its own parent, and after ``max_hops``.
+    One left equi-join on (trace_id, span) a hop, all of which share the partitioning by trace. A walk stops at a missing
+    parent, at a span that is its own parent or the span itself, and after ``max_hops``.
     """
-    up = spans.select("trace_id", F.col("span_id").alias("ancestor"), F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id")).alias("_next"), *carry)
-    front = spans.filter("parent_span_id is not null and parent_span_id <> span_id").select("trace_id", "span_id", F.col("parent_span_id").alias("ancestor"))
-    out = None
+    parent = F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id"))
+    walk = spans.select("trace_id", "span_id", parent.alias("_at"))
+    hops = []
     for hop in range(1, max_hops + 1):
-        found = front.join(up, ["trace_id", "ancestor"]).filter("ancestor <> span_id").withColumn("hop", F.lit(hop))
-        out = found if out is None else out.unionByName(found)
-        front = found.filter("_next is not null").select("trace_id", "span_id", F.col("_next").alias("ancestor"))
-    return out.select("trace_id", "span_id", "hop", "ancestor", *carry)
+        own = F.struct(F.lit(hop).alias("hop"), F.col("span_id").alias("ancestor"), *carry).alias("_own")
+        up = spans.select("trace_id", F.col("span_id").alias("_at"), parent.alias("_next"), own)
+        walk = walk.join(up, ["trace_id", "_at"], "left")
+        goes_on = F.col("_own.ancestor") != F.col("span_id")
+        walk = walk.select("trace_id", "span_id", *hops, F.when(goes_on, F.col("_own")).alias(f"_h{hop}"), F.when(goes_on, F.col("_next")).alias("_at"))
+        hops.append(f"_h{hop}")
+    found = walk.select("trace_id", "span_id", F.explode(F.array_compact(F.array(*hops))).alias("h"))
+    return found.select("trace_id", "span_id", "h.hop", "h.ancestor", *(f"h.{c}" for c in carry))
 
 
-def resolve_source_endpoint(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def resolve_source_endpoint(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
     """spans (with route and frame) with endpoint: the nearest ancestor's inbound route, else the outermost code frame, else unknown."""
-    walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", "route", "frame"), max_hops, ("route", "frame"))
+    walk = walk if walk is not None else ancestors(spans.select("trace_id", "span_id", "parent_span_id", "route", "frame"), max_hops, ("route", "frame"))
     best = walk.groupBy("trace_id", "span_id").agg(F.min_by("route", F.when(F.col("route").isNotNull(), F.col("hop"))).alias("_route"), F.max_by("frame", F.when(F.col("frame").isNotNull(), F.col("hop"))).alias("_frame"))
     return spans.join(best, ["trace_id", "span_id"], "left").withColumn("endpoint", F.coalesce("_route", "_frame", "frame", F.lit("unknown"))).drop("_route", "_frame")
 
@@ -125,10 +130,10 @@ def resolve_code_attrs(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     return spans.join(near, ["trace_id", "span_id"], "left").withColumn("code", F.coalesce("code", "_code")).drop("_code")
 
 
-def collect_scopes(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def collect_scopes(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
     """spans (with scope) with scopes: their own first, then those of ancestors, each once."""
-    walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", "scope"), max_hops, ("scope",)).filter("scope is not null")
-    above = walk.groupBy("trace_id", "span_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "scope"))), lambda x: x["scope"]).alias("_above"))
+    walk = walk if walk is not None else ancestors(spans.select("trace_id", "span_id", "parent_span_id", "scope"), max_hops, ("scope",))
+    above = walk.filter("scope is not null").groupBy("trace_id", "span_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "scope"))), lambda x: x["scope"]).alias("_above"))
     own = F.when(F.col("scope").isNull(), F.array().cast("array<string>")).otherwise(F.array("scope"))
     return spans.join(above, ["trace_id", "span_id"], "left").withColumn("scopes", F.array_distinct(F.concat(own, F.coalesce("_above", F.array().cast("array<string>"))))).drop("_above")
 

@@ -89,8 +89,13 @@ def classify_raw(raw: DataFrame) -> DataFrame:
 
 
 def to_spans(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -> DataFrame:
-    """Classified, enriched and sanitised I/O spans of raw spans of any format."""
-    classified = i.collect_scopes(i.resolve_source_endpoint(classify_raw(raw)))
+    """Classified, enriched and sanitised I/O spans of raw spans of any format.
+
+    The walks up the span tree read the classified spans once a hop, so they are dealt by trace and kept.
+    """
+    kept = classify_raw(raw.repartition("trace_id")).persist()
+    walk = i.ancestors(kept, carry=("route", "frame", "scope")).persist()
+    classified = i.collect_scopes(i.resolve_source_endpoint(kept, walk=walk), walk=walk)
     a = F.col("attrs")
     spans = classified.filter("io is not null").select(
         iso_ms(F.col("ts_ms")).alias("timestamp"), "trace_id", "span_id", "parent_span_id", "link_trace_id", "service", i.collect_grouping(F.col("resource"), a, grouping_keys).alias("grouping"),
@@ -99,7 +104,7 @@ def to_spans(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -
         F.struct(F.coalesce(a["code.function.name"], a["code.function"]).alias("function"), F.coalesce(a["code.file.path"], a["code.filepath"]).alias("filepath"), F.coalesce(a["code.line.number"], a["code.lineno"]).cast("int").alias("lineno"), a["code.namespace"].alias("namespace")).alias("code"),
         F.col("scopes").alias("instrumentation_scopes"),
     )
-    return with_order(i.sanitize_spans(i.suppress_layered_duplicates(spans)))
+    return with_order(i.sanitize_spans(i.suppress_layered_duplicates(spans.persist())))
 
 
 def read_otlp_spans(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
