@@ -221,10 +221,10 @@ def _asof(spark, sf_dir):
 
 
 @register("power_to_energy", _EVENTS + """, u AS (SELECT service, ts_ms, max(watts) AS watts FROM p GROUP BY ALL), l AS (SELECT *, lag(ts_ms) OVER w AS t0, lag(watts) OVER w AS w0 FROM u WINDOW w AS (PARTITION BY service ORDER BY ts_ms))
-SELECT service, ts_ms, round((w0 + watts) / 2 * ((ts_ms - t0) / 1000) / 3.6e6, 12) AS kwh FROM l WHERE t0 IS NOT NULL""")
+SELECT service, ts_ms, round((w0 + watts) / 2 * ((ts_ms - t0) / 1000) / 3.6e6, 15) AS kwh FROM l WHERE t0 IS NOT NULL""")
 def _trapezoid(spark, sf_dir):
     u = _events(spark, sf_dir).groupBy("service", "ts_ms").agg(F.max("watts").alias("watts"))
-    return e.power_to_energy(u).select("service", "ts_ms", _r("kwh", 12))
+    return e.power_to_energy(u).select("service", "ts_ms", _r("kwh", 15))
 
 
 _CAL = SPANS_SQL.rstrip() + """, rd AS (SELECT 'svc-' || (user_id % 8) AS service, 1752156000000 + (epoch_us(ts) // 1000 % 43200000) AS ts_ms, abs(value) / 1000 AS kwh FROM events), b AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM rd),
