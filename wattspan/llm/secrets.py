@@ -1,9 +1,13 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame operations alone.
 
 Base kinds (assign, access, hex) are found by their patterns. The method adds candidates of other shapes (vendor
-prefixes, key blocks, long mixed runs) and judges every candidate value by who owns it: values are hashed and counted by
-distinct owners and repositories over the corpus. A value that many owners carry is an example; one that few owners
-carry and that looks random is live.
+prefixes, key blocks, tokens of three parts) and judges every candidate value by who owns it: values are hashed and
+counted by distinct owners (``owner_col``, the source by default) over the corpus. A value that many owners carry is an
+example; one that few owners carry is live unless it is a placeholder: a key block without a body, or a value without
+digits that repeats a few letters.
+
+A key block reaches from its BEGIN to its END line; if no END line follows, as far as lines of base64 go. Its body without
+line breaks and indents is what is counted.
 
 Positions come from split and regexp_extract_all with the same pattern: gaps and matches alternate, so running sums of
 their lengths are the offsets, in code points.
@@ -21,10 +25,18 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 VENDOR = r"(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\.|npm_|SG\.)[A-Za-z0-9_.-]{16,}"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+_BEGIN, _END = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+#: Possessive groups run without recursion, so a body can have any length.
+_CLOSED = rf"[^-]*+(?:-(?!----)[^-]*+)*+{_END}"
+_BREAKS = r"""(?:[\s"'+,>#*]|\\[nrt])*+"""
+_OPEN = rf"(?:{_BREAKS}(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\n\\]*+)*+(?:{_BREAKS}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_BREAKS}[A-Za-z0-9+/]{{1,15}}+={{1,2}}+)?+"
+KEY_BLOCK = rf"{_BEGIN}(?:{_CLOSED}|{_OPEN})"
 JWT = r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 KINDS = ("assign", "access", "hex", "vendor", "keyblock", "jwt")
 _PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, VENDOR, KEY_BLOCK, JWT)))
+#: A value without digits is a placeholder if it has fewer different letters behind its prefix.
+LETTERS = 4
+_PREFIX = r"^(?:AKIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\.|npm_|SG\.)"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -54,6 +66,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _key_body(value: Column) -> Column:
+    """The base64 of a key block, however its lines are broken, escaped or indented."""
+    return F.regexp_replace(value, rf"{_BEGIN}|{_END}|(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\n\\]*+|\\[nrt]|[^A-Za-z0-9+/=]", "")
+
+
+def _value_hash(span: Column) -> Column:
+    """What is counted over the corpus; a key block counts by its body."""
+    is_key = span["kind"] == KINDS.index("keyblock")
+    return F.xxhash64(F.when(is_key, F.concat(F.lit("keyblock:"), _key_body(span["value"]))).otherwise(span["value"]))
+
+
+def _looks_real(span: Column) -> Column:
+    """Not a placeholder: a key block with a body, a value with a digit, or one of several different letters."""
+    letters = F.regexp_replace(F.lower(F.regexp_replace(span["value"], _PREFIX, "")), "[^a-z]", "")
+    varied = F.size(F.array_distinct(F.split(letters, ""))) >= LETTERS
+    return F.when(span["kind"] == KINDS.index("keyblock"), _key_body(span["value"]) != "").otherwise(span["value"].rlike("[0-9]") | varied)
+
+
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """doc_id, owner and the spans of every kind in order of start, then kind. Null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -62,8 +92,8 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value_hash, rows, repositories and owners over the corpus. Equal values of one owner meet before the count of owners."""
-    values = candidates.select("owner", F.explode("spans").alias("s")).select(F.xxhash64("s.value").alias("value_hash"), F.coalesce("owner", F.lit("")).alias("owner"))
+    """value_hash, rows and owners over the corpus. Equal values of one owner meet before the count of owners."""
+    values = candidates.select("owner", F.explode("spans").alias("s")).select(_value_hash(F.col("s")).alias("value_hash"), F.coalesce("owner", F.lit("")).alias("owner"))
     by_owner = values.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("rows"))
     return by_owner.groupBy("value_hash").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("owners"))
 
@@ -71,16 +101,16 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, found (spans with value, owners, rows of the value, and live).
 
-    A value is live when at most ``max_owners`` distinct owners carry it and it holds a digit or is a key block; other
-    values are widely copied examples. Null and empty texts have no spans; a null owner counts as one owner of its own; rows
+    A value is live when at most ``max_owners`` distinct owners carry it and it is no placeholder (see above); other
+    values are widely copied examples or placeholders. Null and empty texts have no spans; a null owner counts as one owner of its own; rows
     that repeat are separate documents; an empty table gives no rows; other columns are not read.
     """
     rows = materialise(find_candidates(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     owned = materialise(ownership(rows), "owners")
-    single = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("value_hash", F.xxhash64("s.value"))
+    single = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("value_hash", _value_hash(F.col("s")))
     total = owned.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     judged = join_by_key(single, owned, ["value_hash"], "rows", total)
-    live = (F.col("owners") <= max_owners) & (F.col("s.value").rlike("[0-9]") | (F.col("s.kind") == KINDS.index("keyblock")))
+    live = (F.col("owners") <= max_owners) & _looks_real(F.col("s"))
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "rows", live.alias("live")))).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,rows:bigint,live:boolean>>")
     return rows.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
