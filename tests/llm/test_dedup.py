@@ -119,3 +119,22 @@ def test_nulls_repeats_and_empty_tables(spark):
     for f in (exact_duplicates, near_duplicates, repeated_spans, dedup_lines):
         assert f(odd).count() == 6
     assert {(r.doc_id, r.component_id) for r in near_duplicates(odd).collect()} >= {(None, 1), (None, None), (2, 2)}
+
+
+def test_representatives_of_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c, e = (prose(rng, 120).split() for _ in range(4))
+    near = lambda words, k: " ".join([*words[:k], f"changed{k}", *words[k + 1 :]])
+    docs = [
+        (None, "alone without id"), (None, ""), (None, None), (None, " "), (None, "one\ttwo"), (None, "one two"),
+        (1, " ".join(a)), (7, near(a, 50)), (None, near(a, 60)), (7, "other text of one id"),
+        (3, " ".join(b)), (3, " ".join(c)), (4, near(b, 50)), (5, near(c, 50)), (3, " ".join(b)),
+        (None, " ".join(e)), (None, near(e, 50)),
+    ]
+    left = [(r.doc_id, r.text) for r in keep_representatives(table(spark, docs)).collect()]
+    certain = [docs[k] for k in (0, 1, 2, 3, 6, 9, 10, 11, 14)]
+    assert sorted(map(repr, (x for x in left if x in certain))) == sorted(map(repr, certain))
+    rest = [x for x in left if x not in certain]  # one of each group that has no id at all
+    assert len(rest) == 2 and sum(x in docs[4:6] for x in rest) == sum(x in docs[15:] for x in rest) == 1
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(table(spark, docs)).collect()}
+    assert got == {(None, None), (1, 1), (7, 1), (None, 1), (7, 7), (3, 3), (4, 3), (5, 3)}

@@ -70,6 +70,12 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert digest(scan_secrets(docs.limit(0))).count() == 0
 
 
+def test_redact_rows_without_an_id_of_their_own(spark):
+    docs = [(None, "token=abc123def", "s0"), (None, "token=ghi456jkl", "s1"), (1, "token=mno789pqr", "s2"), (1, "token=stu012vwx", "s3"), (1, "plain", "s4"), (None, None, "s5"), (2, "token=abc123def", "s0")]
+    out = redact(spark.createDataFrame([(d, t, "en", s, 0, None, None) for d, t, s in docs], SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, ""), (0, "token=[secret]"), (0, "token=[secret]"), (1, "plain"), (1, "token=[secret]"), (1, "token=[secret]"), (2, "token=[secret]")]
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")

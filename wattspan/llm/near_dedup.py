@@ -23,7 +23,7 @@ from wattspan.llm.common import batch_blocks, components, join_by_key, materiali
 from wattspan.llm.segments import Hasher, document_words, mix
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 160, 5, 1024
-FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
+FEATURES = "doc_id long, x long, c int, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
 SETS = "rep long, n_shingles long, shingles array<long>"
 #: Bands of at most so many members are compared in full after the first round; larger ones with so many leaders at first.
 SMALL_BAND, LEADERS = 32, 4
@@ -90,14 +90,17 @@ def _features(batches: Iterator) -> Iterator:
             samples = minhash(shingles) if len(shingles) else None
             own_bands.append(bands(samples) if len(shingles) else shingles)
             sketches.append(odd_sketch(samples) if len(shingles) else shingles)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(own_bands), _lists(sketches)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("x"), part.column("c"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(own_bands), _lists(sketches)], ["doc_id", "x", "c", "n_shingles", "k1", "k2", "bands", "sketch"])
 
 
 def _sets(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    hashers = Hasher(0), Hasher(1)
+    hashers, seen = (Hasher(0), Hasher(1)), set()
     for part, texts in batch_blocks(batches, "text"):
+        # rows that repeat id and text meet in a task
+        new = [i for i, rep in enumerate(part.column("rep").to_pylist()) if not (rep in seen or seen.add(rep))]
+        part, texts = part.take(pa.array(new, pa.int64())), [texts[i] for i in new]
         own = [x for x, _, _ in document_shingles(texts, hashers)]
         yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(x) for x in own], pa.int64()), _lists(own)], ["rep", "n_shingles", "shingles"])
 
@@ -138,25 +141,52 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return full.filter(both * 100 >= (F.size("xa") + F.size("xb") - both) * percent).select("a", "b")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and two hashes of the text: rows that are equal in id and text are one document."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("x"), F.hash(text).alias("c"))
+
+
+def _numbered(reps: DataFrame) -> DataFrame:
+    """reps with ``rep``, a number of their own in order of id: the id where ids tell all apart, else a place in that order.
+
+    Null ids come last. Different texts can share an id, or have none.
+    """
+    if reps.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("id is null or n > 1").isEmpty():
+        return reps.withColumn("rep", F.col("id"))
+    order = reps.select("id", "k1", "k2").orderBy(F.asc_nulls_last("id"), "k1", "k2").select("k1", "k2", F.monotonically_increasing_id().alias("rep"))
+    return materialise(reps.join(materialise(order, "order"), ["k1", "k2"]), "numbered")
+
+
+def _judged(source: DataFrame, percent: int) -> DataFrame:
+    """doc_id, x, c, n_shingles, component_id and kept of each row of ``source`` (see _keyed)."""
+    features = materialise(source.mapInArrow(_features, FEATURES), "features")
+    same = features.filter("n_shingles > 0").groupBy("k1", "k2")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "c")).alias("first")
+    reps = materialise(same.agg(first, F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "reps")
+    reps = _numbered(reps.select("k1", "k2", "size", "bands", "sketch", F.col("first.doc_id").alias("id"), F.col("first.x").alias("x"), F.col("first.c").alias("c")))
+    roots = _roots(source, reps, percent)
+    # a component is named by its root's id; the root's first row is the one that stays
+    named = roots.join(reps.select(F.col("rep").alias("root"), F.col("id").alias("root_id")), "root").select("node", "root", "root_id")
+    keyed = reps.join(named, reps.rep == named.node, "left").select("k1", "k2", "size", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("component_id"), F.coalesce(F.col("root") == F.col("rep"), F.lit(True)).alias("is_root"), F.col("id").alias("own_id"), F.col("x").alias("own_x"), F.col("c").alias("own_c"))
+    total = features.count()
+    out = join_by_key(features.filter("n_shingles > 0").select("doc_id", "x", "c", "n_shingles", "k1", "k2"), keyed, ["k1", "k2"], "size", total)
+    stays = F.col("is_root") & F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("x") == F.col("own_x")) & (F.col("c") == F.col("own_c"))
+    out = out.select("doc_id", "x", "c", "n_shingles", "component_id", stays.alias("kept"))
+    return out.unionByName(features.filter("n_shingles = 0").select("doc_id", "x", "c", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs without ASCII white space, A-Z lower-cased. A document's set is its distinct five-word shingles, or its
     whole word sequence if that is shorter. Documents are linked where 100 * intersection >= percent * union; component_id is the
-    smallest id reachable. Null, empty and blank texts have no shingles, are linked with nothing and are kept. Rows that
-    repeat an id are documents of their own; a null id takes the smallest other id of its component, or stays null.
-    An empty table gives no rows; other columns are not read.
+    smallest id reachable, and the document of that id is kept. Null, empty and blank texts have no shingles, are linked with
+    nothing and are kept. Rows that share an id but not their text, or have a null id, are documents of their own; a null id
+    takes the smallest other id of its component, or stays null, and is kept only where no row with an id is linked. Rows
+    that repeat both id and text are one document. An empty table gives no rows; other columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    features = materialise(source.mapInArrow(_features, FEATURES), "features")
-    same = features.filter("n_shingles > 0").groupBy("k1", "k2")
-    reps = materialise(same.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "reps")
-    roots = _roots(source, reps.filter("rep is not null"), percent)
-    keyed = reps.join(roots, reps.rep == roots.node, "left").select("k1", "k2", "size", F.coalesce("root", "rep").alias("component_id"))
-    total = features.count()
-    out = join_by_key(features.filter("n_shingles > 0").select("doc_id", "n_shingles", "k1", "k2"), keyed, ["k1", "k2"], "size", total)
-    out = out.select("doc_id", "n_shingles", "component_id").unionByName(features.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return _judged(_keyed(docs, id_col, text_col), percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -171,8 +201,9 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     leaders = members.groupBy("band").agg(F.max_by("rep", F.struct("ties", -F.col("rep"))).alias("leader"))
     members = materialise(members.join(leaders, "band"), "members")
     pairs = materialise(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    involved = pairs.select("b").unionByName(pairs.select(F.col("a").alias("b"))).distinct()
-    sets = materialise(source.join(involved.hint("shuffle_hash"), source.doc_id == involved.b).select(F.col("doc_id").alias("rep"), "text").mapInArrow(_sets, SETS), "sets")
+    involved = pairs.select(F.col("b").alias("rep")).unionByName(pairs.select(F.col("a").alias("rep"))).distinct().join(reps.select("rep", "id", F.col("x").alias("rx"), F.col("c").alias("rc")), "rep")
+    own = source.doc_id.eqNullSafe(F.col("id")) & (source.x == F.col("rx")) & (source.c == F.col("rc"))
+    sets = materialise(source.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(_sets, SETS), "sets")
     tested = pairs
     links = materialise(_links(pairs, reps, sets, percent), "linked")
     roots = components(links)
@@ -195,6 +226,8 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that a smaller id's component holds."""
-    dropped = near_duplicates(docs, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")), "left_anti")
+    """``docs`` without the documents that a smaller id's component holds. Rows that repeat both a kept id and text all stay."""
+    dropped = _judged(_keyed(docs, id_col, text_col), percent).filter("not kept").select(F.col("doc_id").alias("_dropped"), F.col("x").alias("_x"), F.col("c").alias("_c")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(text) == F.col("_x")) & (F.hash(text) == F.col("_c"))
+    return docs.join(dropped, same, "left_anti")

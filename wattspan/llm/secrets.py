@@ -84,11 +84,17 @@ def _looks_real(span: Column) -> Column:
     return F.when(span["kind"] == KINDS.index("keyblock"), _key_body(span["value"]) != "").otherwise(span["value"].rlike("[0-9]") | varied)
 
 
+def _text_hashes(text_col: str) -> tuple[Column, Column]:
+    """Rows that are equal in id and these are one document: its spans, and which of them are live, are the same."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text), F.hash(text)
+
+
 def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """doc_id, owner and the spans of every kind in order of start, then kind. Null texts count as empty."""
+    """doc_id, owner, the spans of every kind in order of start, then kind, and x and c, hashes of the text. Null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = F.array_sort(F.concat(*[_spans(text, k) for k in KINDS]))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), every.alias("spans"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), every.alias("spans"), *(h.alias(n) for h, n in zip(_text_hashes(text_col), "xc")))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -105,6 +111,11 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
     values are widely copied examples or placeholders. Null and empty texts have no spans; a null owner counts as one owner of its own; rows
     that repeat are separate documents; an empty table gives no rows; other columns are not read.
     """
+    return _scanned(docs, max_owners, id_col, text_col, owner_col).select("doc_id", "found")
+
+
+def _scanned(docs: DataFrame, max_owners: int, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+    """scan_secrets with the text's hashes x and c."""
     rows = materialise(find_candidates(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     owned = materialise(ownership(rows), "owners")
     single = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("value_hash", _value_hash(F.col("s")))
@@ -113,7 +124,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
     live = (F.col("owners") <= max_owners) & _looks_real(F.col("s"))
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "rows", live.alias("live")))).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,rows:bigint,live:boolean>>")
-    return rows.select("row", "doc_id").join(found, "row", "left").select("doc_id", F.coalesce("found", empty).alias("found"))
+    return rows.select("row", "doc_id", "x", "c").join(found, "row", "left").select("doc_id", "x", "c", F.coalesce("found", empty).alias("found"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -129,12 +140,14 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the value of every live candidate replaced by ``mark``; widely copied examples stay, no row goes.
 
-    A document's live values are replaced wherever they stand in it. ``length_col`` is set anew where a text changed.
+    A document's live values are replaced wherever they stand in it; rows that share an id, or have none, are told apart by
+    their texts. ``length_col`` is set anew where a text changed.
     """
     columns = docs.columns
-    scanned = scan_secrets(docs, max_owners, id_col, text_col, owner_col)
-    live = scanned.select(F.col("doc_id").alias("_id"), F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), lambda s: s["value"])).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_id"])
-    out = docs.join(live, F.col(id_col).cast("long") == F.col("_id"), "left")
+    scanned = _scanned(docs, max_owners, id_col, text_col, owner_col)
+    live = scanned.select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), F.col("c").alias("_c"), F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), lambda s: s["value"])).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_id", "_x", "_c"])
+    x, c = _text_hashes(text_col)
+    out = docs.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (x == F.col("_x")) & (c == F.col("_c")), "left")
     longest_first = F.array_sort("_live", lambda a, b: F.length(b) - F.length(a))
     changed = F.aggregate(longest_first, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
     out = out.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(changed))
