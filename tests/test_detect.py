@@ -121,3 +121,18 @@ def test_gate_diff_and_acknowledgments(spark):
     assert reports.apply_acknowledgments(findings, acks, "2026-02-02")[0].count() == 1
     assert [r.status for r in reports.unmatched_acknowledgments(findings, acks, "2026-01-01", score.endpoint_stats(n)).collect()] == ["likely_fixed"]
     assert reports.sarif_results(findings).first().level == "error"
+
+
+def test_explain_tree_holds_deep_spans_and_findings_without_a_span(spark):
+    rows = [span(i, query(i), i, parent=f"t1-s{i - 1}" if i else None) for i in range(12)]
+    rows += [span(3, "SELECT 1", 50, parent="t1-s2"), span(20, query(1), 60, parent="t1-s21"), span(21, query(1), 61, parent="t1-s20")]  # a repeated id, a cycle
+    rows += [span(i, query(i), i, trace="t2", parent="gone") for i in range(9)]
+    n = frame(spark, rows)
+    found = d.detect_fanout(n, 8)
+    tree = reports.explain_tree(n, found).collect()
+    deep = sorted((r.depth, r.path[-1]) for r in tree if r.trace_id == "t1")
+    assert deep == sorted([(i, f"t1-s{i}") for i in range(12)] + [(3, "t1-s3")])
+    assert all(len(r.path) == r.depth + 1 for r in tree if r.path)
+    assert sum(r.trace_id == "t2" and r.depth == 0 and r.findings is None for r in tree) == 9
+    assert [(r.trace_id, r.template, r.findings) for r in tree if r.span_id is None] == [("t2", "parent:gone", ["excessive_fanout"])]
+    assert max(r.depth for r in reports.explain_tree(n, found, 3).collect() if r.path) == 3

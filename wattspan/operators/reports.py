@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,24 +128,43 @@ def findings_for_trace(findings: DataFrame, trace_id: str) -> DataFrame:
     return findings.filter(F.col("trace_id") == trace_id)
 
 
-def explain_tree(spans: DataFrame, findings: DataFrame, max_depth: int = 8) -> DataFrame:
-    """spans with depth, path (ids from the root) and the finding types of their template in that trace.
+def _kept(df: DataFrame) -> DataFrame:
+    """df written as Parquet below spark.checkpoint.dir and read back; a local folder only where that setting is missing (local mode)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    A root has no parent or one outside the data. Paths grow level by level with equi-joins on (trace_id, parent), so spans on
-    cycles, which no root reaches, are left out.
+
+def explain_tree(spans: DataFrame, findings: DataFrame, max_depth: int = 256) -> DataFrame:
+    """spans with depth, path (ids from the root) and the finding types of their template in that trace; and a row without a
+    span, depth and path for each template with findings that no span of its trace in the tree has.
+
+    A root has no parent or one outside the data. Paths grow level by level with equi-joins on (trace_id, parent) until no span is
+    left, so spans on cycles, which no root reaches, are left out, as are spans below ``max_depth``. Of spans that repeat an
+    id, the last by ord has the children. Levels are written to the shared folder.
     """
-    own = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("parent"), "template", "ts_ms")
+    last = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy(F.desc("ord"))) == 1
+    own = _kept(spans.select("trace_id", "span_id", F.col("parent_span_id").alias("parent"), "template", "ts_ms", last.alias("last")))
     known = own.select("trace_id", F.col("span_id").alias("parent")).distinct()
-    roots = own.join(known, ["trace_id", "parent"], "left_anti")
-    level = roots.select("trace_id", "span_id", "template", "ts_ms", F.lit(0).alias("depth"), F.array("span_id").alias("path"))
-    levels = [level]
-    for depth in range(1, max_depth + 1):
-        above = level.select("trace_id", F.col("span_id").alias("parent"), F.col("path").alias("_path"))
-        level = own.join(above, ["trace_id", "parent"]).filter(~F.array_contains("_path", F.col("span_id"))).select("trace_id", "span_id", "template", "ts_ms", F.lit(depth).alias("depth"), F.concat("_path", F.array("span_id")).alias("path"))
+    shown = lambda df, depth, path: df.select("trace_id", "span_id", "template", "ts_ms", F.lit(depth).alias("depth"), path.alias("path"), "last")
+    levels = [_kept(shown(own.join(known, ["trace_id", "parent"], "left_anti"), 0, F.array("span_id")))]
+    while len(levels) <= max_depth:
+        above = levels[-1].filter("last").select("trace_id", F.col("span_id").alias("parent"), F.col("path").alias("_path"))
+        level = _kept(shown(own.join(above, ["trace_id", "parent"]), len(levels), F.concat("_path", F.array("span_id"))))
+        if level.isEmpty():
+            break
         levels.append(level)
-    tree = reduce(DataFrame.unionByName, levels)
-    attached = findings.groupBy("trace_id", F.col("pattern.template").alias("template")).agg(F.sort_array(F.collect_set("type")).alias("findings"))
-    return tree.join(attached, ["trace_id", "template"], "left")
+    tree = reduce(DataFrame.unionByName, levels).drop("last")
+    attached = _kept(findings.groupBy("trace_id", F.col("pattern.template").alias("template")).agg(F.sort_array(F.collect_set("type")).alias("findings")))
+    of_trace = attached.join(tree.select("trace_id", "template").distinct(), ["trace_id", "template"], "left_anti")
+    return tree.join(attached, ["trace_id", "template"], "left").unionByName(of_trace, allowMissingColumns=True)
 
 
 def rank_statements(statements: DataFrame, rankings: dict[str, Column], n: int, key: str = "query") -> DataFrame:

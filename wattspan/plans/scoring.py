@@ -355,7 +355,7 @@ def _query(spark, sf_dir):
 @register("explain_tree", SPANS_SQL.rstrip() + " SELECT trace_id, span_id, CASE WHEN parent_span_id IS NULL THEN 0 ELSE 1 END AS depth, coalesce(parent_span_id || '/', '') || span_id AS path FROM spans")
 def _tree(spark, sf_dir):
     n = normalized(spark, sf_dir)
-    return reports.explain_tree(n, d.detect_fanout(n, LIMITS.fanout), 2).select("trace_id", "span_id", "depth", F.array_join("path", "/").alias("path"))
+    return reports.explain_tree(n, d.detect_fanout(n, LIMITS.fanout)).select("trace_id", "span_id", "depth", F.array_join("path", "/").alias("path"))
 
 
 def _statements(spark, sf_dir) -> DataFrame:
