@@ -1,9 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by hashes of fixed-length runs, in place of relative Lempel-Ziv factors.
 
-Every document is factored against all others. The reference is indexed in blocks: each run of 20 words hashes to the
-block, a shuffle partition, that holds all places of that run. A document's factor grows word by word while its next run
-has an earlier place (a smaller doc_id, or an earlier start in the same document); where it ends, the runs that lie
-across the boundary are looked up like all others, so factors of at least 20 words, and no others, become spans.
+No factor is parsed or extended. Every run of 20 words is hashed to the shuffle partition that finds the first place of
+that run; a run whose first place is elsewhere (a smaller doc_id, or an earlier start in the same document) is repeated,
+and the union of a document's repeated runs are its spans. A word lies in such a run exactly if it lies in a repeat of 20
+words or more, which is what the result asks for; a greedy parse takes one factor at a place and needs the runs across
+its boundaries looked up besides to find the same words.
 
 Most runs are new text. So that only runs that can repeat are looked up, each document first names the smallest of the
 four-word hashes of each of its runs, its anchors: equal runs have equal anchors. An anchor that only one document has is
