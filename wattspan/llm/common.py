@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in HOT_SHARE rows, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 1000
+#: Bits of a block of a key filter, and its blocks: at most 2048 blocks of 4 KiB, 8 MiB, are broadcast.
+FILTER_BITS, FILTER_BLOCKS = 32768, 2048
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,7 +30,53 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _places(key: Column) -> tuple[Column, Column]:
+    """Block and bit of a 64-bit key in a key filter."""
+    return F.pmod(key, F.lit(FILTER_BLOCKS)), F.pmod(F.shiftright(key, 11), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame, key: Column) -> DataFrame:
+    """Bitmaps of 64-bit keys. Their size is fixed; the fuller they are, the more other keys pass as well."""
+    block, bit = _places(key)
+    return keys.select(block.alias("block"), bit.alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def with_passes(rows: DataFrame, filter_: DataFrame, key: str) -> DataFrame:
+    """rows with ``passes``: false only where the key is not in the filter."""
+    block, _ = _places(F.col(key))
+    probed = rows.join(F.broadcast(filter_), block == F.col("block"), "left")
+    bit = f"cast(pmod(shiftright({key}, 11), {FILTER_BITS}) as int)"
+    byte = F.conv(F.hex(F.expr(f"substring(bitmap, {bit} div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(byte, F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1, {bit} % 8)")) != 0
+    return probed.withColumn("passes", hit).drop("block", "bitmap")
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[Column]) -> DataFrame:
+    """``docs`` without the rows whose keys are a row of ``dropped``; nulls equal nulls, extra columns may have any name.
+
+    Only rows that a filter of fixed size lets pass are shuffled with their columns.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+    gone = dropped.toDF(*names)
+    rows = docs.select(F.struct("*").alias("row"), *(k.alias(n) for k, n in zip(keys, names, strict=True))).withColumn("key", F.xxhash64(*names))
+    rows = with_passes(rows, key_filter(gone, F.xxhash64(*names)), "key")
+    a, b = rows.filter("passes").alias("a"), gone.alias("b")
+    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+    left = a.join(b, same, "left_anti")
+    return left.select("row").unionByName(rows.filter("not passes").select("row")).select("row.*")
 
 
 def join_by_key(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
@@ -60,7 +108,7 @@ def batch_blocks(batches: Iterable, column: str, size: int = 1_000_000) -> Itera
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components as (node, root): root is the smallest node reachable. Nodes without links are not returned.
+    """Connected components as (u, v): v is the smallest node reachable from u. Smallest nodes and nodes without links are not returned.
 
     Alternating large-star and small-star steps, each written to the shared folder, until every component is a star. The
     joins bring one number to each link; AQE splits those of nodes with very many links.
@@ -74,6 +122,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter("u <> v").distinct(), "small")
+        small = materialise(small.filter("u <> v").distinct(), "small")
+        discard(edges, large)
+        edges = small
         if edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges

@@ -3,10 +3,12 @@
 1. Each document's distinct five-word shingles give 160 MinHash samples: 32 bands of five, and an odd sketch, a bitmap of
    1024 parities in which every sample flips one bit.
 2. Documents with the same words collapse to one representative, so copies cost a row a task.
-3. Representatives that share a band are compared with leaders of that band, not with each other. The XOR population count
-   of two odd sketches estimates their similarity; pairs near or above the threshold are compared on full shingle sets.
-4. A band stays open while members that were never compared lie in different components. Open bands are compared again
-   with more leaders, one for each component, until none is open. No pair that shares a band is left out.
+3. Every representative is compared with the most central member, the leader, of each band that it shares: sizes decide
+   first, then the XOR population count of the two odd sketches, which estimates their similarity, then full shingle sets.
+4. A band whose other members still lie in several components is open. Two members of it can only be linked if their sets
+   agree in all but a few shingles, so they share one of their rarest. Members of open bands meet on these (see
+   ``_open_pairs``); sketches and full sets decide again. Nothing is compared that cannot be linked, so a large group of
+   texts around the threshold costs rows in proportion to its size, and no pair that shares a band is left out.
 
 A pair at similarity 0.85 shares no band with a probability below 1e-8; the sketch refuses it below 1e-15.
 """
@@ -16,19 +18,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks, components, join_by_key, materialise
-from wattspan.llm.segments import Hasher, document_words, mix
+from wattspan.llm.common import batch_blocks, components, discard, join_by_key, key_filter, materialise, with_passes, without
+from wattspan.llm.segments import Words, hash_ranges, hash_runs, mix
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 160, 5, 1024
 FEATURES = "doc_id long, x long, c int, n_shingles long, k1 long, k2 long, bands array<long>, sketch array<long>"
-SETS = "rep long, n_shingles long, shingles array<long>"
-#: Bands of at most so many members are compared in full after the first round; larger ones with so many leaders at first.
-SMALL_BAND, LEADERS = 32, 4
+SETS = "rep long, shingles array<long>"
 #: Sketches that differ in more bits belong to pairs of an estimated similarity below 0.6.
 MAX_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.4 / BITS)))
+#: Sets of at most so many shingles are broadcast where they stand in very many pairs.
+BROADCAST_SET = 10_000
+#: Parts over which the postings of one shingle are spread where they meet.
+SALTS = 8
 
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = (_RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) * 2 + 1)[:, None]
@@ -37,18 +41,12 @@ _SAMPLE = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ROW = _RNG.integers(0, 1 << 63, (SAMPLES // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def document_shingles(texts: list, hashers: tuple[Hasher, Hasher]) -> Iterator[tuple[np.ndarray, int, int]]:
-    """For each text its distinct shingle hashes, sorted, and two hashes of its whole word sequence."""
-    _, data, starts, ends, first = document_words(texts, fold=True)
-    words = hashers[0].ranges(data, starts, ends)
-    n = len(words)
-    at = np.arange(max(n - SHINGLE + 1, 0))
-    shingles = hashers[0].of_values(words, at, at + SHINGLE).view(np.int64)
-    whole = [h.of_values(words, first[:-1], first[1:]).view(np.int64) for h in hashers]
-    for i in range(len(texts)):
-        a, b = first[i], first[i + 1]
-        own = np.unique(shingles[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[0][i : i + 1] if b > a else shingles[:0]
-        yield own, int(whole[0][i]), int(whole[1][i])
+def document_shingles(words: Words) -> Iterator[np.ndarray]:
+    """For each text of a block its distinct shingle hashes, sorted; a text of fewer than five words has one of all its words."""
+    hashes = hash_ranges(words.data, words.starts, words.ends)[0]
+    runs = hash_runs(hashes, SHINGLE).view(np.int64)
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        yield np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else hash_runs(hashes[a:b], b - a).view(np.int64) if b > a else runs[:0]
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -80,65 +78,57 @@ def _lists(values: list[np.ndarray]):
 def _features(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    hashers = Hasher(0), Hasher(1)
     for part, texts in batch_blocks(batches, "text"):
-        n, k1, k2, own_bands, sketches = [], [], [], [], []
-        for shingles, a, b in document_shingles(texts, hashers):
+        words, n, own_bands, sketches = Words(texts, fold=True), [], [], []
+        for shingles in document_shingles(words):
             n.append(len(shingles))
-            k1.append(a)
-            k2.append(b)
             samples = minhash(shingles) if len(shingles) else None
             own_bands.append(bands(samples) if len(shingles) else shingles)
             sketches.append(odd_sketch(samples) if len(shingles) else shingles)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("x"), part.column("c"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), _lists(own_bands), _lists(sketches)], ["doc_id", "x", "c", "n_shingles", "k1", "k2", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(x) for x in ("doc_id", "x", "c")), pa.array(n, pa.int64()), *map(pa.array, words.keys()), _lists(own_bands), _lists(sketches)],
+            ["doc_id", "x", "c", "n_shingles", "k1", "k2", "bands", "sketch"],
+        )
 
 
 def _sets(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    hashers, seen = (Hasher(0), Hasher(1)), set()
+    seen: set[int] = set()
     for part, texts in batch_blocks(batches, "text"):
         # rows that repeat id and text meet in a task
         new = [i for i, rep in enumerate(part.column("rep").to_pylist()) if not (rep in seen or seen.add(rep))]
-        part, texts = part.take(pa.array(new, pa.int64())), [texts[i] for i in new]
-        own = [x for x, _, _ in document_shingles(texts, hashers)]
-        yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([len(x) for x in own], pa.int64()), _lists(own)], ["rep", "n_shingles", "shingles"])
+        own = list(document_shingles(Words([texts[i] for i in new], fold=True)))
+        yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(new, pa.int64())), _lists(own)], ["rep", "shingles"])
 
 
-def _differ(x: str, y: str):
+def _differ(x: str, y: str) -> Column:
     """Bits in which two odd sketches differ."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def _more_pairs(members: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in the open bands, and the (band, rep) that are thereby compared with all of their band.
-
-    members: band, rep, ties, comp, n (members of the band), sketch. A small band is compared in full; in a large one the most
-    central representative of each of ``classes`` classes of components is compared with all members. Sketches decide
-    inside the join, so pairs that are far apart are never made.
-    """
-    small = members.filter(F.col("n") <= SMALL_BAND)
-    large = members.filter(F.col("n") > SMALL_BAND).withColumn("k", F.pmod(F.xxhash64("comp"), F.lit(classes)))
-    other = lambda df: df.select("band", F.col("rep").alias("other"), F.col("comp").alias("co"), F.col("sketch").alias("so"))
-    near = lambda a, b, first: a.alias("a").join(b.alias("b"), (F.col("a.band") == F.col("b.band")) & first & (F.col("comp") != F.col("co")) & (_differ("sketch", "so") <= MAX_XOR))
-    ordered = lambda df: df.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    top = large.groupBy("band", "k").agg(F.max_by("rep", F.struct("ties", -F.col("rep"))).alias("rep"))
-    leaders = large.drop("k").join(top.select("band", "rep"), ["band", "rep"], "left_semi")
-    pairs = ordered(near(small, other(small), F.col("rep") < F.col("other"))).unionByName(ordered(near(large, other(leaders), F.col("rep") != F.col("other")))).distinct()
-    return pairs, leaders.select("band", "rep").unionByName(small.select("band", "rep"))
+def _with_facts(pairs: DataFrame, facts: DataFrame, side: str, other: str, total: int) -> DataFrame:
+    """pairs with the facts (rep, ...) of their ``side``, whose columns get its name; a rep of very many pairs is no hot key."""
+    often = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("w"))
+    named = facts.select(*(F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in facts.columns)).join(often, side)
+    return join_by_key(pairs, named, [side], "w", total).drop("w")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the similarity: odd sketches first, then whole sets.
-
-    A leader stands in many pairs; AQE splits its pairs, each of which brings its own other side.
-    """
-    sketch = reps.select("rep", "sketch")
-    near = pairs.join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
-    near = near.filter(_differ("sa", "sb") <= MAX_XOR).select("a", "b")
-    full = near.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a")
-    both = F.size(F.array_intersect("xa", "xb"))
-    return full.filter(both * 100 >= (F.size("xa") + F.size("xb") - both) * percent).select("a", "b")
+    """The distinct pairs (a, b) whose sets reach the similarity: odd sketches first, then whole sets."""
+    sketches = reps.select("rep", "sketch")
+    total = pairs.count()
+    near = _with_facts(_with_facts(pairs, sketches, "b", "a", total), sketches, "a", "b", total).filter(_differ("sketch_a", "sketch_b") <= MAX_XOR).select("a", "b")
+    near = materialise(near, "near")
+    total = near.count()
+    full = near
+    for side, other in (("b", "a"), ("a", "b")):
+        small, large = sets.filter(F.size("shingles") <= BROADCAST_SET), sets.filter(F.size("shingles") > BROADCAST_SET)
+        full = _with_facts(full, small, side, other, total).unionByName(full.join(large.select(F.col("rep").alias(side), F.col("shingles").alias(f"shingles_{side}")), side))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    linked = materialise(full.filter(both * (100 + percent) >= (F.size("shingles_a") + F.size("shingles_b")) * percent).select("a", "b"), "linked")
+    discard(near)
+    return linked
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,14 +153,17 @@ def _judged(source: DataFrame, percent: int) -> DataFrame:
     features = materialise(source.mapInArrow(_features, FEATURES), "features")
     same = features.filter("n_shingles > 0").groupBy("k1", "k2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "c")).alias("first")
-    reps = materialise(same.agg(first, F.count(F.lit(1)).alias("size"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "reps")
-    reps = _numbered(reps.select("k1", "k2", "size", "bands", "sketch", F.col("first.doc_id").alias("id"), F.col("first.x").alias("x"), F.col("first.c").alias("c")))
+    reps = same.agg(first, F.count(F.lit(1)).alias("size"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    own = [F.col(f"first.{c}").alias(n) for c, n in (("doc_id", "id"), ("x", "x"), ("c", "c"))]
+    reps = _numbered(materialise(reps.select("k1", "k2", "size", "n_shingles", "bands", "sketch", *own), "reps"))
     roots = _roots(source, reps, percent)
     # a component is named by its root's id; the root's first row is the one that stays
     named = roots.join(reps.select(F.col("rep").alias("root"), F.col("id").alias("root_id")), "root").select("node", "root", "root_id")
-    keyed = reps.join(named, reps.rep == named.node, "left").select("k1", "k2", "size", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("component_id"), F.coalesce(F.col("root") == F.col("rep"), F.lit(True)).alias("is_root"), F.col("id").alias("own_id"), F.col("x").alias("own_x"), F.col("c").alias("own_c"))
-    total = features.count()
-    out = join_by_key(features.filter("n_shingles > 0").select("doc_id", "x", "c", "n_shingles", "k1", "k2"), keyed, ["k1", "k2"], "size", total)
+    keyed = reps.join(named, reps.rep == named.node, "left").select(
+        "k1", "k2", "size", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root_id")).alias("component_id"),
+        F.coalesce(F.col("root") == F.col("rep"), F.lit(True)).alias("is_root"), F.col("id").alias("own_id"), F.col("x").alias("own_x"), F.col("c").alias("own_c"),
+    )
+    out = join_by_key(features.filter("n_shingles > 0").select("doc_id", "x", "c", "n_shingles", "k1", "k2"), keyed, ["k1", "k2"], "size", features.count())
     stays = F.col("is_root") & F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("x") == F.col("own_x")) & (F.col("c") == F.col("own_c"))
     out = out.select("doc_id", "x", "c", "n_shingles", "component_id", stays.alias("kept"))
     return out.unionByName(features.filter("n_shingles = 0").select("doc_id", "x", "c", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
@@ -189,45 +182,112 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return _judged(_keyed(docs, id_col, text_col), percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _leader_pairs(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(band, m, rep, leader) of the members of shared bands, and the pairs (a, b) of leaders and members whose sizes allow a link."""
+    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    placed = materialise(join_by_key(banded, shared, ["band"], "m", reps.count() * (SAMPLES // ROWS)), "placed")
+    # a text that shares most with most others is central: its edits, if any, are fewest
+    central = placed.groupBy("rep").agg(F.sum("m").alias("ties"))
+    best = placed.join(central, "rep").groupBy("band", "m").agg(F.max_by(F.struct("rep", "n_shingles"), F.struct("ties", -F.col("rep"))).alias("best"))
+    leaders = best.select("band", F.col("m").alias("rows"), F.col("best.rep").alias("leader"), F.col("best.n_shingles").alias("size"))
+    members = materialise(join_by_key(placed, leaders, ["band"], "rows", placed.count()).filter("rep <> leader").drop("rows"), "members")
+    discard(placed)
+    fits = F.least("n_shingles", "size") * 100 >= F.greatest("n_shingles", "size") * percent
+    pairs = materialise(members.filter(fits).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    return members, pairs
+
+
+def _several(groups: DataFrame, key: str, count: str) -> DataFrame:
+    """The keys whose rows lie in more than one component."""
+    found = groups.groupBy(key).agg(F.count(F.lit(1)).alias(count), F.min("comp").alias("lo"), F.max("comp").alias("hi_comp"))
+    return found.filter("lo <> hi_comp").drop("lo", "hi_comp")
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(s, rep, comp, n, most) of those shingles of each set by which a link can be found first.
+
+    Sets are put in order of rarity. Where the first shingle that two sets share stands at position k in one of n shingles,
+    they share at most n - k, so the other has at most ``most`` shingles if they are linked. Shingles of one set alone share
+    nothing and only move the others back; shingles too far back to leave a partner of any size are left out.
+    """
+    single = materialise(sets.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "shingles")
+    often = single.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = join_by_key(single, often, ["s"], "df", single.count()).groupBy("rep", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
+    own = F.col("n") - F.size("l")
+    reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - own
+    placed = ranked.filter(reach > 0).select("rep", "comp", "n", own.alias("own"), F.posexplode(F.slice("l", 1, reach.cast("int"))).alias("i", "t"))
+    most = F.floor((F.col("n") - F.col("own") - F.col("i")) * (100 + percent) / percent).cast("long") - F.col("n")
+    out = materialise(placed.select("t.s", "rep", "comp", F.col("n").cast("long").alias("n"), most.alias("most")), "postings")
+    discard(single)
+    return out
+
+
+def _open_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that can reach the similarity; sets: rep, comp, shingles.
+
+    Two postings of a shingle fit if each has at most as many shingles as the other allows. First the postings go that no
+    posting of the shingle fits, by the largest ``most`` of each size (their number is bounded by sizes, not by postings);
+    then, in each shingle that still has several components, all components but the largest meet all postings.
+    """
+    postings = _postings(sets, percent)
+    by_size = postings.groupBy("s", "n").agg(F.max("most").alias("most"), F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sizes = by_size.groupBy("s").agg(F.collect_list(F.struct("n", "most", "df")).alias("sizes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+    fitting = lambda x: F.transform(F.filter("sizes", lambda y: (y["most"] >= x["n"]) & ((y["n"] != x["n"]) | (y["df"] > 1))), lambda y: y["n"])
+    least = sizes.select("s", F.explode(F.transform("sizes", lambda x: F.struct(x["n"].alias("n"), x["df"].alias("df"), F.array_min(fitting(x)).alias("least")))).alias("z")).select("s", "z.*")
+    fit = materialise(join_by_key(postings, least.filter("least is not null"), ["s", "n"], "df", postings.count()).filter("most >= least").drop("df", "least"), "fit")
+    discard(postings)
+
+    by_component = fit.groupBy("s", "comp").agg(F.count(F.lit(1)).alias("w"))
+    largest = by_component.groupBy("s").agg(F.max_by("comp", F.struct("w", -F.col("comp"))).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("w").alias("df")).filter("comps > 1")
+    meet = materialise(join_by_key(fit, largest, ["s"], "df", fit.count()).drop("df", "comps"), "meet")
+    discard(fit)
+    all_ = meet.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
+    few = meet.filter("comp <> largest").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    once = (F.col("o.comp") == F.col("o.largest")) | (F.col("f.rep") < F.col("o.rep"))
+    fits = (F.col("f.comp") != F.col("o.comp")) & (F.col("f.n") <= F.col("o.most")) & (F.col("o.n") <= F.col("f.most"))
+    same = (F.col("f.s") == F.col("o.s")) & (F.col("f.salt") == F.col("o.salt"))
+    pairs = few.alias("f").join(all_.alias("o"), same & fits & once).select(F.least("f.rep", "o.rep").alias("a"), F.greatest("f.rep", "o.rep").alias("b"))
+    out = materialise(pairs.distinct(), "pairs")
+    discard(meet)
+    return out
+
+
 def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the representatives that are linked with others."""
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(banded.join(shared, "band"), "shared")
-    # a text that shares most with most others is central: its edits, if any, are fewest
-    central = members.groupBy("rep").agg(F.sum("n").alias("ties"))
-    members = materialise(members.join(central, "rep"), "members")
-    # first round: every band has one leader, its most central representative
-    leaders = members.groupBy("band").agg(F.max_by("rep", F.struct("ties", -F.col("rep"))).alias("leader"))
-    members = materialise(members.join(leaders, "band"), "members")
-    pairs = materialise(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("b").alias("rep")).unionByName(pairs.select(F.col("a").alias("rep"))).distinct().join(reps.select("rep", "id", F.col("x").alias("rx"), F.col("c").alias("rc")), "rep")
-    own = source.doc_id.eqNullSafe(F.col("id")) & (source.x == F.col("rx")) & (source.c == F.col("rc"))
-    sets = materialise(source.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(_sets, SETS), "sets")
-    tested = pairs
-    links = materialise(_links(pairs, reps, sets, percent), "linked")
+    members, pairs = _leader_pairs(reps, percent)
+    # full sets are needed of all that are compared, now or later
+    often = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
+    open_ = members.join(often, "band", "left_semi").select("rep")
+    involved = pairs.select(F.col("b").alias("rep")).unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(open_).distinct()
+    involved = materialise(involved.join(reps.select("rep", "id", F.col("x").alias("rx"), F.col("c").alias("rc")), "rep"), "involved")
+    keys = key_filter(involved, F.xxhash64("id", "rx", "rc"))
+    texts = with_passes(source.withColumn("key", F.xxhash64("doc_id", "x", "c")), keys, "key").filter("passes")
+    own = texts.doc_id.eqNullSafe(F.col("id")) & (texts.x == F.col("rx")) & (texts.c == F.col("rc"))
+    sets = materialise(texts.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(_sets, SETS), "sets")
+    links = _links(pairs, reps, sets, percent)
+    discard(pairs, involved)
+
     roots = components(links)
-    done, classes = members.filter("rep = leader").select("band", "rep"), LEADERS
-    while True:
-        left = members.select("band", "rep", "ties").join(done, ["band", "rep"], "left_anti").join(roots, F.col("rep") == F.col("node"), "left").select("band", "rep", "ties", F.coalesce("root", "rep").alias("comp"))
-        left = materialise(left, "left")
-        still = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band", "n")
-        members = materialise(left.join(still, "band"), "open")
-        if members.isEmpty():
-            return roots
-        pairs, done = _more_pairs(members.join(reps.select("rep", "sketch"), "rep"), classes)
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        found = materialise(_links(pairs, reps, sets, percent), "linked")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
-        classes *= 4
+    comp = F.coalesce("v", "rep").alias("comp")
+    placed = members.join(roots, F.col("rep") == F.col("u"), "left").select("band", "rep", comp)
+    open_bands = materialise(_several(placed, "band", "m"), "open")
+    open_reps = join_by_key(placed, open_bands, ["band"], "m", members.count()).select("rep", "comp").distinct()
+    pairs = _open_pairs(sets.join(open_reps, "rep"), percent)
+    found = _links(pairs, reps, sets, percent)
+    if not found.isEmpty():
+        more = components(links.unionByName(found))
+        discard(roots)
+        roots = more
+    discard(members, open_bands, pairs, sets, links, found)
+    return roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that a smaller id's component holds. Rows that repeat both a kept id and text all stay."""
-    dropped = _judged(_keyed(docs, id_col, text_col), percent).filter("not kept").select(F.col("doc_id").alias("_dropped"), F.col("x").alias("_x"), F.col("c").alias("_c")).distinct()
+    """``docs`` without the documents that a smaller id's component holds. Rows that repeat both a kept id and text all stay.
+
+    Null, empty and blank texts stay, with or without an id; an empty table stays empty.
+    """
+    dropped = materialise(_judged(_keyed(docs, id_col, text_col), percent).filter("not kept").select("doc_id", "x", "c").distinct(), "dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")) & (F.xxhash64(text) == F.col("_x")) & (F.hash(text) == F.col("_c"))
-    return docs.join(dropped, same, "left_anti")
+    return without(docs, dropped, [F.col(id_col).cast("long"), F.xxhash64(text), F.hash(text)])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.llm.common import batch_blocks
-from wattspan.llm.segments import BASES, Hasher, WordIndex, mix
+from wattspan.llm.segments import BASES, WordIndex, hash_ranges, mix
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -103,7 +103,7 @@ class PieceModel:
             if ord(x[0]) < 512 and ord(x[1]) < 512:
                 self.small[ord(x[0]), ord(x[1])] = True
         self.apart: dict[int, bool] = {}
-        self.hasher, self.index = Hasher(), WordIndex(cache)
+        self.index = WordIndex(cache)
         # bytes of each piece, for decoding
         raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -250,8 +250,8 @@ class PieceModel:
         begins[edges[:-1][edges[:-1] < n]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], n)
-        hashes = self.hasher.of_values(mix(codes.astype(np.uint64) + np.uint64(7)), starts, ends)
-        flat, before = self.index.expand(hashes, lambda at: self.encode_segments([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
+        hashes = hash_ranges(codes.view(np.uint8), starts * 4, ends * 4, 2)
+        flat, before = self.index.expand(*hashes, lambda at: self.encode_segments([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
         at = before[np.searchsorted(starts, edges)]
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.llm.common import batch_blocks, join_by_key, materialise
-from wattspan.llm.segments import Hasher, document_words
+from wattspan.llm.segments import Words, hash_ranges, hash_runs
 
 GRAM = 4
 #: Stands for a null id inside: such rows come last.
 _LAST = (1 << 63) - 1
-_DOCUMENTS = "id long, n_words long, all_sha256 string, k1 long, k2 long, anchors array<long>"
+_DOCUMENTS = "id long, x long, c int, n_words long, all_sha256 string, k1 long, k2 long, anchors array<long>"
 
 
 def _int_lists(column) -> list[np.ndarray]:
@@ -38,16 +38,15 @@ def _int_lists(column) -> list[np.ndarray]:
     return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)[:-1])
 
 
-class _Words:
+class _Text(Words):
     """Words, runs and anchors of the texts of one block."""
 
-    def __init__(self, texts: list, hashers: tuple[Hasher, Hasher], window: int):
-        self.joined, data, self.starts, self.ends, self.first = document_words(texts, fold=False)
-        self.window, self.hashers = window, hashers
-        self.hashes = [h.ranges(data, self.starts, self.ends) for h in hashers]
-        self.whole = [h.of_values(x, self.first[:-1], self.first[1:]).view(np.int64) for h, x in zip(hashers, self.hashes, strict=True)]
-        n, wide = len(self.starts), window - GRAM + 1
-        low = self.grams = hashers[0].of_values(self.hashes[0], at := np.arange(max(n - GRAM + 1, 0)), at + GRAM)
+    def __init__(self, texts: list, window: int):
+        super().__init__(texts, fold=False)
+        self.window = window
+        self.hashes = hash_ranges(self.data, self.starts, self.ends, 2)
+        wide = window - GRAM + 1
+        low = self.grams = hash_runs(self.hashes[0], GRAM)
         size = 1
         while size * 2 <= wide and len(low) > size:  # minima over wide neighbours by doubling
             low = np.minimum(low[:-size], low[size:])
@@ -74,21 +73,18 @@ class _Words:
         return np.bincount(where[anchors[where] == grams], minlength=len(anchors)) > 1
 
     @cached_property
-    def all_runs(self) -> tuple[np.ndarray, np.ndarray]:
+    def all_runs(self) -> tuple[np.ndarray, ...]:
         """Both hashes of the run that starts at each word of the block."""
-        at = np.arange(max(len(self.starts) - self.window + 1, 0))
-        return tuple(h.of_values(x, at, at + self.window).view(np.int64) for h, x in zip(self.hashers, self.hashes, strict=True))
+        return tuple(hash_runs(x, self.window).view(np.int64) for x in self.hashes)
 
     def run_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.all_runs[0][at], self.all_runs[1][at]
 
     def sha256(self, i: int, removed: np.ndarray | None = None) -> str:
-        a, b = self.first[i], self.first[i + 1]
-        keep = np.arange(a, b) if removed is None else np.flatnonzero(~removed) + a
-        return hashlib.sha256(b" ".join([self.joined[s:e] for s, e in zip(self.starts[keep].tolist(), self.ends[keep].tolist())])).hexdigest()
+        return hashlib.sha256(self.joined(i, removed)).hexdigest()
 
 
-def _live_runs(words: _Words, i: int, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _live_runs(words: _Text, i: int, dead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of text i the runs with a live anchor: positions in the document, both hashes, and whether the run is new in the document."""
     anchors, which = words.anchors(i)
     if not len(anchors):
@@ -108,14 +104,13 @@ def _read_documents(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashers = Hasher(0), Hasher(1)
         for part, texts in batch_blocks(batches, "text"):
-            words = _Words(texts, hashers, window)
+            words = _Text(texts, window)
             anchors = [words.anchors(i)[0] for i in range(len(texts))]
             offsets = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(np.diff(words.first), pa.int64()), pa.array([words.sha256(i) for i in range(len(texts))]), pa.array(words.whole[0]), pa.array(words.whole[1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))],
-                ["id", "n_words", "all_sha256", "k1", "k2", "anchors"],
+                [*(part.column(x) for x in ("id", "x", "c")), pa.array(np.diff(words.first), pa.int64()), pa.array([words.sha256(i) for i in range(len(texts))]), *map(pa.array, words.keys()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *anchors])))],
+                ["id", "x", "c", "n_words", "all_sha256", "k1", "k2", "anchors"],
             )
 
     return run
@@ -125,13 +120,10 @@ def _runs(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashers = Hasher(0), Hasher(1)
         for part, texts in batch_blocks(batches, "text"):
-            words = _Words(texts, hashers, window)
+            words = _Text(texts, window)
             out: list[list] = [[], [], [], []]
-            for i, (doc, k1, dead) in enumerate(zip(part.column("doc").to_pylist(), part.column("k1").to_pylist(), _int_lists(part.column("dead")), strict=True)):
-                if k1 != words.whole[0][i]:
-                    continue  # another text of the same id
+            for i, (doc, dead) in enumerate(zip(part.column("doc").to_pylist(), _int_lists(part.column("dead")), strict=True)):
                 at, h, c, first = _live_runs(words, i, dead)
                 for column, values in zip(out, (h[first], c[first], np.full(first.sum(), doc), at[first]), strict=True):
                     column.append(values)
@@ -145,14 +137,11 @@ def _spans(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hashers = Hasher(0), Hasher(1)
         for part, texts in batch_blocks(batches, "text"):
-            words = _Words(texts, hashers, window)
+            words = _Text(texts, window)
             rows = []
-            columns = part.column("doc").to_pylist(), part.column("k1").to_pylist(), _int_lists(part.column("dead")), _int_lists(part.column("firsts"))
-            for i, (doc, k1, dead, firsts) in enumerate(zip(*columns, strict=True)):
-                if k1 != words.whole[0][i]:
-                    continue
+            columns = part.column("doc").to_pylist(), _int_lists(part.column("dead")), _int_lists(part.column("firsts"))
+            for i, (doc, dead, firsts) in enumerate(zip(*columns, strict=True)):
                 at = _live_runs(words, i, dead)[0]
                 gone = np.setdiff1d(at, firsts, assume_unique=True)
                 edge = np.zeros(words.n_words(i) + 1, np.int32)
@@ -176,17 +165,19 @@ def repeated_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Rows that repeat an id and its words are one document and get equal rows; of rows that share an id but not their words
     the order is fixed by a hash of the words; null ids come last. An empty table gives no rows; other columns are not read.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("x"), F.hash(text).alias("c"))
     read = materialise(source.mapInArrow(_read_documents(window), _DOCUMENTS), "documents")
-    # one row for each distinct sequence of words, numbered in the order of ids
-    slim = read.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.max(F.size("anchors")).alias("n_anchors"))
-    slim = materialise(slim.orderBy("id", "k1").withColumn("doc", F.monotonically_increasing_id()), "numbered")
+    # one row for each distinct sequence of words, numbered in the order of ids; x and c tell texts of one id apart
+    slim = read.groupBy("k1", "k2").agg(F.min(F.struct("id", "x", "c")).alias("first"), F.count(F.lit(1)).alias("size"), F.max(F.size("anchors")).alias("n_anchors"))
+    slim = slim.select("k1", "k2", "first.*", "size", "n_anchors").orderBy("id", "k1")
+    slim = materialise(slim.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 
-    long = read.filter(F.size("anchors") > 0).select("id", "k1", "k2", "anchors").join(slim.select("id", "k1", "k2", "doc"), ["k1", "k2", "id"])
+    long = read.filter(F.size("anchors") > 0).select("id", "x", "c", "anchors").join(slim.select("id", "x", "c", "doc"), ["id", "x", "c"])
     held = long.select("doc", F.posexplode("anchors").alias("i", "anchor")).groupBy("anchor").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("i").alias("i"))
     dead = held.filter(F.col("doc") == F.col("last")).groupBy("doc").agg(F.collect_list("i").alias("dead"))
-    lists = slim.filter("n_anchors > 0").join(dead, "doc", "left").select("id", "doc", "k1", F.coalesce("dead", F.array().cast("array<int>")).alias("dead"))
-    texts = materialise(source.filter("text is not null").join(lists.hint("shuffle_hash"), "id").drop("id"), "texts", compression="zstd")
+    lists = slim.filter("n_anchors > 0").join(dead, "doc", "left").select("id", "x", "c", "doc", F.coalesce("dead", F.array().cast("array<int>")).alias("dead"))
+    texts = materialise(source.filter("text is not null").join(lists.hint("shuffle_hash"), ["id", "x", "c"]).select("doc", "dead", "text"), "texts", compression="zstd")
 
     places = texts.mapInArrow(_runs(window), "h long, c long, doc long, at int").groupBy("h", "c").agg(F.min("doc").alias("doc"), F.min_by("at", "doc").alias("at"))
     firsts = places.groupBy("doc").agg(F.collect_list("at").alias("firsts"))

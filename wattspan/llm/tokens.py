@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from wattspan.llm.segments import Hasher, WordIndex
+from wattspan.llm.segments import WordIndex, hash_ranges
 
 #: Texts of these characters only, without special-token strings, are cut by byte class.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
@@ -59,7 +59,7 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.hasher, self.index = Hasher(), WordIndex(cache)
+        self.index = WordIndex(cache)
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
         out: list = [None] * len(words)
@@ -80,7 +80,7 @@ class WordBpe:
             data = np.frombuffer(joined, np.uint8)
             starts, ends = pretokens(data)
             flat, before = self.index.expand(
-                self.hasher.ranges(data, starts, ends), lambda at: self._encode([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+                *hash_ranges(data, starts, ends, 2), lambda at: self._encode([joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
             )
             at = before[np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))]
             for k, i in enumerate(plain):
