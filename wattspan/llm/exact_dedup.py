@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import join_by_key, materialise
+from wattspan.llm.common import join_by_key, materialise, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a block of the hit filter, and its blocks: at most 2048 blocks of 4 KiB, 8 MiB, are broadcast.
@@ -91,7 +91,10 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 8
 
 
 def keep_one(docs: DataFrame, keep: str = "smallest", memtables: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row keeps. Rows that repeat both the kept id and text all stay."""
-    dropped = exact_duplicates(docs, keep, memtables, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_dropped")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("_sha"))
-    return docs.join(dropped.distinct(), same, "left_anti")
+    """``docs`` without the rows whose text another row keeps. Rows that repeat both the kept id and text all stay.
+
+    Null counts as the empty text and a null id never stays while another id has the text; where only null ids have it, all
+    of them stay. An empty table stays empty; other columns may have any name.
+    """
+    dropped = materialise(exact_duplicates(docs, keep, memtables, id_col, text_col).filter("not kept").select("doc_id", "text_sha256").distinct(), "dropped")
+    return without(docs, dropped, [F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)])

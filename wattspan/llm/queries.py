@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from wattspan.llm.exact_dedup import exact_duplicates
 from wattspan.llm.language_id import fit_language_id, identify_languages
 from wattspan.llm.line_dedup import dedup_lines
@@ -37,7 +36,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), learn=_fold(5) != 0)
-    return score_toxicity(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit_language_id(docs, learn=_fold(4) != 2)
-    return identify_languages(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+    return identify_languages(docs, model).select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +106,9 @@ GROUP BY l.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The ten operators' queries, and the pipeline of the script at the repository top."""
+    import corpus_pipeline
+
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": corpus_pipeline.run}
 
 

@@ -2,9 +2,10 @@
 
 Base kinds (assign, access, hex) are found by their patterns. The method adds candidates of other shapes (vendor
 prefixes, key blocks, tokens of three parts) and judges every candidate value by who owns it: values are hashed and
-counted by distinct owners (``owner_col``, the source by default) over the corpus. A value that many owners carry is an
-example; one that few owners carry is live unless it is a placeholder: a key block without a body, or a value without
-digits that repeats a few letters.
+counted by distinct repositories and distinct owners over the corpus (``repository_col`` and ``owner_col``; documents
+know only their source, which stands for both by default). A value that many owners carry is an example; one that few
+owners carry, in however many repositories of theirs, is live unless it is a placeholder: a key block without a body, or
+a value without digits that repeats a few letters.
 
 A key block reaches from its BEGIN to its END line; if no END line follows, as far as lines of base64 go. Its body without
 line breaks and indents is what is counted.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import join_by_key, materialise
+from wattspan.llm.common import join_by_key, key_filter, materialise, with_passes
 
 #: The base patterns, then the added shapes, in the order in which spans of one start are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,6 +38,8 @@ _PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, VENDOR, KEY_BLOCK, JWT)))
 #: A value without digits is a placeholder if it has fewer different letters behind its prefix.
 LETTERS = 4
 _PREFIX = r"^(?:AKIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\.|npm_|SG\.)"
+#: Matches of a text that are put in place together.
+CHUNK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -46,15 +49,17 @@ def _spans(text: Column, kind: str) -> Column:
     whole = F.regexp_extract_all(text, pattern, 0)
     value = F.regexp_extract_all(text, pattern, 2) if kind == "assign" else whole
     parts = F.zip_with(F.split(text, _PATTERNS[kind]), whole, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("size")))
-    placed = F.aggregate(
-        F.zip_with(F.slice(parts, 1, F.size(whole)), value, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + p["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), F.lit(order).alias("kind"), (s["at"] + p["gap"] + p["size"]).alias("end"), p["value"].alias("value")))).cast(_SPAN).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    parts = F.zip_with(F.slice(parts, 1, F.size(whole)), value, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), v.alias("value")))
+    # running sums in chunks: places within a chunk, then the chunks' own offsets, so that many matches cost no square
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / CHUNK).cast("int")), lambda i: F.slice(parts, i * CHUNK + 1, CHUNK))
+    span = lambda at, p: F.struct((at + p["gap"]).alias("start"), F.lit(order).alias("kind"), (at + p["gap"] + p["size"]).alias("end"), p["value"].alias("value"))
+    within = F.transform(chunks, lambda chunk: F.aggregate(
+        chunk, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
+        lambda s, p: F.struct((s["at"] + p["gap"] + p["size"]).alias("at"), F.concat(s["out"], F.array(span(s["at"], p))).cast(_SPAN).alias("out")),
+    ))
+    offsets = F.aggregate(within, F.array(F.lit(0)), lambda s, w: F.concat(s, F.array(F.element_at(s, -1) + w["at"])))
+    moved = lambda w, by: F.transform(w["out"], lambda x: F.struct((x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["value"].alias("value")))
+    placed = F.flatten(F.zip_with(within, F.slice(offsets, 1, F.size(within)), moved)).cast(_SPAN)
     if kind == "assign":
         placed = F.filter(placed, lambda s: F.length(s["value"]) >= 6)
     return F.when(text.rlike(_PATTERNS[kind]), placed).otherwise(F.array().cast(_SPAN))
@@ -90,40 +95,42 @@ def _text_hashes(text_col: str) -> tuple[Column, Column]:
     return F.xxhash64(text), F.hash(text)
 
 
-def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """doc_id, owner, the spans of every kind in order of start, then kind, and x and c, hashes of the text. Null texts count as empty."""
+def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source") -> DataFrame:
+    """doc_id, owner, repository, the spans of every kind in order of start, then kind, and x and c, hashes of the text. Null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = F.array_sort(F.concat(*[_spans(text, k) for k in KINDS]))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), every.alias("spans"), *(h.alias(n) for h, n in zip(_text_hashes(text_col), "xc")))
+    named = [F.col(c).cast("string").alias(n) for c, n in ((owner_col, "owner"), (repository_col, "repository"))]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *named, every.alias("spans"), *(h.alias(n) for h, n in zip(_text_hashes(text_col), "xc", strict=True)))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """value_hash, rows and owners over the corpus. Equal values of one owner meet before the count of owners."""
-    values = candidates.select("owner", F.explode("spans").alias("s")).select(_value_hash(F.col("s")).alias("value_hash"), F.coalesce("owner", F.lit("")).alias("owner"))
-    by_owner = values.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("rows"))
-    return by_owner.groupBy("value_hash").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("owners"))
+    """value_hash, rows, distinct owners and distinct repositories over the corpus. Equal values of one repository meet before they are counted."""
+    values = candidates.select("owner", "repository", F.explode("spans").alias("s")).select(_value_hash(F.col("s")).alias("value_hash"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("owner", "repository")))
+    each = values.groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("value_hash").agg(F.sum("rows").alias("rows"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, found (spans with value, owners, rows of the value, and live).
+def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, found (spans with value, owners, repositories and rows of the value, and live).
 
     A value is live when at most ``max_owners`` distinct owners carry it and it is no placeholder (see above); other
-    values are widely copied examples or placeholders. Null and empty texts have no spans; a null owner counts as one owner of its own; rows
-    that repeat are separate documents; an empty table gives no rows; other columns are not read.
+    values are widely copied examples or placeholders. Null and empty texts have no spans; a null owner or repository counts
+    as one of its own; rows that repeat are separate documents; an empty table gives no rows; other columns are not read.
     """
-    return _scanned(docs, max_owners, id_col, text_col, owner_col).select("doc_id", "found")
+    return _scanned(docs, max_owners, id_col, text_col, owner_col, repository_col).select("doc_id", "found")
 
 
-def _scanned(docs: DataFrame, max_owners: int, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, max_owners: int, id_col: str, text_col: str, owner_col: str, repository_col: str) -> DataFrame:
     """scan_secrets with the text's hashes x and c."""
-    rows = materialise(find_candidates(docs, id_col, text_col, owner_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
+    rows = materialise(find_candidates(docs, id_col, text_col, owner_col, repository_col).withColumn("row", F.monotonically_increasing_id()), "candidates")
     owned = materialise(ownership(rows), "owners")
     single = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("value_hash", _value_hash(F.col("s")))
     total = owned.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     judged = join_by_key(single, owned, ["value_hash"], "rows", total)
     live = (F.col("owners") <= max_owners) & _looks_real(F.col("s"))
-    found = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), "owners", "rows", live.alias("live")))).alias("found"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,rows:bigint,live:boolean>>")
+    one = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("start", "kind", "end", "value")), "owners", "repositories", "rows", live.alias("live"))
+    found = judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("found"))
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repositories:bigint,rows:bigint,live:boolean>>")
     return rows.select("row", "doc_id", "x", "c").join(found, "row", "left").select("doc_id", "x", "c", F.coalesce("found", empty).alias("found"))
 
 
@@ -137,20 +144,26 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the value of every live candidate replaced by ``mark``; widely copied examples stay, no row goes.
 
-    A document's live values are replaced wherever they stand in it; rows that share an id, or have none, are told apart by
-    their texts. ``length_col`` is set anew where a text changed.
+    A document's live values are replaced wherever they stand in it. Rows that share an id, or have none, are told apart by
+    their texts; null and empty texts stay as they are; an empty table stays empty; other columns may have any name.
+    ``length_col`` is set anew where a text changed. Only rows that may hold a live value are shuffled with their texts.
     """
-    columns = docs.columns
-    scanned = _scanned(docs, max_owners, id_col, text_col, owner_col)
-    live = scanned.select(F.col("doc_id").alias("_id"), F.col("x").alias("_x"), F.col("c").alias("_c"), F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), lambda s: s["value"])).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_id", "_x", "_c"])
+    scanned = _scanned(docs, max_owners, id_col, text_col, owner_col, repository_col)
+    values = F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), lambda s: s["value"]))
+    keys = F.col("doc_id").alias("of_id"), F.col("x").alias("of_x"), F.col("c").alias("of_c")
+    live = materialise(scanned.select(*keys, values.alias("live")).filter(F.size("live") > 0).dropDuplicates(["of_id", "of_x", "of_c"]), "live")
     x, c = _text_hashes(text_col)
-    out = docs.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (x == F.col("_x")) & (c == F.col("_c")), "left")
-    longest_first = F.array_sort("_live", lambda a, b: F.length(b) - F.length(a))
-    changed = F.aggregate(longest_first, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    out = out.withColumn(text_col, F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(changed))
-    if length_col in columns:
-        out = out.withColumn(length_col, F.when(F.col("_live").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("x"), c.alias("c")).withColumn("key", F.xxhash64("id", "x", "c"))
+    rows = with_passes(rows, key_filter(live, F.xxhash64("of_id", "of_x", "of_c")), "key")
+    own = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("x") == F.col("of_x")) & (F.col("c") == F.col("of_c"))
+    held = rows.filter("passes").join(live, own, "left")
+    longest_first = F.array_sort("live", lambda a, b: F.length(b) - F.length(a))
+    text = F.aggregate(longest_first, F.col("row").getField(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
+    changed = F.col("row").withField(f"`{text_col}`", text)
+    if length_col in docs.columns:
+        changed = changed.withField(f"`{length_col}`", F.length(text).cast(docs.schema[length_col].dataType))
+    out = held.select(F.when(F.col("live").isNull(), F.col("row")).otherwise(changed).alias("row"))
+    return rows.filter("not passes").select("row").unionByName(out).select("row.*")
