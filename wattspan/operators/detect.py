@@ -305,15 +305,16 @@ def sort_findings(findings: DataFrame) -> DataFrame:
 _NEEDED = ("timestamp", "ts_ms", "trace_id", "span_id", "parent_span_id", "service", "grouping", "event_type", "duration_us", "source", "code", "instrumentation_scopes", "template", "params", "ord")
 
 
-def detect_all(normalized: DataFrame, thresholds: Thresholds = _D) -> DataFrame:
-    """All findings.
+def detect_all(normalized: DataFrame, thresholds: Thresholds = _D, dealt: bool = False) -> DataFrame:
+    """All findings. ``dealt``: the spans are kept by the caller, as a micro-batch is, and are not dealt and kept once more.
 
     The spans, without their statements and URLs, are dealt by trace once and kept (memory, then disk) for the eight
     detectors: all groups begin with the trace, so their aggregations need no further shuffle. Lost blocks are computed
     again; the caller may clear the cache when the findings are written.
     """
     t = thresholds
-    n = normalized.select(*_NEEDED).repartition("trace_id").persist()
+    n = normalized.select(*_NEEDED)
+    n = n if dealt else n.repartition("trace_id").persist()
     n1 = detect_n_plus_one(n, t.n_plus_one, t.window_ms, t.sanitizer)
     parts = [n1, detect_redundant(n, n1), detect_slow(n, t.slow_ms, t.slow_min), detect_fanout(n, t.fanout), detect_chatty(n, t.chatty), detect_pool_saturation(n, t.pool), detect_serialized(n, t.serialized)]
     # the cross-trace rule asks each template for two traces, so a batch of one trace has none

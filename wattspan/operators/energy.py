@@ -20,10 +20,37 @@ def ops_per_interval(spans: DataFrame, seconds: int) -> DataFrame:
     return spans.groupBy("service", start.cast("long").alias("ts_ms")).agg(F.count(F.lit(1)).alias("ops"))
 
 
+DAY_MS = 86_400_000
+#: Rules that may name processes; the table is broadcast.
+MAX_RULES = 10_000
+
+
+def with_previous(samples: DataFrame, key: str, value: str, ts: str = "ts_ms") -> DataFrame:
+    """samples with ``_previous`` (ts, value): the key's sample before. A key's history is dealt over days: each day's first
+    sample takes the last one of the day before that has any, found in a window of one row a day."""
+    sample = F.struct(ts, value)
+    own = samples.withColumn("_day", F.floor(F.col(ts) / DAY_MS))
+    last = own.groupBy(key, "_day").agg(F.max_by(sample, ts).alias("_end"))
+    before = last.select(key, "_day", F.lag("_end").over(Window.partitionBy(key).orderBy("_day")).alias("_carried"))
+    lag = F.lag(sample).over(Window.partitionBy(key, "_day").orderBy(ts))
+    return own.withColumn("_previous", lag).join(before, [key, "_day"]).withColumn("_previous", F.coalesce("_previous", "_carried")).drop("_carried", "_day")
+
+
+def with_last_known(samples: DataFrame, key: str, value: str, ts: str = "ts_ms") -> DataFrame:
+    """samples with ``_last`` (ts, value): the key's last sample so far whose value isn't null, its own included; by days as above."""
+    known = F.when(F.col(value).isNotNull(), F.struct(ts, value))
+    own = samples.withColumn("_day", F.floor(F.col(ts) / DAY_MS))
+    last = own.groupBy(key, "_day").agg(F.max_by(F.struct(ts, value), F.when(F.col(value).isNotNull(), F.col(ts))).alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(key, "_day", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    upto = Window.partitionBy(key, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("_last", F.last(known, ignorenulls=True).over(upto)).join(before, [key, "_day"]).withColumn("_last", F.coalesce("_last", "_carried")).drop("_carried", "_day")
+
+
 def counter_deltas(samples: DataFrame, key: str, value: str, ts: str = "ts_ms") -> DataFrame:
     """samples with the increase since the key's previous sample; resets, first samples and zeros are dropped."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(ts))
-    return samples.withColumn("delta", F.greatest(F.col(value) - before, F.lit(0))).filter("delta > 0")
+    delta = F.greatest(F.col(value) - F.col(f"_previous.{value}"), F.lit(0))
+    return with_previous(samples, key, value, ts).withColumn("delta", delta).drop("_previous").filter("delta > 0")
 
 
 def _per_op(df: DataFrame, kwh: Column, backend: str) -> DataFrame:
@@ -32,12 +59,15 @@ def _per_op(df: DataFrame, kwh: Column, backend: str) -> DataFrame:
 
 
 def attribute_process_power(power: DataFrame, processes: DataFrame, ops: DataFrame, seconds: float) -> DataFrame:
-    """power: ts_ms, exe, cmdline, microwatts. processes: service, exe_part, cmdline_part (null: any); a stated, small table.
+    """power: ts_ms, exe, cmdline, microwatts. processes: service, exe_part, cmdline_part (null: any); at most MAX_RULES rows,
+    else ValueError, so every task can hold them.
 
     A service takes the power of a process only if exactly one process of that time matches it.
     """
+    if processes.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} process rules")
     fits = F.col("exe").contains(F.col("exe_part")) & (F.col("cmdline_part").isNull() | F.col("cmdline").contains(F.col("cmdline_part")))
-    only = power.join(processes, fits).groupBy("service", "ts_ms").agg(F.count(F.lit(1)).alias("n"), F.max("microwatts").alias("uw")).filter("n = 1")
+    only = power.join(F.broadcast(processes), fits).groupBy("service", "ts_ms").agg(F.count(F.lit(1)).alias("n"), F.max("microwatts").alias("uw")).filter("n = 1")
     return _per_op(only.join(ops, ["service", "ts_ms"]), F.col("uw") / 1e6 * seconds / J_PER_KWH, "scaphandre_rapl")
 
 
@@ -86,13 +116,14 @@ def measured_energy_snapshot(energy: DataFrame, now_ms: int, staleness_ms: int)
 
 def declared_cluster_energy(ticks: DataFrame, nodes: int, max_watts: float, staleness_ms: int) -> DataFrame:
     """ticks: ts_ms, measured_kwh (null: no sample). A tick bills either its measured energy or, while no recent sample
-    exists, nodes x max_watts for the time since the previous tick, between a second and an hour."""
-    in_order = Window.orderBy("ts_ms")  # one row a tick of one declared cluster
-    last = F.last(F.when(F.col("measured_kwh").isNotNull(), F.col("ts_ms")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    elapsed = F.least(F.greatest((F.col("ts_ms") - F.lag("ts_ms").over(in_order)) / 1000, F.lit(1.0)), F.lit(3600.0))
-    recent = last.isNotNull() & (F.col("ts_ms") - last <= staleness_ms)
+    exists, nodes x max_watts for the time since the previous tick, between a second and an hour. Ticks are dealt over days."""
+    one = ticks.select("ts_ms", "measured_kwh", F.lit(0).alias("_cluster"))
+    seen = with_previous(with_last_known(one, "_cluster", "measured_kwh"), "_cluster", "measured_kwh")
+    elapsed = F.least(F.greatest((F.col("ts_ms") - F.col("_previous.ts_ms")) / 1000, F.lit(1.0)), F.lit(3600.0))
+    recent = F.coalesce(F.col("ts_ms") - F.col("_last.ts_ms") <= staleness_ms, F.lit(False))
     declared = F.when(~recent, elapsed * (nodes * max_watts) / J_PER_KWH)
-    return ticks.withColumns({"elapsed_s": elapsed, "kwh": F.coalesce("measured_kwh", F.when(~recent, declared)), "provenance": F.when(F.col("measured_kwh").isNotNull(), "measured").when(declared.isNotNull(), "declared")})
+    out = {"elapsed_s": elapsed, "kwh": F.coalesce("measured_kwh", declared), "provenance": F.when(F.col("measured_kwh").isNotNull(), "measured").when(declared.isNotNull(), "declared")}
+    return seen.withColumns(out).drop("_cluster", "_previous", "_last")
 
 
 def asof_grid_intensity(points: DataFrame, readings: DataFrame, staleness_ms: int) -> DataFrame:
@@ -115,10 +146,9 @@ def asof_grid_intensity(points: DataFrame, readings: DataFrame, staleness_ms: in
 
 def power_to_energy(power: DataFrame) -> DataFrame:
     """service, ts_ms, watts to service, ts_ms, kwh: the trapezoid since the previous sample; intervals that are not positive are dropped."""
-    in_order = Window.partitionBy("service").orderBy("ts_ms")
-    seconds = (F.col("ts_ms") - F.lag("ts_ms").over(in_order)) / 1000
-    kwh = (F.lag("watts").over(in_order) + F.col("watts")) / 2 * seconds / J_PER_KWH
-    return power.withColumns({"kwh": kwh, "_s": seconds}).filter("_s > 0").select("service", "ts_ms", "kwh")
+    seconds = (F.col("ts_ms") - F.col("_previous.ts_ms")) / 1000
+    kwh = (F.col("_previous.watts") + F.col("watts")) / 2 * seconds / J_PER_KWH
+    return with_previous(power, "service", "watts").withColumns({"kwh": kwh, "_s": seconds}).filter("_s > 0").select("service", "ts_ms", "kwh")
 
 
 def calibrate(spans: DataFrame, readings: DataFrame) -> DataFrame:

@@ -165,12 +165,12 @@ def region_breakdown(scored: DataFrame) -> DataFrame:
 
 
 def service_breakdown(scored: DataFrame) -> DataFrame:
-    """Energy, grams, first region, best energy model and measured share of each service."""
+    """Energy, grams, first known region, best energy model and measured share of each service."""
     order = F.array(*map(F.lit, (*BACKENDS, "io_proxy")))
     best = F.get(order, (F.min(F.array_position(order, F.col("energy_model"))) - 1).cast("int"))
     measured = (F.col("energy_model") != "io_proxy").cast("int")
     return scored.groupBy("service").agg(
-        F.count(F.lit(1)).alias("io_ops"), F.sum("energy_kwh").alias("energy_kwh"), F.coalesce(F.sum("co2_grams"), F.lit(0.0)).alias("co2_grams"), F.min_by("region", F.struct("ts_ms", "trace_id", "ord")).alias("region"),
+        F.count(F.lit(1)).alias("io_ops"), F.sum("energy_kwh").alias("energy_kwh"), F.coalesce(F.sum("co2_grams"), F.lit(0.0)).alias("co2_grams"), F.min_by("region", F.when(F.col("region").isNotNull(), F.struct("ts_ms", "trace_id", "ord"))).alias("region"),
         best.alias("energy_model"), F.avg(measured).alias("measured_ratio"),
     )
 

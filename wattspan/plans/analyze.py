@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattspan.functions.normalize import normalize_spans
 from wattspan.operators import detect, reports, score
 from wattspan.operators.suggestions import enrich_suggestions
-from wattspan.plans.detection import LIMITS, normalized
+from wattspan.plans.detection import ALL_SQL, LIMITS, normalized
 from wattspan.plans.registry import register
 from wattspan.schema import Thresholds
 from wattspan.sources.derived import SPANS_SQL
@@ -40,7 +40,8 @@ def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("trace_id", F.col("suggested_fix.framework").alias("framework"), F.col("suggested_fix.recommendation").alias("recommendation"))
 
 
-@register("analyze")
+@register("analyze", ALL_SQL + """SELECT type, severity, trace_id, service, source_endpoint, 'ci_batch' AS confidence, type || ':' || service || ':' || translate(source_endpoint, '/ ', '__') || ':' || substr(sha256(template), 1, 32) AS signature,
+       CAST(CASE WHEN type LIKE 'n_plus_one%' OR type LIKE 'redundant%' THEN occurrences - 1 ELSE 0 END AS BIGINT) AS extra_io_ops FROM found""")
 def _analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspan.sources.derived import order_spans
 

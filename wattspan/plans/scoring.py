@@ -105,20 +105,18 @@ def _regions(spark, sf_dir):
 SELECT service, count(*) AS io_ops, round(sum(energy_kwh), 12) AS energy_kwh, round(coalesce(sum(co2_grams), 0), 9) AS co2_grams, arg_min(cloud_region, (ts_ms, trace_id, ord)) FILTER (WHERE cloud_region IS NOT NULL) AS region,
        'io_proxy' AS energy_model, CAST(0 AS DOUBLE) AS measured_ratio FROM scored GROUP BY service""")
 def _services(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    first = scored.filter("region is not null").groupBy("service").agg(F.min_by("region", F.struct("ts_ms", "trace_id", "ord")).alias("region"))
-    return s.service_breakdown(scored).drop("region").join(first, "service", "left").select("service", "io_ops", _r("energy_kwh", 12), _r("co2_grams"), "region", "energy_model", "measured_ratio")
+    return s.service_breakdown(_scored(spark, sf_dir)).select("service", "io_ops", _r("energy_kwh", 12), _r("co2_grams"), "region", "energy_model", "measured_ratio")
 
 
 @register("carbon_report", _AVOID.rstrip() + _SCORED + """, t AS (
   SELECT count(DISTINCT trace_id) AS traces, count(*) AS io_ops, count(cloud_region) AS accounted_ops, sum(co2_grams) AS op, sum(transport_grams) AS tr FROM scored
 )
 SELECT traces, io_ops, accounted_ops, avoidable, round(op, 9) AS operational_g, round(tr, 9) AS transport_g, round(traces * 0.001, 9) AS embodied_g, round(op + traces * 0.001 + tr, 9) AS total_g,
-       round(op * least(avoidable / accounted_ops, 1.0), 9) AS avoidable_g, round((op + traces * 0.001 + tr) * 0.5, 9) AS low_g, round((op + traces * 0.001 + tr) * 2, 9) AS high_g, 'io_proxy_v1' AS model FROM t, avoid""")
+       round(op * least(avoidable / accounted_ops, 1.0), 9) AS avoidable_g, round((op + traces * 0.001 + tr) * 0.5, 9) AS low_g, round((op + traces * 0.001 + tr) * 2, 9) AS high_g, round((op + traces * 0.001 + tr) / traces, 12) AS g_per_trace, 'io_proxy_v1' AS model FROM t, avoid""")
 def _carbon(spark, sf_dir):
     f = _found(spark, sf_dir)[1]
     out = s.carbon_report(_scored(spark, sf_dir), f)
-    return out.select("traces", "io_ops", "accounted_ops", "avoidable", *(_r(c) for c in ("operational_g", "transport_g", "embodied_g", "total_g", "avoidable_g", "low_g", "high_g")), "model")
+    return out.select("traces", "io_ops", "accounted_ops", "avoidable", *(_r(c) for c in ("operational_g", "transport_g", "embodied_g", "total_g", "avoidable_g", "low_g", "high_g")), _r("g_per_trace", 12), "model")
 
 
 @register("workload_waste", _AVOID.rstrip() + _SCORED + """
@@ -128,16 +126,40 @@ def _workload(spark, sf_dir):
     return s.workload_waste(_scored(spark, sf_dir), _found(spark, sf_dir)[1], "sql").select("ops", "avoidable", "ratio", _r("waste_kwh", 12), _r("waste_g"), "provenance")
 
 
-@register("canonical_tiers")
+_TIERS = _AVOID.rstrip() + _SCORED + """, cn1 AS (
+  SELECT * FROM g WHERE n >= 2 AND window_ms <= 500 AND (event_type = 'messaging' OR dp >= 2 OR (event_type = 'http_out' AND cv > 500 AND n >= 3))
+), cr AS (
+  SELECT trace_id, template, min_by(endpoint, ord) AS source_endpoint, count(*) AS n FROM normalized
+  WHERE event_type <> 'messaging' AND (trace_id, template) NOT IN (SELECT (trace_id, template) FROM cn1) GROUP BY trace_id, event_type, template, params HAVING count(*) >= 2
+), cav AS (
+  SELECT max(n) - 1 AS ops FROM (SELECT trace_id, template, source_endpoint, n FROM cn1 UNION ALL SELECT * FROM cr) GROUP BY trace_id, template, source_endpoint
+), both_tiers AS (
+  SELECT 'canonical' AS tier, CAST(sum(ops) AS BIGINT) AS avoidable FROM cav UNION ALL SELECT 'operational', avoidable FROM avoid
+), tot AS (
+  SELECT count(*) AS ops, sum(energy_kwh) AS kwh, sum(co2_grams) AS g FROM scored
+), tiers AS (
+  SELECT tier, ops AS io_ops, avoidable, least(avoidable / ops, 1.0) AS ratio, round(kwh * least(avoidable / ops, 1.0), 12) AS avoidable_kwh, round(tot.g * least(avoidable / ops, 1.0), 9) AS avoidable_g FROM both_tiers, tot
+)
+"""
+
+
+@register("canonical_tiers", _TIERS + "SELECT tier, avoidable, ratio, avoidable_kwh, avoidable_g FROM tiers")
 def _tiers(spark, sf_dir):
     n, f = _found(spark, sf_dir)
-    return s.canonical_tiers(n, f, _scored(spark, sf_dir))
+    return s.canonical_tiers(n, f, _scored(spark, sf_dir)).select("tier", "avoidable", "ratio", _r("avoidable_kwh", 12), _r("avoidable_g"))
 
 
-@register("green_summary")
+@register("green_summary", _AVOID.rstrip() + _SCORED + """, t AS (
+  SELECT count(DISTINCT trace_id) AS traces, count(*) AS io_ops, count(cloud_region) AS accounted_ops, sum(co2_grams) AS op, sum(transport_grams) AS tr FROM scored
+), m AS (SELECT *, op + traces * 0.001 + tr AS total, avoidable / io_ops AS r FROM t, avoid)
+SELECT io_ops AS total_io_ops, avoidable, avoidable_sql, avoidable_messaging, r AS io_waste_ratio, CASE WHEN r >= 0.5 THEN 'critical' WHEN r >= 0.3 THEN 'high' WHEN r >= 0.1 THEN 'moderate' ELSE 'healthy' END AS io_waste_band,
+       traces, accounted_ops, round(op, 9) AS operational_g, round(tr, 9) AS transport_g, round(traces * 0.001, 9) AS embodied_g, round(total, 9) AS total_g, round(op * least(avoidable / accounted_ops, 1.0), 9) AS avoidable_g,
+       round(total / traces, 12) AS g_per_trace, round(total * 0.5, 9) AS low_g, round(total * 2, 9) AS high_g, 'io_proxy_v1' AS model FROM m""")
 def _summary(spark, sf_dir):
     n, f = _found(spark, sf_dir)
-    return s.green_summary(n, f, host_regions=HOSTS).totals
+    totals = s.green_summary(n, f, host_regions=HOSTS).totals
+    rounded = {c: F.round(c, 12 if c == "g_per_trace" else 9) for c in totals.columns if c.startswith("g_") or c.endswith("_g")}
+    return totals.withColumns(rounded)
 
 
 def _events(spark, sf_dir) -> DataFrame:
@@ -193,13 +215,18 @@ def _cpu(spark, sf_dir):
     return e.attribute_cpu_power(cpu, h.select("service", "ts_ms", "ops"), 3600).select("service", "ts_ms", _r("kwh_per_op", 12), "backend")
 
 
-@register("attribute_process_power", _EVENTS + _HOUR + " SELECT service, ts_ms, round(total / 1e6 * 3600 / 3.6e6 / ops, 15) AS kwh_per_op, 'scaphandre_rapl' AS backend FROM h WHERE service IN ('svc-1', 'svc-2')")
+#: A rule for each service; that of svc-3 fits every process, so it counts only in an hour with one.
+_RULES = [(f"svc-{i}", "/svc-" if i == 3 else f"/svc-{i}") for i in range(8)]
+
+
+@register("attribute_process_power", _EVENTS + _HOUR + f""", rl(service, part) AS (VALUES {", ".join(map(str, _RULES))}),
+m AS (SELECT rl.service, h.ts_ms, max(total) AS uw FROM h JOIN rl ON contains('/bin/' || h.service, part) GROUP BY ALL HAVING count(*) = 1)
+SELECT m.service, m.ts_ms, round(uw / 1e6 * 3600 / 3.6e6 / ops, 15) AS kwh_per_op, 'scaphandre_rapl' AS backend FROM m JOIN h ON m.service = h.service AND m.ts_ms = h.ts_ms""")
 def _process(spark, sf_dir):
     h = _hourly(spark, sf_dir)
     power = h.select("ts_ms", F.concat(F.lit("/bin/"), "service").alias("exe"), F.lit("").alias("cmdline"), F.col("total").alias("microwatts"))
-    rules = spark.createDataFrame([("svc-1", "/svc-1", None), ("svc-2", "/svc-2", None), ("svc-3", "/svc-", None)], "service string, exe_part string, cmdline_part string")
-    found = e.attribute_process_power(power, rules, h.select("service", "ts_ms", "ops"), 3600)
-    return found.filter("service <> 'svc-3'").select("service", "ts_ms", _r("kwh_per_op", 15), "backend")
+    rules = spark.createDataFrame([(service, part, None) for service, part in _RULES], "service string, exe_part string, cmdline_part string")
+    return e.attribute_process_power(power, rules, h.select("service", "ts_ms", "ops"), 3600).select("service", "ts_ms", _r("kwh_per_op", 15), "backend")
 
 
 @register("measured_energy_snapshot", _EVENTS + _HOUR + """, m AS (SELECT service, ts_ms, round(total, 9) AS kwh_per_op, CASE WHEN ops % 2 = 0 THEN 'kepler_ebpf' ELSE 'redfish_bmc' END AS backend FROM h), t AS (SELECT max(ts_ms) AS now FROM m)
@@ -211,13 +238,13 @@ def _snapshot(spark, sf_dir):
     return e.measured_energy_snapshot(rows, now, 86_400_000)
 
 
-@register("asof_grid_intensity", _EVENTS + """, q AS (SELECT service AS region, ts_ms, id FROM p WHERE id % 2 = 0), r AS (SELECT service AS region, ts_ms, max(watts) AS intensity FROM p WHERE id % 2 = 1 GROUP BY ALL)
-SELECT q.id, q.region, q.ts_ms, CASE WHEN q.ts_ms - r.ts_ms <= 3600000 THEN intensity END AS intensity FROM q ASOF LEFT JOIN r ON q.region = r.region AND q.ts_ms >= r.ts_ms""")
+@register("asof_grid_intensity", _EVENTS + """, q AS (SELECT service AS region, ts_ms, id FROM p WHERE id % 2 = 0), r AS (SELECT service AS region, ts_ms, max(watts) AS intensity, max(watts) > 50 AS estimated FROM p WHERE id % 2 = 1 GROUP BY ALL)
+SELECT q.id, q.region, q.ts_ms, CASE WHEN q.ts_ms - r.ts_ms <= 3600000 THEN intensity END AS intensity, CASE WHEN q.ts_ms - r.ts_ms <= 3600000 THEN estimated END AS estimated FROM q ASOF LEFT JOIN r ON q.region = r.region AND q.ts_ms >= r.ts_ms""")
 def _asof(spark, sf_dir):
     p = _events(spark, sf_dir)
     points = p.filter("id % 2 = 0").select("id", F.col("service").alias("region"), "ts_ms")
-    readings = p.filter("id % 2 = 1").groupBy(F.col("service").alias("region"), "ts_ms").agg(F.max("watts").alias("intensity"), F.lit(False).alias("estimated"))
-    return e.asof_grid_intensity(points, readings, 3_600_000).select("id", "region", "ts_ms", "intensity")
+    readings = p.filter("id % 2 = 1").groupBy(F.col("service").alias("region"), "ts_ms").agg(F.max("watts").alias("intensity"), (F.max("watts") > 50).alias("estimated"))
+    return e.asof_grid_intensity(points, readings, 3_600_000).select("id", "region", "ts_ms", "intensity", "estimated")
 
 
 @register("power_to_energy", _EVENTS + """, u AS (SELECT service, ts_ms, max(watts) AS watts FROM p GROUP BY ALL), l AS (SELECT *, lag(ts_ms) OVER w AS t0, lag(watts) OVER w AS w0 FROM u WINDOW w AS (PARTITION BY service ORDER BY ts_ms))
@@ -241,15 +268,19 @@ def _calibrate(spark, sf_dir):
     return _factors(spark, sf_dir).select("service", _r("kwh"), "ops", _r("factor", 3))
 
 
-@register("validate_calibration", _CAL + "SELECT k.service, ops FROM k JOIN o ON k.service = o.service WHERE kwh / ops / 1e-7 > 10 OR kwh / ops / 1e-7 > 0 AND kwh / ops / 1e-7 < 0.1")
+@register("validate_calibration", _CAL + "SELECT k.service, round(kwh, 9) AS kwh, ops, round(kwh / ops / 1e-7, 3) AS factor FROM k JOIN o ON k.service = o.service WHERE kwh / ops / 1e-7 > 10 OR kwh / ops / 1e-7 > 0 AND kwh / ops / 1e-7 < 0.1")
 def _validate(spark, sf_dir):
-    return e.validate_calibration(_factors(spark, sf_dir)).select("service", "ops")
+    return e.validate_calibration(_factors(spark, sf_dir)).select("service", _r("kwh"), "ops", _r("factor", 3))
 
 
-@register("declared_cluster_energy")
+@register("declared_cluster_energy", _EVENTS + _HOUR + """, tk AS (SELECT ts_ms, max(CASE WHEN ops > 3 THEN total / 1000 END) AS measured FROM h GROUP BY ts_ms), l AS (
+  SELECT *, last_value(CASE WHEN measured IS NOT NULL THEN ts_ms END IGNORE NULLS) OVER (ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_ms, least(greatest((ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms)) / 1000, 1.0), 3600.0) AS elapsed_s FROM tk
+), m AS (SELECT *, coalesce(ts_ms - last_ms <= 7200000, false) AS recent FROM l)
+SELECT ts_ms, round(measured, 9) AS measured_kwh, elapsed_s, round(coalesce(measured, CASE WHEN NOT recent THEN elapsed_s * 750 / 3.6e6 END), 9) AS kwh,
+       CASE WHEN measured IS NOT NULL THEN 'measured' WHEN NOT recent THEN 'declared' END AS provenance FROM m""")
 def _declared(spark, sf_dir):
     ticks = _hourly(spark, sf_dir).groupBy("ts_ms").agg(F.max(F.when(F.col("ops") > 3, F.col("total") / 1000)).alias("measured_kwh"))
-    return e.declared_cluster_energy(ticks, 3, 250.0, 7_200_000)
+    return e.declared_cluster_energy(ticks, 3, 250.0, 7_200_000).select("ts_ms", _r("measured_kwh"), "elapsed_s", _r("kwh"), "provenance")
 
 
 @register("quality_gate", _AVOID + """, c AS (SELECT CAST(count(*) FILTER (WHERE event_type = 'sql' AND n >= 10) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE event_type = 'http_out') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE event_type = 'messaging') AS DOUBLE) AS m FROM n1),
@@ -263,7 +294,7 @@ def _gate(spark, sf_dir):
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Findings of orders with odd and with even keys, as the runs before and after."""
-    n = normalized(spark, sf_dir).filter(F.col("event_type") != "messaging")
+    n = normalized(spark, sf_dir)
     odd = F.substring("trace_id", 2, 20).cast("long") % 2 == 1
     found = d.detect_slow(n, LIMITS.slow_ms, LIMITS.slow_min)
     return found.filter(odd), found.filter(~odd)
@@ -271,7 +302,7 @@ def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 _DIFF = SPANS_SQL.rstrip() + """, sl AS (
   SELECT CAST(substr(trace_id, 2) AS BIGINT) % 2 AS odd, 'slow_' || CASE event_type WHEN 'http_out' THEN 'http' ELSE event_type END AS type, min_by(service, ord) AS service, min_by(endpoint, ord) AS source_endpoint, template,
-    CASE WHEN max(duration_us) > 125000 THEN 1 ELSE 2 END AS sev, count(*) AS n FROM normalized WHERE duration_us > 25000 AND event_type <> 'messaging' GROUP BY trace_id, event_type, template HAVING count(*) >= 3
+    CASE WHEN max(duration_us) > 125000 THEN 1 ELSE 2 END AS sev, count(*) AS n FROM normalized WHERE duration_us > 25000 GROUP BY trace_id, event_type, template HAVING count(*) >= 3
 ), i AS (SELECT odd, type, service, source_endpoint, template, min(sev) AS sev, sum(n) AS n FROM sl GROUP BY ALL),
 d AS (SELECT coalesce(a.type, b.type) AS type, coalesce(a.service, b.service) AS service, coalesce(a.source_endpoint, b.source_endpoint) AS source_endpoint, coalesce(a.template, b.template) AS template, CAST(a.n AS BIGINT) AS occurrences_before, CAST(b.n AS BIGINT) AS occurrences_after,
   CASE WHEN a.type IS NULL THEN 'new' WHEN b.type IS NULL THEN 'resolved' WHEN b.sev < a.sev THEN 'regressed' WHEN b.sev > a.sev THEN 'improved' ELSE 'same' END AS change
@@ -310,8 +341,8 @@ def _signed(spark, sf_dir) -> DataFrame:
     return reports.finding_signature(reports.stamp_confidence(d.detect_fanout(normalized(spark, sf_dir), LIMITS.fanout)))
 
 
-_SIGNED = SPANS_SQL.rstrip() + """, c AS (SELECT trace_id, parent_span_id, count(*) AS n FROM normalized WHERE parent_span_id IS NOT NULL GROUP BY ALL HAVING count(*) > 8), sg AS (
-  SELECT c.trace_id, 'excessive_fanout:' || service || ':' || translate(endpoint, '/ ', '__') || ':' || substr(sha256(template), 1, 32) AS signature FROM c JOIN normalized p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)
+_SIGNED = SPANS_SQL.rstrip() + """, c AS (SELECT trace_id, parent_span_id, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi FROM normalized WHERE parent_span_id IS NOT NULL GROUP BY ALL HAVING count(*) > 8), sg AS (
+  SELECT c.trace_id, c.n, lo, hi, service, endpoint, 'excessive_fanout:' || service || ':' || translate(endpoint, '/ ', '__') || ':' || substr(sha256(template), 1, 32) AS signature FROM c JOIN normalized p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)
 """
 
 
@@ -320,26 +351,40 @@ def _signature(spark, sf_dir):
     return _signed(spark, sf_dir).select("trace_id", "signature")
 
 
+def _number(signature):
+    """A number of a signature that SQL can form as well."""
+    return F.conv(F.substring(F.sha2(signature, 256), 1, 6), 16, 10).cast("int")
+
+
 def _acks(signed: DataFrame) -> DataFrame:
     """Every third signature is acknowledged, some no longer."""
-    own = signed.select("signature", "service", F.col("source_endpoint").alias("endpoint")).distinct().filter(F.crc32("signature") % 3 == 0)
-    return own.withColumn("expires_at", F.when(F.crc32("signature") % 2 == 0, "2025-01-01").otherwise("2027-01-01"))
+    own = signed.select("signature", "service", F.col("source_endpoint").alias("endpoint")).distinct().filter(_number("signature") % 3 == 0)
+    return own.withColumn("expires_at", F.when(_number("signature") % 2 == 0, "2025-01-01").otherwise("2027-01-01"))
+
 
+_ACKS = _SIGNED.rstrip() + """, num AS (SELECT *, CAST('0x' || substr(sha256(signature), 1, 6) AS INTEGER) AS k FROM sg),
+ack AS (SELECT DISTINCT signature, service, endpoint, CASE WHEN k % 2 = 0 THEN '2025-01-01' ELSE '2027-01-01' END AS expires_at, k FROM num WHERE k % 3 = 0)
+"""
 
-@register("apply_acknowledgments")
+
+@register("apply_acknowledgments", _ACKS + "SELECT signature, trace_id, k % 3 = 0 AND k % 2 = 1 AS acknowledged FROM num")
 def _apply(spark, sf_dir):
     signed = _signed(spark, sf_dir)
     left, done = reports.apply_acknowledgments(signed, _acks(signed), "2026-01-01")
     return left.select("signature", "trace_id", F.lit(False).alias("acknowledged")).unionByName(done.select("signature", "trace_id", F.lit(True).alias("acknowledged")))
 
 
-@register("unmatched_acknowledgments")
+@register("unmatched_acknowledgments", _ACKS + "SELECT signature, service, endpoint, expires_at, 'likely_fixed' AS status FROM ack WHERE k % 2 = 1 AND k % 9 = 3")
 def _unmatched(spark, sf_dir):
     signed = _signed(spark, sf_dir)
-    return reports.unmatched_acknowledgments(signed.filter(F.crc32("signature") % 6 != 3), _acks(signed), "2026-01-01", s.endpoint_stats(order_spans(spark, sf_dir)))
+    return reports.unmatched_acknowledgments(signed.filter(_number("signature") % 9 != 3), _acks(signed), "2026-01-01", s.endpoint_stats(order_spans(spark, sf_dir)))
+
 
+_ISO = "strftime(epoch_ms({}), '%Y-%m-%dT%H:%M:%S.%gZ')"
 
-@register("coalesce_findings")
+
+@register("coalesce_findings", _SIGNED.rstrip() + f""" SELECT '' AS gk, '' AS gv, signature, count(*) AS seen_count, {_ISO.format("min(lo)")} AS first_seen, {_ISO.format("max(hi)")} AS last_seen,
+CASE WHEN bool_or(n > 24) THEN 'critical' ELSE 'warning' END AS severity FROM sg GROUP BY signature""")
 def _coalesce(spark, sf_dir):
     signed = _signed(spark, sf_dir)
     stored = signed.select("signature", F.lit("").alias("gk"), F.lit("").alias("gv"), "severity", F.lit(1).cast("long").alias("seen_count"), F.col("first_timestamp").alias("first_seen"), F.col("last_timestamp").alias("last_seen"))
@@ -383,21 +428,23 @@ def _mysql(spark, sf_dir):
     return reports.rank_mysql_digests(_statements(spark, sf_dir), 10).select("ranking", "query", "rank")
 
 
-@register("cross_reference_pg", _N1 + "SELECT template, count(*) AS spans, template IN (SELECT template FROM n1) AS seen_in_traces FROM normalized GROUP BY template")
+@register("cross_reference_pg", _AVOID + "SELECT template, count(*) AS spans, template IN (SELECT template FROM f) AS seen_in_traces FROM normalized GROUP BY template")
 def _xref(spark, sf_dir):
     n, f = _found(spark, sf_dir)
     stats = n.groupBy("template").agg(F.count(F.lit(1)).alias("spans"))
-    return reports.cross_reference_pg(stats, f.filter(F.col("type").startswith("n_plus_one")))
+    return reports.cross_reference_pg(stats, f)
 
 
-@register("cross_reference_mysql", _N1 + "SELECT template, count(*) AS spans, template IN (SELECT template FROM n1) AS seen_in_traces FROM normalized WHERE event_type = 'sql' GROUP BY template")
+@register("cross_reference_mysql", _AVOID + "SELECT template, count(*) AS spans, template IN (SELECT template FROM f) AS seen_in_traces FROM normalized WHERE event_type = 'sql' GROUP BY template")
 def _xref_mysql(spark, sf_dir):
     n, f = _found(spark, sf_dir)
     digests = n.filter("event_type = 'sql'").groupBy("template").agg(F.count(F.lit(1)).alias("spans")).withColumn("digest", F.regexp_replace(F.regexp_replace("template", r"\bpart\b", "`part`"), "=", " = "))
-    return reports.cross_reference_mysql(digests.withColumnsRenamed({"template": "plain", "digest": "template"}), f.filter(F.col("type").startswith("n_plus_one"))).select(F.col("plain").alias("template"), "spans", "seen_in_traces")
+    return reports.cross_reference_mysql(digests.withColumnsRenamed({"template": "plain", "digest": "template"}), f).select(F.col("plain").alias("template"), "spans", "seen_in_traces")
 
 
-@register("evidence_traces")
+@register("evidence_traces", _SIGNED.rstrip() + """, sz AS (SELECT trace_id, max(ts_ms) AS newest, sum(octet_length(CAST(target AS BLOB)) + octet_length(CAST(span_id AS BLOB)) + 64) AS bytes FROM spans WHERE trace_id IN (SELECT trace_id FROM c) GROUP BY trace_id),
+tt AS (SELECT trace_id, sum(bytes) OVER (ORDER BY newest DESC, trace_id ROWS UNBOUNDED PRECEDING) AS total FROM sz)
+SELECT trace_id, span_id FROM spans WHERE trace_id IN (SELECT trace_id FROM tt WHERE total <= 50000)""")
 def _evidence(spark, sf_dir):
     n = normalized(spark, sf_dir)
     return reports.evidence_traces(n, d.detect_fanout(n, LIMITS.fanout), 50_000).select("trace_id", "span_id")
@@ -412,7 +459,8 @@ def _metrics(spark, sf_dir):
     return reports.metrics_rollup(n, d.detect_fanout(n, LIMITS.fanout), 25)
 
 
-@register("sarif_results")
+@register("sarif_results", _SIGNED.rstrip() + """ SELECT 'excessive_fanout' AS "ruleId", CASE WHEN n > 24 THEN 'error' ELSE 'warning' END AS level, CAST(30 AS DOUBLE) AS rank,
+'excessive_fanout in ' || endpoint || ' of ' || service || ' (' || n || ' times): Bundle the children of one operation, or bound how many start at once.' AS text, signature FROM sg""")
 def _sarif(spark, sf_dir):
     return reports.sarif_results(_signed(spark, sf_dir)).select("ruleId", "level", "rank", F.col("message.text").alias("text"), F.col("partialFingerprints.findingSignature").alias("signature"))
 
@@ -450,12 +498,12 @@ def _attribute(spark, sf_dir):
     return periodic.attribute_services(_windows(spark, sf_dir)).select("service", "requests", "io_ops", _r("energy_kwh", 12), _r("co2_g"))
 
 
-@register("antipattern_rollup", _SIGNED.replace("sg AS (", "sg0 AS (") + "SELECT service, 'excessive_fanout' AS type, count(*) AS findings, CAST(sum(n - 1) AS BIGINT) AS avoidable FROM c JOIN normalized p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id GROUP BY service")
+@register("antipattern_rollup", _SIGNED.replace("sg AS (", "sg0 AS (") + "SELECT service, 'excessive_fanout' AS type, count(*) AS findings, CAST(sum(n - 1) AS BIGINT) AS avoidable, min(lo) AS first_seen, max(lo) AS last_seen FROM c JOIN normalized p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id GROUP BY service")
 def _rollup(spark, sf_dir):
     from wattspan.functions.times import epoch_ms
 
     f = _signed(spark, sf_dir).select("service", "type", epoch_ms(F.col("first_timestamp")).alias("ts_ms"), (F.col("pattern.occurrences") - 1).alias("avoidable"))
-    return periodic.antipattern_rollup(f).select("service", "type", "findings", "avoidable")
+    return periodic.antipattern_rollup(f)
 
 
 @register("endpoints_seen", SPANS_SQL.rstrip() + " SELECT service, count(DISTINCT endpoint) AS endpoints FROM spans GROUP BY service")
@@ -463,18 +511,20 @@ def _endpoints(spark, sf_dir):
     return periodic.endpoints_seen(order_spans(spark, sf_dir).select("service", F.col("source.endpoint").alias("source_endpoint")))
 
 
-@register("waste_tiers")
+@register("waste_tiers", _TIERS + "SELECT tier, io_ops, avoidable, avoidable_kwh, avoidable_g, ratio, 100 - 100 * ratio AS efficiency FROM tiers")
 def _waste_tiers(spark, sf_dir):
     n, f = _found(spark, sf_dir)
     tiers = s.canonical_tiers(n, f, _scored(spark, sf_dir)).crossJoin(n.agg(F.count(F.lit(1)).alias("io_ops")))
-    return periodic.waste_tiers(tiers.select("tier", "io_ops", "avoidable", "avoidable_kwh", "avoidable_g"))
+    return periodic.waste_tiers(tiers.select("tier", "io_ops", "avoidable", _r("avoidable_kwh", 12), _r("avoidable_g")))
 
 
-@register("workload_waste_rollup")
+@register("workload_waste_rollup", _AVOID.rstrip() + _SCORED + """, w AS (SELECT count(*) FILTER (WHERE event_type = 'sql') AS sq, count(*) FILTER (WHERE event_type = 'messaging') AS me, sum(energy_kwh) FILTER (WHERE event_type = 'sql') AS kwh FROM scored)
+SELECT 'database' AS kind, CAST(1 AS BIGINT) AS windows, CAST(0 AS BIGINT) AS measured, CAST(0 AS BIGINT) AS declared, CAST(1 AS BIGINT) AS estimated, round(kwh * least(avoidable_sql / sq, 1.0), 12) AS waste_kwh, CAST(0 AS DOUBLE) AS waste_g FROM w, avoid
+UNION ALL SELECT 'messaging', 1, 0, 1, 0, round(0.5 * least(avoidable_messaging / me, 1.0), 12), round(0.5 * 41.5 * 1.15 * least(avoidable_messaging / me, 1.0), 9) FROM w, avoid""")
 def _waste_rollup(spark, sf_dir):
     scored, f = _scored(spark, sf_dir), _found(spark, sf_dir)[1]
     blocks = s.workload_waste(scored, f, "sql").withColumn("kind", F.lit("database")).unionByName(s.workload_waste(scored, f, "messaging", 0.5, 41.5, 1.15).withColumn("kind", F.lit("messaging")))
-    return periodic.workload_waste_rollup(blocks)
+    return periodic.workload_waste_rollup(blocks).withColumns({"waste_kwh": F.round("waste_kwh", 12), "waste_g": F.round("waste_g", 9)})
 
 
 @register("temporal_coverage", _EVENTS + """, dd AS (SELECT DISTINCT ts_ms // 86400000 AS day FROM p), b AS (SELECT min(day) - 2 AS lo, max(day) + 3 AS hi FROM dd), al AS (SELECT day FROM dd UNION ALL SELECT lo - 1 FROM b UNION ALL SELECT hi + 1 FROM b), g AS (SELECT day - lag(day) OVER (ORDER BY day) - 1 AS gap FROM al)
@@ -490,9 +540,9 @@ def _coverage(spark, sf_dir):
     return periodic.period_coverage(_windows(spark, sf_dir))
 
 
-@register("methodology_sets")
+@register("methodology_sets", _WIN + "SELECT string_agg(DISTINCT m, ',') AS models, bool_or(cal) AS calibrated FROM win, (VALUES ('io_proxy_v1', true), ('io_proxy_v1', false)) x(m, cal)")
 def _methods(spark, sf_dir):
-    return periodic.methodology_sets(_windows(spark, sf_dir))
+    return periodic.methodology_sets(_windows(spark, sf_dir)).select(F.array_join("models", ",").alias("models"), "calibrated")
 
 
 @register("measured_ratios", _WIN + "SELECT service, avg(CASE WHEN service IN ('svc-0', 'svc-1') AND ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS measured_ratio FROM bs GROUP BY service")
@@ -500,18 +550,23 @@ def _ratios(spark, sf_dir):
     return periodic.measured_ratios(_windows(spark, sf_dir))
 
 
-@register("carbon_breakdown", _WIN + "SELECT round(sum(g) / 1000, 12) AS operational_kg, round(sum(emb) / 1000, 12) AS embodied_kg, round(sum(t) / 1000, 12) AS transport_kg FROM win")
+@register("carbon_breakdown", _WIN + "SELECT round(sum(g) / 1000, 12) AS operational_kg, round(sum(emb) / 1000, 12) AS embodied_kg, round(sum(t) / 1000, 12) AS transport_kg, round(sum(t) / 1000 * 0.25, 12) AS transport_low_kg, round(sum(t) / 1000 * 1.625, 12) AS transport_high_kg FROM win")
 def _breakdown(spark, sf_dir):
-    return periodic.carbon_breakdown(_windows(spark, sf_dir)).select(_r("operational_kg", 12), _r("embodied_kg", 12), _r("transport_kg", 12))
+    return periodic.carbon_breakdown(_windows(spark, sf_dir)).select(*(_r(c, 12) for c in ("operational_kg", "embodied_kg", "transport_kg", "transport_low_kg", "transport_high_kg")))
 
 
-@register("verify_archive_chain")
+@register("verify_archive_chain", _WIN + """SELECT 'f' || (ts_ms // 10800000) AS file, count(*) AS windows, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 <> 0) AS verified, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0) AS breaks FROM win GROUP BY ALL""")
 def _chain(spark, sf_dir):
+    """Chained windows, of which every seventh hour's is changed afterwards."""
     w = _windows(spark, sf_dir).select("file", "line", F.to_json(F.struct("ts_ms", "requests", "io_ops")).alias("body"))
-    return periodic.verify_archive_chain(periodic.chain_windows(w))
+    changed = F.when(F.floor(F.col("line") / 3_600_000) % 7 == 0, F.replace(F.col("body"), F.lit("requests"), F.lit("request"))).otherwise(F.col("body"))
+    return periodic.verify_archive_chain(periodic.chain_windows(w).withColumn("body", changed))
 
 
-@register("validate_disclosure")
+@register("validate_disclosure", _WIN + """, agg AS (SELECT sum(requests) AS requests, sum(kwh) AS kwh, sum(g + emb + t) / 1000 AS kg, avg(CASE WHEN ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS cov, count(DISTINCT ts_ms // 86400000) AS days FROM win), v AS (
+  SELECT unnest([CASE WHEN requests < 0 THEN 'requests is negative' END, CASE WHEN kwh < 0 THEN 'energy is not finite or negative' END, CASE WHEN kg < 0 THEN 'carbon is not finite or negative' END,
+    CASE WHEN cov NOT BETWEEN 0 AND 1 THEN 'period coverage is outside 0 to 1' END, CASE WHEN cov < 0.75 THEN 'period coverage is too low' END, CASE WHEN days > 31 THEN 'more days observed than the period has' END]) AS violation FROM agg)
+SELECT violation FROM v WHERE violation IS NOT NULL""")
 def _disclosure(spark, sf_dir):
     w = _windows(spark, sf_dir)
     totals = periodic.period_totals(w).crossJoin(periodic.period_coverage(w)).crossJoin(periodic.temporal_coverage(w, "2025-07-01", "2025-07-31"))
@@ -525,27 +580,36 @@ def _pair_input(spark, sf_dir) -> DataFrame:
     return f.select(epoch_ms(F.col("last_timestamp")).alias("ts_ms"), "trace_id", "service", "type", F.col("pattern.template").alias("template"), F.lit("").alias("gk"), F.lit("").alias("gv"))
 
 
-@register("cross_trace_correlations", SPANS_SQL.rstrip() + """, f AS (SELECT max(ts_ms) AS ts, trace_id, min_by(service, ord) AS service, min_by(service, ord) || '|slow_' || CASE event_type WHEN 'http_out' THEN 'http' ELSE event_type END || '|' || template AS who
+def _pairs(lag: int, confidence: float) -> str:
+    return SPANS_SQL.rstrip() + f""", f AS (SELECT max(ts_ms) AS ts, trace_id, min_by(service, ord) AS service, min_by(service, ord) || '|slow_' || CASE event_type WHEN 'http_out' THEN 'http' ELSE event_type END || '|' || template AS who
   FROM normalized WHERE duration_us > 25000 GROUP BY trace_id, event_type, template HAVING count(*) >= 3),
-x AS (SELECT a.who AS a, b.who AS b, a.ts, a.trace_id, min(b.ts - a.ts) AS lag FROM f a JOIN f b ON b.ts BETWEEN a.ts AND a.ts + 5 AND a.service <> b.service GROUP BY ALL), t AS (SELECT who, count(*) AS total FROM f GROUP BY who)
-SELECT x.a, x.b, count(*) AS count, total, median(lag) AS median_lag_ms FROM x JOIN t ON x.a = t.who GROUP BY x.a, x.b, total HAVING count(*) >= 2 AND count(*) / total >= 0.02""")
+x AS (SELECT a.who AS a, b.who AS b, a.ts, a.trace_id, min(b.ts - a.ts) AS lag FROM f a JOIN f b ON b.ts BETWEEN a.ts AND a.ts + {lag} AND a.service <> b.service GROUP BY ALL), t AS (SELECT who, count(*) AS total FROM f GROUP BY who),
+pairs AS (SELECT x.a, x.b, count(*) AS count, total, median(lag) AS median_lag_ms, min(ts) AS first_seen, max(ts) AS last_seen, arg_min(trace_id, (ts, trace_id)) AS sample_trace, count(*) / total AS confidence
+  FROM x JOIN t ON x.a = t.who GROUP BY x.a, x.b, total HAVING count(*) >= 2 AND count(*) / total >= {confidence})
+"""
+
+
+@register("cross_trace_correlations", _pairs(5, 0.02) + "SELECT * FROM pairs")
 def _correlations(spark, sf_dir):
-    return cross_trace_correlations(_pair_input(spark, sf_dir), lag_ms=5, min_count=2, min_confidence=0.02).select("a", "b", "count", "total", "median_lag_ms")
+    return cross_trace_correlations(_pair_input(spark, sf_dir), lag_ms=5, min_count=2, min_confidence=0.02).drop("gk", "gv")
 
 
-@register("top_pairs")
-def _pairs(spark, sf_dir):
-    return top_pairs(cross_trace_correlations(_pair_input(spark, sf_dir), lag_ms=50, min_count=2, min_confidence=0.0), 20)
+@register("top_pairs", _pairs(50, 0.0) + "SELECT * FROM pairs ORDER BY count DESC, a, b LIMIT 20")
+def _top_pairs(spark, sf_dir):
+    return top_pairs(cross_trace_correlations(_pair_input(spark, sf_dir), lag_ms=50, min_count=2, min_confidence=0.0), 20).drop("gk", "gv")
 
 
-@register("sticky_figures")
+@register("sticky_figures", _EVENTS + _HOUR + """, v AS (SELECT *, CASE WHEN ops > 2 THEN total END AS value FROM h), l AS (
+  SELECT *, last_value(CASE WHEN value IS NOT NULL THEN ts_ms END IGNORE NULLS) OVER w AS known_ms, last_value(value IGNORE NULLS) OVER w AS held FROM v WINDOW w AS (PARTITION BY service ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT service, ts_ms, ops, round(value, 9) AS value, CASE WHEN ts_ms - known_ms <= 7200000 THEN round(held, 9) END AS sticky_value FROM l""")
 def _sticky(spark, sf_dir):
-    return sticky(_hourly(spark, sf_dir).withColumn("value", F.when(F.col("ops") > 2, F.col("total"))), "value", 7_200_000)
+    held = sticky(_hourly(spark, sf_dir).withColumn("value", F.when(F.col("ops") > 2, F.col("total"))), "value", 7_200_000)
+    return held.select("service", "ts_ms", "ops", _r("value"), _r("sticky_value"))
 
 
-@register("live_totals", SPANS_SQL.rstrip() + " SELECT service, count(*) AS io_ops, CAST(sum(duration_us) AS BIGINT) AS busy_us FROM spans GROUP BY service")
+@register("live_totals", SPANS_SQL.rstrip() + " SELECT service, count(*) AS io_ops, count(DISTINCT trace_id) AS traces, CAST(sum(duration_us) AS BIGINT) AS busy_us FROM spans GROUP BY service")
 def _live(spark, sf_dir):
-    return live_totals(order_spans(spark, sf_dir)).select("service", "io_ops", "busy_us")
+    return live_totals(order_spans(spark, sf_dir))
 
 
 @register("ancestors", SPANS_SQL.rstrip() + " SELECT trace_id, span_id, 1 AS hop, parent_span_id AS ancestor FROM spans WHERE parent_span_id IS NOT NULL")
@@ -568,7 +632,13 @@ def _last(spark, sf_dir):
     return ingest.last_spans(order_spans(spark, sf_dir), 3).select("trace_id", "span_id")
 
 
-@register("stitch_split_spans")
+@register("stitch_split_spans", SPANS_SQL.rstrip() + """, k AS (SELECT trace_id, span_id, parent_span_id, ts_ms, target, ord, ord % 5 = 0 AS orphan FROM spans WHERE event_type = 'sql'),
+o5 AS (SELECT o.trace_id, max(d.ord) AS pick FROM k o JOIN k d ON d.trace_id = o.trace_id AND d.ord < 5 WHERE o.ord = 5 GROUP BY o.trace_id),
+o10 AS (SELECT o.trace_id, coalesce(max(d.ord) FILTER (WHERE d.ord IS DISTINCT FROM o5.pick), max(o5.pick)) AS pick FROM k o JOIN k d ON d.trace_id = o.trace_id AND d.ord < 10 AND d.ord <> 5 LEFT JOIN o5 ON o5.trace_id = o.trace_id WHERE o.ord = 10 GROUP BY o.trace_id),
+pk AS (SELECT trace_id, 5 AS ord, pick FROM o5 UNION ALL SELECT trace_id, 10, pick FROM o10)
+SELECT k.trace_id, k.span_id, k.parent_span_id, k.ts_ms, CASE WHEN k.orphan THEN d.target ELSE k.target END AS target, k.orphan
+FROM k LEFT JOIN pk ON k.trace_id = pk.trace_id AND k.ord = pk.ord LEFT JOIN k d ON d.trace_id = pk.trace_id AND d.ord = pk.pick
+WHERE NOT EXISTS (SELECT 1 FROM pk u WHERE u.trace_id = k.trace_id AND u.pick = k.ord)""")
 def _stitch(spark, sf_dir):
     spans = order_spans(spark, sf_dir).filter("event_type = 'sql'")
     split = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms", F.when(F.col("ord") % 5 != 0, F.col("target")).alias("target"), (F.col("ord") % 5 == 0).alias("orphan"))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from wattspan.functions.normalize import normalize_spans
 from wattspan.operators.detect import detect_all
+from wattspan.operators.energy import with_last_known
 from wattspan.operators.ingest import last_spans
 from wattspan.operators.periodic import chain_windows
 from wattspan.schema import Thresholds
 
+#: Fixed value: the trailing window of live correlations, ten minutes.
+WINDOW_MS = 600_000
 _SPAN_FIELDS = ("timestamp", "ts_ms", "span_id", "parent_span_id", "service", "grouping", "cloud_region", "event_type", "operation", "target", "duration_us", "source", "response_size_bytes", "code", "instrumentation_scopes", "ord")
 
 
@@ -34,27 +37,41 @@ def detect_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     """A started query that gives the findings of each batch of complete traces to ``sink``."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        sink(detect_all(normalize_spans(trace_spans(batch)), thresholds or Thresholds()), epoch)
+        spans = normalize_spans(trace_spans(batch)).persist()
+        try:
+            sink(detect_all(spans, thresholds or Thresholds(), dealt=True), epoch)
+        finally:
+            spans.unpersist()
 
     return assemble_traces(stream, ttl, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
 
-def cross_trace_correlations(findings: DataFrame, lag_ms: int = 5_000, min_count: int = 5, min_confidence: float = 0.7, max_pairs: int = 10_000) -> DataFrame:
-    """Pairs of findings of different services that follow each other within the lag.
+def cross_trace_correlations(findings: DataFrame, lag_ms: int = 5_000, min_count: int = 5, min_confidence: float = 0.7, max_pairs: int | None = None, window_ms: int | None = None) -> DataFrame:
+    """Pairs of findings of different services that follow each other within the lag; each first finding counts once a pair.
 
-    findings: ts_ms, trace_id, service, type, template, gk, gv. Time is cut into buckets of the lag, so a finding meets its own bucket
-    and the next by an equi-join; each first finding counts once a pair. A batch or a trailing window of a stream.
+    findings: ts_ms, trace_id, service, type, template, gk, gv. ``window_ms`` looks at the time before the newest finding only
+    (WINDOW_MS for live batches). Time is cut into buckets of the lag. In a bucket, findings of one identity are one list of
+    at most ``lag_ms`` distinct times, and first findings of one identity and time are one row, so a busy moment costs a
+    row for each of its times and each identity that follows, not for each pair of findings.
     """
     who = F.concat_ws("|", "service", "type", "template")
     base = findings.select("gk", "gv", "ts_ms", "trace_id", "service", who.alias("who"), F.floor(F.col("ts_ms") / lag_ms).alias("bucket"))
-    a = base.select("gk", "gv", F.col("ts_ms").alias("ta"), F.col("trace_id").alias("trace_a"), F.col("service").alias("sa"), F.col("who").alias("a"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = base.select("gk", "gv", "bucket", F.col("ts_ms").alias("tb"), F.col("service").alias("sb"), F.col("who").alias("b"))
-    near = a.join(b, ["gk", "gv", "bucket"]).filter((F.col("tb") >= F.col("ta")) & (F.col("tb") - F.col("ta") <= lag_ms) & (F.col("sa") != F.col("sb")))
-    first = near.groupBy("gk", "gv", "a", "b", "ta", "trace_a").agg(F.min(F.col("tb") - F.col("ta")).alias("lag"))
-    pairs = first.groupBy("gk", "gv", "a", "b").agg(F.count(F.lit(1)).alias("count"), F.percentile("lag", F.lit(0.5)).alias("median_lag_ms"), F.min("ta").alias("first_seen"), F.max("ta").alias("last_seen"), F.min_by("trace_a", F.struct("ta", "trace_a")).alias("sample_trace"))
+    if window_ms is not None:
+        newest = base.agg((F.max("ts_ms") - window_ms).alias("since"))
+        base = base.crossJoin(F.broadcast(newest)).filter("ts_ms >= since").drop("since")
+    a = base.groupBy("gk", "gv", F.col("who").alias("a"), F.col("service").alias("sa"), F.col("ts_ms").alias("ta"), "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("trace_id").alias("trace_a"))
+    a = a.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    b = base.groupBy("gk", "gv", "bucket", F.col("service").alias("sb"), F.col("who").alias("b")).agg(F.collect_set("ts_ms").alias("times"))
+    after = F.array_min(F.filter("times", lambda t: t >= F.col("ta")))
+    near = a.join(b, ["gk", "gv", "bucket"]).filter(F.col("sa") != F.col("sb")).withColumn("lag", after - F.col("ta")).filter(F.col("lag") <= lag_ms)
+    first = near.groupBy("gk", "gv", "a", "b", "ta", "n", "trace_a").agg(F.min("lag").alias("lag"))
+    pairs = first.groupBy("gk", "gv", "a", "b").agg(
+        F.sum("n").alias("count"), F.percentile("lag", F.lit(0.5), F.col("n")).alias("median_lag_ms"), F.min("ta").alias("first_seen"), F.max("ta").alias("last_seen"), F.min_by("trace_a", F.struct("ta", "trace_a")).alias("sample_trace")
+    )
     totals = base.groupBy("gk", "gv", F.col("who").alias("a")).agg(F.count(F.lit(1)).alias("total"))
     out = pairs.join(totals, ["gk", "gv", "a"]).withColumn("confidence", F.least(F.col("count") / F.col("total"), F.lit(1.0)))
-    return top_pairs(out.filter((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence)), max_pairs)
+    out = out.filter((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence))
+    return out if max_pairs is None else top_pairs(out, max_pairs)
 
 
 def top_pairs(pairs: DataFrame, n: int = 10_000) -> DataFrame:
@@ -68,13 +85,12 @@ def append_window_archive(reports: DataFrame, path: str) -> None:
 
 
 def sticky(figures: DataFrame, value: str, ttl_ms: int, key: str = "service") -> DataFrame:
-    """figures with the last value that isn't null, for as long as ttl_ms."""
-    upto = Window.partitionBy(key).orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col(value).isNotNull(), F.struct("ts_ms", value)), ignorenulls=True).over(upto)
-    held = figures.withColumn("_last", last)
+    """figures with the last value that isn't null, for as long as ttl_ms. A key's history is dealt over days."""
+    held = with_last_known(figures, key, value)
     return held.withColumn(f"sticky_{value}", F.when(F.col("ts_ms") - F.col("_last.ts_ms") <= ttl_ms, F.col(f"_last.{value}"))).drop("_last")
 
 
 def live_totals(spans: DataFrame) -> DataFrame:
-    """Cumulative ops, traces (approximate) and events by service of a stream, for update or complete mode; a batch gives the same rows."""
-    return spans.groupBy("service").agg(F.count(F.lit(1)).alias("io_ops"), F.approx_count_distinct("trace_id").alias("traces"), F.sum("duration_us").alias("busy_us"))
+    """Cumulative ops, traces and microseconds by service. Of a stream, for update or complete mode, traces are approximate."""
+    traces = F.approx_count_distinct("trace_id") if spans.isStreaming else F.countDistinct("trace_id")
+    return spans.groupBy("service").agg(F.count(F.lit(1)).alias("io_ops"), traces.alias("traces"), F.sum("duration_us").alias("busy_us"))
