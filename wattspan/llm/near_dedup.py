@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks, components, discard, join_by_key, key_filter, materialise, with_passes, without
+from wattspan.llm.common import HOT_SHARE, batch_blocks, components, discard, join_by_key, key_filter, materialise, with_passes, without
 from wattspan.llm.segments import Words, hash_ranges, hash_runs, mix
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 160, 5, 1024
@@ -30,7 +30,7 @@ SETS = "rep long, shingles array<long>"
 #: Sketches that differ in more bits belong to pairs of an estimated similarity below 0.6.
 MAX_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.4 / BITS)))
 #: Sets of at most so many shingles are broadcast where they stand in very many pairs.
-BROADCAST_SET = 10_000
+BROADCAST_SET = 2_000
 #: Parts over which the postings of one shingle are spread where they meet.
 SALTS = 8
 
@@ -211,15 +211,23 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     they share at most n - k, so the other has at most ``most`` shingles if they are linked. Shingles of one set alone share
     nothing and only move the others back; shingles too far back to leave a partner of any size are left out.
     """
-    single = materialise(sets.select("rep", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")), "shingles")
-    often = single.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = join_by_key(single, often, ["s"], "df", single.count()).groupBy("rep", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    often = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = materialise(often, "often")
+    # shingles of more than one in HOT_SHARE places are few: each set looks its own up; all others are joined
+    hot = often.filter(F.col("df") * HOT_SHARE > total).collect()
+    names, counts = (F.lit([r[c] for r in hot]).cast("array<long>") if hot else F.array().cast("array<long>") for c in ("s", "df"))
+    cold = F.filter("shingles", lambda x: ~F.array_contains(names, x))
+    rare = sets.select("rep", F.explode(cold).alias("s")).join(often.filter(F.col("df") * HOT_SHARE <= total), "s").groupBy("rep").agg(F.collect_list(F.struct("df", "s")).alias("rare"))
+    none = F.array().cast("array<struct<df:bigint,s:bigint>>")
+    frequent = F.transform(F.array_intersect("shingles", names), lambda x: F.struct(F.get(counts, F.array_position(names, x).cast("int") - 1).alias("df"), x.alias("s")))
+    ranked = sets.join(rare, "rep", "left").select("rep", "comp", F.size("shingles").alias("n"), F.array_sort(F.concat(F.coalesce("rare", none), frequent)).alias("l"))
     own = F.col("n") - F.size("l")
     reach = F.floor(F.col("n") * (100 - percent) / 100) + 1 - own
     placed = ranked.filter(reach > 0).select("rep", "comp", "n", own.alias("own"), F.posexplode(F.slice("l", 1, reach.cast("int"))).alias("i", "t"))
     most = F.floor((F.col("n") - F.col("own") - F.col("i")) * (100 + percent) / percent).cast("long") - F.col("n")
     out = materialise(placed.select("t.s", "rep", "comp", F.col("n").cast("long").alias("n"), most.alias("most")), "postings")
-    discard(single)
+    discard(often)
     return out
 
 
