@@ -1,7 +1,7 @@
 """Templates of SQL statements, URLs and messages as column expressions.
 
-One regular expression cuts a statement into tokens; an identifier token swallows its digits, so a number counts only where
-no word character stands before it.
+A statement is read once from left to right: each match takes what stays as it is (quoted names, words with their digits,
+signs) and then one value, so a number counts only where no word character stands before it.
 """
 
 from __future__ import annotations
@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TOKENS = r"(?s)'(?:[^']|'')*+'?|\"[^\"]*+\"?|\x60[^\x60]*+\x60?|\$\d+|(\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$).*?(?:\1|\z)|[A-Za-z_][A-Za-z0-9_]*+|\d++(?:\.\d*+)?|."
+_KEPT = r"(?:[^'\"\x60$0-9A-Za-z_]++|[A-Za-z_][A-Za-z0-9_]*+|\"[^\"]*+\"?|\x60[^\x60]*+\x60?|\$(?=\d)|\$(?!\d|(?:[A-Za-z_][A-Za-z0-9_]*)?\$))*+"
+_VALUE = r"'(?:[^']|'')*+'?|(\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$).*?(?:\3|\z)|\d++(?:\.\d*+)?"
+#: What is kept, then the number of a placeholder like $1, or a value (group 2).
+_STEP = rf"(?s)\G({_KEPT})(?:(?<=\$)\d+|({_VALUE}))"
 _IN_WORD = r"(?i)(?:^|\s)IN(?![A-Za-z0-9])"
 _IN_LIST = r"(?i)IN\s*\(\s*\?(?:\s*,\s*\?)*\s*\)"
 #: Statements are cut at so many bytes.
@@ -20,20 +23,12 @@ _IPV4 = r"^\d{1,3}(\.\d{1,3}){3}$"
 MAX_QUERY_PAIRS = 100
 
 
-def _is_value(token: Column) -> Column:
-    return token.rlike(r"(?s)^(?:'|\d|\$(?!\d).)")
-
-
 def _cut(sql: Column) -> Column:
     """At most MAX_STATEMENT bytes, on a character boundary."""
     cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(sql, "UTF-8"), 1, MAX_STATEMENT).cast("string")), "\ufffd+$", "")
     return F.when(F.octet_length(sql) <= MAX_STATEMENT, sql).otherwise(cut)
 
 
-def sql_tokens(sql: Column) -> Column:
-    return F.regexp_extract_all(_cut(sql), F.lit(_TOKENS), F.lit(0))
-
-
 def _unquoted(token: Column) -> Column:
     """A value token without its quotes or dollar tags."""
     tagged = F.regexp_replace(token, r"(?s)^(\$\w*\$)(.*?)(?:\1)?$", "$2")
@@ -41,15 +36,33 @@ def _unquoted(token: Column) -> Column:
     return F.when(token.startswith("$"), tagged).when(token.startswith("'"), quoted).otherwise(token)
 
 
+def sql_masked(sql: Column) -> Column:
+    """The statement with ? for each literal and $? for each placeholder."""
+    return F.regexp_replace(_cut(sql), _STEP, "$1?")
+
+
+def _collapsed(masked: Column) -> Column:
+    """Lists after IN collapse."""
+    return F.when(masked.rlike(_IN_WORD), F.regexp_replace(masked, _IN_LIST, "IN (?)")).otherwise(masked)
+
+
+def _literals(sql: Column) -> Column:
+    """The literals without their quotes, in order."""
+    return F.transform(F.filter(F.regexp_extract_all(_cut(sql), F.lit(_STEP), F.lit(2)), lambda v: v != ""), _unquoted)
+
+
+def sql_tokens(sql: Column) -> Column:
+    """What a statement is read into: masked and params."""
+    return F.struct(sql_masked(sql).alias("masked"), _literals(sql).alias("params"))
+
+
 def sql_template(tokens: Column) -> Column:
     """Literals become ?, $1 becomes $?, and lists after IN collapse."""
-    mask = lambda t: F.when(t.rlike(r"^\$\d"), F.lit("$?")).when(_is_value(t), F.lit("?")).otherwise(t)
-    joined = F.array_join(F.transform(tokens, mask), "")
-    return F.when(joined.rlike(_IN_WORD), F.regexp_replace(joined, _IN_LIST, "IN (?)")).otherwise(joined)
+    return _collapsed(tokens["masked"])
 
 
 def sql_params(tokens: Column) -> Column:
-    return F.transform(F.filter(tokens, _is_value), _unquoted)
+    return tokens["params"]
 
 
 def http_host(target: Column) -> Column:
@@ -87,16 +100,21 @@ def http_params(target: Column) -> Column:
 def normalize_spans(spans: DataFrame) -> DataFrame:
     """spans with template and params; publishes are never masked."""
     kind = F.col("event_type")
-    tokens = F.when(kind == "sql", sql_tokens(F.col("target")))
-    out = spans.withColumn("_tokens", tokens)
-    template = F.when(kind == "sql", sql_template(F.col("_tokens"))).when(kind == "http_out", http_template(F.col("operation"), F.col("target"))).otherwise(F.concat_ws(" ", "operation", "target"))
-    params = F.when(kind == "sql", sql_params(F.col("_tokens"))).when(kind == "http_out", http_params(F.col("target"))).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"template": template, "params": params}).drop("_tokens")
+    # a column of its own, used several times, is computed once
+    out = spans.withColumn("_masked", F.when(kind == "sql", sql_masked(F.col("target"))))
+    template = F.when(kind == "sql", _collapsed(F.col("_masked"))).when(kind == "http_out", http_template(F.col("operation"), F.col("target"))).otherwise(F.concat_ws(" ", "operation", "target"))
+    params = F.when(kind == "sql", _literals(F.col("target"))).when(kind == "http_out", http_params(F.col("target"))).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({"template": template, "params": params}).drop("_masked")
 
 
 def template_rollup(normalized: DataFrame) -> DataFrame:
-    """Calls, distinct parameter lists, durations and traces of each template of a service."""
-    return normalized.groupBy("event_type", "service", "template").agg(
-        F.count(F.lit(1)).alias("calls"), F.countDistinct("params").alias("distinct_params"), F.sum("duration_us").alias("total_us"),
-        F.avg("duration_us").alias("mean_us"), F.max("duration_us").alias("max_us"), F.countDistinct("trace_id").alias("traces"),
-    )
+    """Calls, distinct parameter lists, durations and traces of each template of a service.
+
+    Parameter lists count by a 64-bit hash. Spans of one template, trace and list meet before anything is shuffled further.
+    """
+    keys = ["event_type", "service", "template"]
+    kept = [F.sum("calls").alias("calls"), F.sum("total_us").alias("total_us"), F.max("max_us").alias("max_us")]
+    first = [F.count(F.lit(1)).alias("calls"), F.sum("duration_us").alias("total_us"), F.max("duration_us").alias("max_us"), F.count("duration_us").alias("timed")]
+    each = normalized.groupBy(*keys, "trace_id", F.xxhash64("params").alias("same")).agg(*first)
+    out = each.groupBy(*keys).agg(*kept, F.sum("timed").alias("timed"), F.countDistinct("same").alias("distinct_params"), F.countDistinct("trace_id").alias("traces"))
+    return out.select(*keys, "calls", "distinct_params", "total_us", (F.col("total_us") / F.col("timed")).alias("mean_us"), "max_us", "traces")

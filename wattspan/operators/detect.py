@@ -37,8 +37,10 @@ FINDING = (
 
 
 def _keyed(normalized: DataFrame) -> DataFrame:
-    """Spans with their grouping identity as two columns that group and join null-safely."""
-    return normalized.withColumns({"gk": _identity("key"), "gv": _identity("value")})
+    """Spans with their grouping identity as two columns that group and join null-safely, and a 64-bit hash of their parameters."""
+    if "same" in normalized.columns:
+        return normalized
+    return normalized.withColumns({"gk": _identity("key"), "gv": _identity("value"), "same": F.xxhash64("params"), "bare": F.size("params") == 0})
 
 
 def nearest_rank(sorted_values: Column, percent: int) -> Column:
@@ -108,7 +110,7 @@ def n_plus_one_groups(normalized: DataFrame, threshold: int = _D.n_plus_one) ->
     """Groups of at least ``threshold`` spans with what the direct and the heuristic rules need."""
     keyed = _keyed(normalized)
     agg = keyed.groupBy(*_GROUP).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_json("params")).alias("distinct"), F.bool_and(F.size("params") == 0).alias("bare"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct("same").alias("distinct"), F.bool_and("bare").alias("bare"),
         F.bool_or(F.exists(F.coalesce("instrumentation_scopes", F.array().cast("array<string>")), lambda s: s.rlike(_ORM))).alias("orm"), *timing_stats(), *_bounds(), _representative(),
     )
     return agg.filter(F.col("n") >= threshold)
@@ -141,7 +143,7 @@ def detect_n_plus_one(normalized: DataFrame, threshold: int = _D.n_plus_one, win
 def _redundant_groups(normalized: DataFrame, n_plus_one: DataFrame) -> DataFrame:
     keyed = _keyed(normalized).filter("event_type <> 'messaging'")
     fired = n_plus_one.select("trace_id", F.col("pattern.template").alias("template"), _identity("key").alias("gk"), _identity("value").alias("gv")).distinct()
-    groups = keyed.groupBy(*_GROUP, F.to_json("params").alias("same")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative())
+    groups = keyed.groupBy(*_GROUP, "same").agg(F.count(F.lit(1)).alias("n"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative())
     return groups.filter("n >= 2").join(fired, ["trace_id", "template", "gk", "gv"], "left_anti")
 
 
@@ -157,7 +159,7 @@ def _slow(normalized: DataFrame, slow_ms: int) -> DataFrame:
 
 def detect_slow(normalized: DataFrame, slow_ms: int = _D.slow_ms, minimum: int = _D.slow_min) -> DataFrame:
     """Templates with at least ``minimum`` calls over the limit in a trace."""
-    groups = _slow(normalized, slow_ms).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("duration_us").alias("most"), F.countDistinct(F.to_json("params")).alias("distinct"), *timing_stats(), *_bounds(), _representative())
+    groups = _slow(normalized, slow_ms).groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.max("duration_us").alias("most"), F.countDistinct("same").alias("distinct"), *timing_stats(), *_bounds(), _representative())
     severity = F.when(F.col("most") > 5 * slow_ms * 1000, F.lit("critical")).otherwise(F.lit("warning"))
     return _findings(groups.filter(F.col("n") >= minimum), F.concat(F.lit("slow_"), _short()), severity, F.col("n"), F.col("distinct"), F.concat(F.lit("Slowest call took "), F.floor(F.col("most") / 1000), F.lit(" ms.")))
 
@@ -185,8 +187,11 @@ def _children(normalized: DataFrame) -> DataFrame:
 
 
 def detect_fanout(normalized: DataFrame, maximum: int = _D.fanout) -> DataFrame:
-    """Parents with more than ``maximum`` children; a parent outside the data is named by its id."""
-    groups = _children(normalized).groupBy("trace_id", F.col("parent_span_id").alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative().alias("child")).filter(F.col("n") > maximum)
+    """Parents with more than ``maximum`` children; a parent outside the data is named by its id. Only their children are gathered."""
+    children = _children(normalized).withColumn("parent", F.col("parent_span_id"))
+    many = children.groupBy("trace_id", "parent").agg(F.count(F.lit(1)).alias("n"), *_bounds(), _representative().alias("child")).filter(F.col("n") > maximum)
+    ids = children.join(many.select("trace_id", "parent"), ["trace_id", "parent"], "left_semi").groupBy("trace_id", "parent").agg(F.collect_list("span_id").alias("ids"))
+    groups = many.join(ids, ["trace_id", "parent"])
     parents = normalized.groupBy("trace_id", F.col("span_id").alias("parent")).agg(F.max_by(F.struct("service", "grouping", F.col("source.endpoint").alias("endpoint"), "code", "instrumentation_scopes", "template", "trace_id"), "ord").alias("own"))
     found = groups.join(parents, ["trace_id", "parent"], "left").withColumn("rep", F.coalesce("own", "child"))
     template = F.when(F.col("own").isNull(), F.concat(F.lit("parent:"), "parent")).otherwise(F.col("own.template"))
@@ -302,7 +307,7 @@ def sort_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("type_ord", "severity_ord", "trace_id", "source_endpoint", "pattern.template")
 
 
-_NEEDED = ("timestamp", "ts_ms", "trace_id", "span_id", "parent_span_id", "service", "grouping", "event_type", "duration_us", "source", "code", "instrumentation_scopes", "template", "params", "ord")
+_NEEDED = ("timestamp", "ts_ms", "trace_id", "span_id", "parent_span_id", "service", "grouping", "event_type", "duration_us", "source", "code", "instrumentation_scopes", "template", "ord", "gk", "gv", "same", "bare")
 
 
 def detect_all(normalized: DataFrame, thresholds: Thresholds = _D, dealt: bool = False) -> DataFrame:
@@ -313,9 +318,9 @@ def detect_all(normalized: DataFrame, thresholds: Thresholds = _D, dealt: bool =
     again; the caller may clear the cache when the findings are written.
     """
     t = thresholds
-    n = normalized.select(*_NEEDED)
-    n = n if dealt else n.repartition("trace_id").persist()
-    n1 = detect_n_plus_one(n, t.n_plus_one, t.window_ms, t.sanitizer)
+    n = _keyed(normalized).select(*_NEEDED)
+    n1 = detect_n_plus_one(n := n if dealt else n.repartition("trace_id").persist(), t.n_plus_one, t.window_ms, t.sanitizer)
+    n1 = n1 if dealt else n1.persist()
     parts = [n1, detect_redundant(n, n1), detect_slow(n, t.slow_ms, t.slow_min), detect_fanout(n, t.fanout), detect_chatty(n, t.chatty), detect_pool_saturation(n, t.pool), detect_serialized(n, t.serialized)]
     # the cross-trace rule asks each template for two traces, so a batch of one trace has none
     return reduce(DataFrame.unionByName, [*parts, detect_slow_cross_trace(n, t.slow_ms, t.slow_min)])

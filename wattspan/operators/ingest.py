@@ -138,16 +138,24 @@ def collect_scopes(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame |
     return spans.join(above, ["trace_id", "span_id"], "left").withColumn("scopes", F.array_distinct(F.concat(own, F.coalesce("_above", F.array().cast("array<string>"))))).drop("_above")
 
 
-def resolve_producer_link(spans: DataFrame) -> DataFrame:
-    """spans with producer_trace: the link of the CONSUMER sibling that started last at or before the span, largest span id on
-    ties, else of a CONSUMER parent. An as-of join on (trace, parent)."""
+def resolve_producer_link(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """spans with producer_trace, the trace whose message started this work; null where none is known.
+
+    spans: trace_id, span_id, parent_span_id, kind, ts_ms, link_trace_id. At the span: the link of the CONSUMER sibling that
+    started last at or before it, largest span id on ties. Then at each ancestor, nearest first: its own link if it is a
+    CONSUMER, else that of such a sibling of the ancestor. A link to the own or an all-zero trace is none. Siblings are an
+    as-of join on (trace, parent).
+    """
     consumers = spans.filter("kind = 'CONSUMER' and link_trace_id is not null and link_trace_id <> trace_id and link_trace_id <> repeat('0', 32)")
     siblings = consumers.select("trace_id", F.col("parent_span_id").alias("_p"), F.col("ts_ms").alias("_ts"), F.col("span_id").alias("_id"), F.col("link_trace_id").alias("_link"))
     asked = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms")
     fits = asked.join(siblings.withColumnRenamed("_p", "parent_span_id"), ["trace_id", "parent_span_id"]).filter("_ts <= ts_ms and _id <> span_id")
     best = fits.groupBy("trace_id", "span_id").agg(F.max_by("_link", F.struct("_ts", "_id")).alias("_sibling"))
-    parent = consumers.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("link_trace_id").alias("_parent"))
-    return spans.join(best, ["trace_id", "span_id"], "left").join(parent, ["trace_id", "parent_span_id"], "left").withColumn("producer_trace", F.coalesce("_sibling", "_parent")).drop("_sibling", "_parent")
+    own = consumers.select("trace_id", "span_id", F.col("link_trace_id").alias("_own"))
+    known = spans.join(best, ["trace_id", "span_id"], "left")
+    nodes = known.join(own, ["trace_id", "span_id"], "left").select("trace_id", "span_id", "parent_span_id", F.coalesce("_own", "_sibling").alias("link"))
+    above = ancestors(nodes, max_hops, ("link",)).filter("link is not null").groupBy("trace_id", "span_id").agg(F.min_by("link", "hop").alias("_above"))
+    return known.join(above, ["trace_id", "span_id"], "left").withColumn("producer_trace", F.coalesce("_sibling", "_above")).drop("_sibling", "_above")
 
 
 def collect_grouping(resource: Column, attrs: Column, keys: tuple[str, ...] = GROUPING_KEYS) -> Column:
@@ -156,12 +164,21 @@ def collect_grouping(resource: Column, attrs: Column, keys: tuple[str, ...] = GR
     return F.filter(pairs, lambda p: p["value"].isNotNull())
 
 
-def suppress_layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """spans without SQL spans whose nearest ancestor with a statement has the same one."""
+def layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """trace_id and span_id of SQL spans with an ancestor that has the same statement. Two spans that are ancestors of each
+    other, on a cycle, have no outermost one, so both stay. spans may hold other spans, which walks pass through."""
     statement = F.when(F.col("event_type") == "sql", F.col("target"))
-    walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", statement.alias("statement")), max_hops, ("statement",)).filter("statement is not null")
-    near = walk.groupBy("trace_id", "span_id").agg(F.min_by("statement", "hop").alias("target"), F.lit("sql").alias("event_type"))
-    return spans.join(near, ["trace_id", "span_id", "target", "event_type"], "left_anti")
+    own = spans.select("trace_id", "span_id", "parent_span_id", statement.alias("statement"))
+    walk = ancestors(own, max_hops, ("statement",)).withColumnRenamed("statement", "_above")
+    same = walk.join(own.select("trace_id", "span_id", "statement"), ["trace_id", "span_id"]).filter("_above = statement")
+    nearest = same.groupBy("trace_id", "span_id").agg(F.min_by("ancestor", "hop").alias("ancestor"))
+    mutual = walk.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("span_id"))
+    return nearest.join(mutual, ["trace_id", "span_id", "ancestor"], "left_anti").select("trace_id", "span_id")
+
+
+def suppress_layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+    """spans without their layered duplicates."""
+    return spans.join(layered_duplicates(spans, max_hops), ["trace_id", "span_id"], "left_anti")
 
 
 def _stitch(pdf):

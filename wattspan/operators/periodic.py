@@ -6,10 +6,12 @@ models, and per_service arrays of (service, io_ops, energy_kwh, co2_g, measured_
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.operators.score import ENERGY_PER_OP_KWH
+from wattspan.schema import FINDING_TYPES
 
 DAY_MS = 86_400_000
 UNATTRIBUTED = "_unattributed"
@@ -23,10 +25,21 @@ def _finite(c: str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(True))
 
 
+def _usable() -> Column:
+    return _finite("operational_g") & _finite("embodied_g") & _finite("transport_g")
+
+
 def windows_in_period(windows: DataFrame, first: str, last: str) -> DataFrame:
-    """Windows from the first day to the end of the last; windows with carbon that is not finite are dropped."""
+    """Windows from the first day to the end of the last; windows with carbon that is not finite are dropped (see ``period_counts``)."""
+    inside = (F.col("ts_ms") >= _day_ms(first)) & (F.col("ts_ms") < _day_ms(last) + DAY_MS)
+    return windows.filter(inside & _usable())
+
+
+def period_counts(windows: DataFrame, first: str, last: str) -> DataFrame:
+    """One row: windows kept and dropped in the period; ``empty`` says that none is left, which no disclosure may have."""
     inside = (F.col("ts_ms") >= _day_ms(first)) & (F.col("ts_ms") < _day_ms(last) + DAY_MS)
-    return windows.filter(inside & _finite("operational_g") & _finite("embodied_g") & _finite("transport_g"))
+    out = windows.filter(inside).agg(F.count_if(_usable()).alias("kept"), F.count_if(~_usable()).alias("dropped"))
+    return out.withColumn("empty", F.col("kept") == 0)
 
 
 def archive_time_range(windows: DataFrame) -> DataFrame:
@@ -42,9 +55,9 @@ def period_totals(windows: DataFrame) -> DataFrame:
     return windows.agg(F.count(F.lit(1)).alias("windows"), F.sum("requests").alias("requests"), F.sum("io_ops").alias("io_ops"), F.sum(window_energy()).alias("energy_kwh"), (F.sum(carbon) / 1000).alias("carbon_kg"))
 
 
-def attribute_services(windows: DataFrame, max_services: int = 4096) -> DataFrame:
+def attribute_services(windows: DataFrame, max_services: int | None = None) -> DataFrame:
     """Requests, ops, energy and grams of each service. Windows with energy by service give it as it is; those with ops by
-    service share out energy and grams by ops; others go to one unattributed row. Requests always go by ops."""
+    service share out energy and grams by ops; others go to one unattributed row. Requests always go by ops. With ``max_services`` the services of fewest ops share the unattributed row, as a live view may want."""
     n = F.when(F.col("per_service").isNull(), 0).otherwise(F.size("per_service"))
     grams = F.coalesce("operational_g", F.lit(0.0))
     total = F.aggregate("per_service", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["io_ops"], F.lit(0)))
@@ -56,6 +69,8 @@ def attribute_services(windows: DataFrame, max_services: int = 4096) -> DataFram
     )
     rest = windows.filter(n <= 0).select(F.lit(UNATTRIBUTED).alias("service"), "requests", "io_ops", window_energy().alias("energy_kwh"), grams.alias("co2_g"))
     sums = own.unionByName(rest).groupBy("service").agg(*(F.sum(c).alias(c) for c in ("requests", "io_ops", "energy_kwh", "co2_g")))
+    if max_services is None:
+        return sums
     named = sums.filter(F.col("service") != UNATTRIBUTED).orderBy(F.desc("io_ops"), "service").limit(max_services).select("service", F.lit(True).alias("_named"))
     folded = sums.join(F.broadcast(named), "service", "left").groupBy(F.when(F.col("_named"), F.col("service")).otherwise(UNATTRIBUTED).alias("service"))
     return folded.agg(*(F.sum(c).alias(c) for c in ("requests", "io_ops", "energy_kwh", "co2_g")))
@@ -102,9 +117,14 @@ def period_coverage(windows: DataFrame) -> DataFrame:
 
 
 def methodology_sets(windows: DataFrame) -> DataFrame:
-    """Distinct models without their calibration suffix, and whether any had it."""
-    models = windows.select(F.explode("models").alias("m"))
-    return models.agg(F.sort_array(F.collect_set(F.regexp_replace("m", r"\+cal$", ""))).alias("models"), F.coalesce(F.bool_or(F.col("m").endswith("+cal")), F.lit(False)).alias("calibrated"))
+    """Distinct models without their calibration suffix and whether any had it; and the distinct versions, methodologies and
+    coefficients of windows that have such columns."""
+    out = windows.agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("models", lambda m: F.regexp_replace(m, r"\+cal$", "")))))).alias("models"),
+        F.coalesce(F.bool_or(F.exists("models", lambda m: m.endswith("+cal"))), F.lit(False)).alias("calibrated"),
+        *(F.sort_array(F.collect_set(c)).alias(f"{c}s") for c in ("version", "methodology", "coefficient") if c in windows.columns),
+    )
+    return out
 
 
 def measured_ratios(windows: DataFrame) -> DataFrame:
@@ -119,22 +139,59 @@ def carbon_breakdown(windows: DataFrame, low: float = 0.25, high: float = 1.625,
     return out.withColumns({"transport_low_kg": bound(low), "transport_high_kg": bound(high)})
 
 
+#: What a chain's first line names as its predecessor; an archive of another writer has its own.
 SEED = "0" * 64
+# Fixed value: the threshold of canonical figures.
+CANONICAL_THRESHOLD = 2
+
+
+class _Literal(str):
+    """A number as it was written."""
+
 
+def canonical_json(value) -> str:
+    """Compact JSON with sorted keys and numbers as they were written; value is what ``parse`` gives."""
+    import json
 
-def chain_windows(reports: DataFrame, order: str = "ts_ms") -> DataFrame:
-    """reports (file, line, body) with prev, seq and hash of a chain a file. A hash covers the body, its predecessor and its number.
+    if isinstance(value, _Literal):
+        return value
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(v)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical_json, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def archive_hash(body: str | None, prev: str | None, seq: int | None) -> str | None:
+    """sha256: and the digest of a line's canonical JSON with prev and seq, without its own hash; null for what is no object."""
+    import hashlib
+    import json
+
+    try:
+        line = json.loads(body or "", parse_int=_Literal, parse_float=_Literal)
+    except ValueError:
+        return None
+    if not isinstance(line, dict):
+        return None
+    line.pop("hash", None)
+    if prev is not None:
+        line["prev"] = prev
+    if seq is not None and seq == seq:
+        line["seq"] = _Literal(int(seq))
+    return "sha256:" + hashlib.sha256(canonical_json(line).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def chain_windows(reports: DataFrame, seed: str = SEED) -> DataFrame:
+    """reports (file, line, body: JSON) with prev, seq and hash of a chain a file.
 
     A chain is sequential, so each file is one group; files are the unit of parallelism.
     """
 
     def run(pdf):
-        import hashlib
-
         pdf = pdf.sort_values("line")
-        prev, out = SEED, []
+        prev, out = seed, []
         for n, body in enumerate(pdf["body"]):
-            digest = hashlib.sha256(f"{body}|{prev}|{n}".encode()).hexdigest()
+            digest = archive_hash(body, prev, n)
             out.append((prev, n, digest))
             prev = digest
         pdf["prev"], pdf["seq"], pdf["hash"] = zip(*out, strict=True)
@@ -143,22 +200,84 @@ def chain_windows(reports: DataFrame, order: str = "ts_ms") -> DataFrame:
     return reports.select("file", "line", "body").groupBy("file").applyInPandas(run, "file string, line long, body string, prev string, seq long, hash string")
 
 
-def verify_archive_chain(chained: DataFrame) -> DataFrame:
-    """Per file: windows, verified, and breaks. After a break the stated hash is followed. Native: a hash is of its own row alone."""
+def verify_archive_chain(chained: DataFrame, first: str | None = None, last: str | None = None, seed: str = SEED) -> DataFrame:
+    """Per file: windows, verified, and breaks; with the days of a period (and ts_ms) also breaks in and out of it and unchained lines.
+
+    A line is unchained if it has no hash. A break is a line whose hash is not its own, or that does not follow the hash and number
+    stated before it; after a break the stated ones are followed. A line without a time counts as in the period.
+    """
+
+    @F.pandas_udf("string")
+    def own_hash(body: pd.Series, prev: pd.Series, seq: pd.Series) -> pd.Series:
+        return pd.Series([archive_hash(*x) for x in zip(body, prev, seq)], dtype=object)
+
     in_order = Window.partitionBy("file").orderBy("line")
-    own = F.sha2(F.concat_ws("|", "body", "prev", F.col("seq").cast("string")), 256) == F.col("hash")
-    linked = (F.col("prev") == F.coalesce(F.lag("hash").over(in_order), F.lit(SEED))) & (F.col("seq") == F.coalesce(F.lag("seq").over(in_order) + 1, F.lit(0)))
-    return chained.withColumn("ok", F.coalesce(own & linked, F.lit(False))).groupBy("file").agg(F.count(F.lit(1)).alias("windows"), F.count_if("ok").alias("verified"), F.count_if(~F.col("ok")).alias("breaks"))
+    stated = F.col("hash").isNotNull()
+    before = lambda c: F.last(F.when(stated, F.col(c)), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    linked = (F.col("prev") == F.coalesce(before("hash"), F.lit(seed))) & (F.coalesce("seq", before("seq") + 1) == F.coalesce(before("seq") + 1, F.lit(0)))
+    checked = chained.withColumn("_own", own_hash("body", "prev", "seq")).withColumn("_ok", stated & F.coalesce((F.col("_own") == F.col("hash")) & linked, F.lit(False)))
+    broken = stated & ~F.col("_ok")
+    counts = [F.count(F.lit(1)).alias("windows"), F.count_if("_ok").alias("verified"), F.count_if(broken).alias("breaks")]
+    if first is not None and last is not None:
+        inside = F.coalesce((F.col("ts_ms") >= _day_ms(first)) & (F.col("ts_ms") < _day_ms(last) + DAY_MS), F.lit(True))
+        counts += [F.count_if(broken & inside).alias("breaks_in_period"), F.count_if(broken & ~inside).alias("breaks_outside"), F.count_if(~stated).alias("unchained")]
+    return checked.groupBy("file").agg(*counts)
+
+
+def _bad(c: str) -> Column:
+    """Not a finite number of at least 0."""
+    return F.col(c).isNull() | ~_finite(c) | (F.col(c) < 0)
+
+
+def _violations(rows: DataFrame, rules: dict[str, Column], prefix: Column | None = None) -> DataFrame:
+    text = lambda t: F.lit(t) if prefix is None else F.concat(prefix, F.lit(f": {t}"))
+    checks = F.array(*[F.when(failed, text(t)) for t, failed in rules.items()])
+    return rows.select(F.explode(F.array_compact(checks)).alias("violation"))
 
 
 def validate_disclosure(aggregate: DataFrame, min_coverage: float = 0.75) -> DataFrame:
-    """One row a violated rule of a disclosure: aggregate has the totals, ratios and coverage columns of the operators above."""
-    bad = lambda c: ~_finite(c) | (F.col(c) < 0) | F.col(c).isNull()
-    within = lambda c, hi: bad(c) | (F.col(c) > hi)
+    """One row a violated rule of a disclosure: aggregate has the totals, ratios and coverage columns of the operators above, and
+    may have potential_kg and canonical_threshold. A value that is no finite number of at least 0 breaks that rule alone."""
+    within = lambda c, hi: ~_bad(c) & (F.col(c) > hi)
+    covered = ~_bad("period_coverage") & (F.col("period_coverage") <= 1)
     rules = {
-        "requests is negative": bad("requests"), "energy is not finite or negative": bad("energy_kwh"), "carbon is not finite or negative": bad("carbon_kg"), "waste ratio is outside 0 to 1": within("ratio", 1.0),
-        "efficiency is outside 0 to 100": within("efficiency", 100.0), "period coverage is outside 0 to 1": within("period_coverage", 1.0), "period coverage is too low": F.col("period_coverage") < min_coverage,
+        "requests is negative": _bad("requests"), "energy is not finite or negative": _bad("energy_kwh"), "carbon is not finite or negative": _bad("carbon_kg"),
+        "waste ratio is not finite or negative": _bad("ratio"), "waste ratio is above 1": within("ratio", 1.0),
+        "efficiency is not finite or negative": _bad("efficiency"), "efficiency is above 100": within("efficiency", 100.0),
+        "period coverage is outside 0 to 1": ~covered, "period coverage is too low": covered & (F.col("period_coverage") < min_coverage),
         "more days observed than the period has": F.col("observed_days") > F.col("period_days"), "a gap is longer than the period": F.col("largest_gap_days") > F.col("period_days"),
     }
-    checks = F.array(*[F.when(failed, F.lit(text)) for text, failed in rules.items()])
-    return aggregate.select(F.explode(F.array_compact(checks)).alias("violation"))
+    if "coverage" in aggregate.columns:
+        rules["temporal coverage is outside 0 to 1"] = _bad("coverage") | (F.col("coverage") > 1)
+    if "potential_kg" in aggregate.columns:
+        rules["optimisation potential is not finite or negative"] = _bad("potential_kg")
+    if "canonical_threshold" in aggregate.columns:
+        rules["canonical threshold is not the fixed one"] = ~F.col("canonical_threshold").eqNullSafe(F.lit(CANONICAL_THRESHOLD))
+    return _violations(aggregate, rules)
+
+
+def validate_tiers(tiers: DataFrame) -> DataFrame:
+    """Violations of waste tiers (see ``waste_tiers``): figures that are not finite or negative, ratios outside 0 to 1."""
+    rules = {"energy is not finite or negative": _bad("avoidable_kwh"), "carbon is not finite or negative": _bad("avoidable_g"), "ratio is outside 0 to 1": _bad("ratio") | (F.col("ratio") > 1)}
+    return _violations(tiers, rules, F.col("tier"))
+
+
+def validate_waste_blocks(blocks: DataFrame) -> DataFrame:
+    """Violations of database and messaging blocks (see ``workload_waste_rollup``); windows_with_carbon is optional."""
+    split = F.col("measured") + F.col("declared") + F.col("estimated")
+    rules = {
+        "energy is not finite or negative": _bad("waste_kwh"), "carbon is not finite or negative": _bad("waste_g"), "block without windows": F.col("windows") == 0,
+        "windows by provenance do not add up": (split > 0) & (split != F.col("windows")),
+    }
+    if "windows_with_carbon" in blocks.columns:
+        rules["more windows with carbon than windows"] = F.col("windows_with_carbon") > F.col("windows")
+    return _violations(blocks, rules, F.col("kind"))
+
+
+def validate_applications(patterns: DataFrame) -> DataFrame:
+    """Violations of patterns by application (see ``antipattern_rollup``): no service, an unknown type, seen last before first."""
+    rules = {
+        "service is empty": F.coalesce(F.trim("service") == "", F.lit(True)), "pattern is unknown": ~F.coalesce(F.col("type").isin(*FINDING_TYPES), F.lit(False)),
+        "seen last before it was seen first": F.col("last_seen") < F.col("first_seen"),
+    }
+    return _violations(patterns, rules, F.coalesce("service", F.lit("")))

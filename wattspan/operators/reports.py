@@ -97,6 +97,11 @@ def apply_acknowledgments(findings: DataFrame, acks: DataFrame, today: str) -> t
     return findings.join(signatures, "signature", "left_anti"), findings.join(signatures, "signature", "left_semi")
 
 
+def gate_after_acknowledgments(findings: DataFrame, acks: DataFrame, today: str, waste: DataFrame, **limits) -> DataFrame:
+    """The gate over the findings that are still open; the waste ratio is that of the whole run."""
+    return quality_gate(apply_acknowledgments(findings, acks, today)[0], waste, **limits)
+
+
 def unmatched_acknowledgments(findings: DataFrame, acks: DataFrame, today: str, observed: DataFrame | None = None) -> DataFrame:
     """Active acks without a finding, and what that means: the endpoint was observed (likely fixed), was not (proves nothing), or
     the ack or the run doesn't say (unknown)."""
@@ -116,11 +121,19 @@ def coalesce_findings(stored: DataFrame) -> DataFrame:
 
 
 def query_findings(findings: DataFrame, service: str | None = None, kind: str | None = None, severity: str | None = None, limit: int | None = None, order: str = "last_timestamp") -> DataFrame:
-    """Newest first."""
+    """Newest first; ties by type, trace and endpoint."""
     for column, value in (("service", service), ("type", kind), ("severity", severity)):
         if value is not None:
             findings = findings.filter(F.col(column) == value)
-    out = findings.orderBy(F.desc(order))
+    out = findings.orderBy(F.desc(order), "type", "trace_id", "source_endpoint")
+    return out if limit is None else out.limit(limit)
+
+
+def query_coalesced(stored: DataFrame, severity: str | None = None, limit: int | None = None) -> DataFrame:
+    """Folded findings (see ``coalesce_findings``), newest first, ties by signature; the severity is that after folding."""
+    folded = coalesce_findings(stored)
+    kept = folded if severity is None else folded.filter(F.col("severity") == severity)
+    out = kept.orderBy(F.desc("last_seen"), "signature", "gk", "gv")
     return out if limit is None else out.limit(limit)
 
 
@@ -224,25 +237,40 @@ def evidence_traces(spans: DataFrame, findings: DataFrame, max_bytes: int, keep:
 SLOW_BUCKETS_MS = (100, 250, 500, 1000, 2500, 5000, 10000)
 
 
-def metrics_rollup(spans: DataFrame, findings: DataFrame, slow_ms: int, max_services: int = 1024) -> DataFrame:
-    """metric, label, kind, value: findings by type and severity, ops of the most active services (others share one bucket), and
-    cumulative buckets of slow durations by event type."""
-    found = findings.groupBy("type", "severity").agg(F.count(F.lit(1)).alias("value")).select(F.lit("findings").alias("metric"), F.col("type").alias("label"), F.col("severity").alias("kind"), "value")
-    ops = spans.groupBy("service").agg(F.count(F.lit(1)).alias("value"))
-    named = ops.orderBy(F.desc("value"), "service").limit(max_services).select("service", F.lit(True).alias("_named"))
-    ops = ops.join(F.broadcast(named), "service", "left").groupBy(F.when(F.col("_named"), F.col("service")).otherwise("_other").alias("label")).agg(F.sum("value").alias("value"))
-    ops = ops.select(F.lit("io_ops").alias("metric"), "label", F.lit("").alias("kind"), "value")
+def metrics_rollup(spans: DataFrame, findings: DataFrame, slow_ms: int, max_services: int | None = None, waste: DataFrame | None = None) -> DataFrame:
+    """metric, label, kind, value: findings by type and severity, ops of services, cumulative buckets of slow durations by event
+    type; with ``waste`` (see score.io_waste) also the totals of ops and avoidable ops and their ratio.
+
+    With ``max_services`` the least active services share one label, as a live endpoint wants.
+    """
+    row = lambda df, metric, label, kind: df.select(F.lit(metric).alias("metric"), label.alias("label"), kind.alias("kind"), F.col("value").cast("double").alias("value"))
+    none = F.lit("")
+    n = F.count(F.lit(1)).alias("value")
+    found = row(findings.groupBy("type", "severity").agg(n), "findings", F.col("type"), F.col("severity"))
+    ops = spans.groupBy("service").agg(n)
+    if max_services is not None:
+        named = ops.orderBy(F.desc("value"), "service").limit(max_services).select("service", F.lit(True).alias("_named"))
+        ops = ops.join(F.broadcast(named), "service", "left").groupBy(F.when(F.col("_named"), F.col("service")).otherwise("_other").alias("service")).agg(F.sum("value").alias("value"))
     slow = spans.filter(F.col("duration_us") > slow_ms * 1000).select("event_type", F.explode(F.array(*map(F.lit, SLOW_BUCKETS_MS))).alias("le"), "duration_us")
-    slow = slow.filter(F.col("duration_us") <= F.col("le") * 1000).groupBy("le", "event_type").agg(F.count(F.lit(1)).alias("value")).select(F.lit("slow_duration_bucket").alias("metric"), F.col("le").cast("string").alias("label"), F.col("event_type").alias("kind"), "value")
-    return found.unionByName(ops).unionByName(slow)
+    slow = slow.filter(F.col("duration_us") <= F.col("le") * 1000).groupBy("le", "event_type").agg(n)
+    out = found.unionByName(row(ops, "io_ops", F.col("service"), none)).unionByName(row(slow, "slow_duration_bucket", F.col("le").cast("string"), F.col("event_type")))
+    if waste is not None:
+        totals = [F.struct(F.lit(m).alias("m"), F.col(c).cast("double").alias("value")) for m, c in (("io_ops_total", "total_io_ops"), ("avoidable_io_ops_total", "avoidable"), ("io_waste_ratio", "io_waste_ratio"))]
+        each = waste.select(F.explode(F.array(*totals)).alias("t")).select("t.m", "t.value")
+        out = out.unionByName(each.select(F.col("m").alias("metric"), none.alias("label"), none.alias("kind"), "value"))
+    return out
 
 
 def sarif_results(findings: DataFrame, acknowledged: bool = False) -> DataFrame:
-    """One nested result for each finding (with signature and confidence), ready for a JSON sink."""
+    """One nested result for each finding (with signature and confidence, and fixes where suggestions were added), ready for a JSON sink."""
     level = F.when(F.col("severity") == "critical", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
     rank = F.when(F.col("confidence") == "daemon_production", 90).when(F.col("confidence") == "daemon_staging", 60).when(F.col("confidence") == "ci_batch", 30).otherwise(15)
     physical = F.when(F.col("code_location.filepath").isNotNull(), F.struct(F.struct(F.col("code_location.filepath").alias("uri")).alias("artifactLocation"), F.struct(F.col("code_location.lineno").alias("startLine")).alias("region")))
+    fixes = []
+    if "suggested_fix" in findings.columns:
+        fix = F.struct(F.struct(F.concat_ws(": ", "suggested_fix.framework", "suggested_fix.recommendation").alias("text")).alias("description"))
+        fixes = [F.when(F.col("suggested_fix").isNotNull(), F.array(fix)).alias("fixes")]
     return findings.select(
-        F.col("type").alias("ruleId"), level.alias("level"), rank.cast("double").alias("rank"), F.struct(F.concat_ws(" ", F.col("type"), F.lit("in"), "source_endpoint", F.lit("of"), "service", F.concat(F.lit("("), F.col("pattern.occurrences"), F.lit(" times):")), "suggestion").alias("text")).alias("message"),
+        *fixes, F.col("type").alias("ruleId"), level.alias("level"), rank.cast("double").alias("rank"), F.struct(F.concat_ws(" ", F.col("type"), F.lit("in"), "source_endpoint", F.lit("of"), "service", F.concat(F.lit("("), F.col("pattern.occurrences"), F.lit(" times):")), "suggestion").alias("text")).alias("message"),
         F.struct(F.concat_ws(" ", "service", "source_endpoint").alias("fullyQualifiedName")).alias("logicalLocation"), physical.alias("physicalLocation"), F.struct(F.col("signature").alias("findingSignature")).alias("partialFingerprints"), F.lit(acknowledged).alias("acknowledged"),
     )

@@ -104,14 +104,16 @@ def span_energy(spans: DataFrame, calibration: DataFrame | None = None, measured
     return out.withColumns({"energy_kwh": F.coalesce("kwh_per_op", proxy), "energy_model": F.coalesce("backend", F.lit("io_proxy")), "calibrated": F.col("kwh_per_op").isNull() & F.col("factor").isNotNull()}).drop("factor", "kwh_per_op", "backend")
 
 
-def resolve_region(spans: DataFrame, service_regions: dict[str, str] | None = None, default: str | None = None, max_regions: int = MAX_REGIONS) -> DataFrame:
+def resolve_region(spans: DataFrame, service_regions: dict[str, str] | None = None, default: str | None = None, max_regions: int | None = None) -> DataFrame:
     """spans with region: of the span, of its service, or the default, in lower case; null is unknown.
 
-    Only the ``max_regions`` regions that are seen first keep their name.
+    With ``max_regions`` (MAX_REGIONS for live totals) only the regions that are seen first keep their name.
     """
     by_service = F.create_map(*[F.lit(x) for kv in (service_regions or {}).items() for x in (kv[0].lower(), kv[1])]) if service_regions else None
     known = [F.col("cloud_region"), *([by_service[F.lower("service")]] if by_service is not None else []), F.lit(default)]
     out = spans.withColumn("region", F.lower(F.coalesce(*known)))
+    if max_regions is None:
+        return out
     seen = out.filter("region is not null").groupBy("region").agg(F.min(F.struct("ts_ms", "trace_id", "span_id")).alias("first")).orderBy("first").limit(max_regions).select("region", F.lit(True).alias("_named"))
     return out.join(F.broadcast(seen), "region", "left").withColumn("region", F.when(F.col("_named"), F.col("region"))).drop("_named")
 
@@ -122,14 +124,15 @@ def grid_intensity(spans: DataFrame, regions: DataFrame | None = None, profiles:
     profiles: region, month (null: all), hour, intensity. realtime: region, intensity. Regions outside all tables have none.
     """
     annual = (regions if regions is not None else region_intensity(spans.sparkSession)).select("region", F.col("intensity").alias("_annual"), F.col("pue").alias("_pue"))
-    out = spans.join(F.broadcast(annual), "region", "left")
+    # the built-in table is small; tables of the user are broadcast only if Spark finds them small
+    out = spans.join(F.broadcast(annual) if regions is None else annual, "region", "left")
     hour, month = utc_hour(F.col("ts_ms")), utc_month(F.col("ts_ms"))
-    if profiles is not None:  # at most 256 regions x 12 months x 24 hours
+    if profiles is not None:
         p = profiles.select(F.lower("region").alias("region"), F.explode(F.when(F.col("month").isNull(), F.sequence(F.lit(1), F.lit(12))).otherwise(F.array(F.col("month").cast("int")))).alias("_month"), F.col("hour").alias("_hour"), F.col("intensity").alias("_hourly"))
-        out = out.withColumns({"_month": month, "_hour": hour}).join(F.broadcast(p), ["region", "_month", "_hour"], "left").drop("_month", "_hour")
+        out = out.withColumns({"_month": month, "_hour": hour}).join(p, ["region", "_month", "_hour"], "left").drop("_month", "_hour")
     else:
         out = out.withColumn("_hourly", F.lit(None).cast("double"))
-    out = out.join(F.broadcast(realtime.select(F.lower("region").alias("region"), F.col("intensity").alias("_now"))), "region", "left") if realtime is not None else out.withColumn("_now", F.lit(None).cast("double"))
+    out = out.join(realtime.select(F.lower("region").alias("region"), F.col("intensity").alias("_now")), "region", "left") if realtime is not None else out.withColumn("_now", F.lit(None).cast("double"))
     source = F.when(F.col("_now").isNotNull(), "real_time").when(F.col("_hourly").isNotNull(), "hourly").when(F.col("_annual").isNotNull(), "annual")
     out = out.withColumns({"intensity": F.coalesce("_now", "_hourly", "_annual", F.lit(0.0)), "pue": F.coalesce("_pue", F.lit(UNKNOWN_PUE)), "intensity_source": source})
     return out.drop("_annual", "_pue", "_hourly", "_now")

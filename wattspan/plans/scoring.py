@@ -450,13 +450,38 @@ def _evidence(spark, sf_dir):
     return reports.evidence_traces(n, d.detect_fanout(n, LIMITS.fanout), 50_000).select("trace_id", "span_id")
 
 
-@register("metrics_rollup", _SIGNED.replace("sg AS (", "sg0 AS (") + """
-SELECT 'findings' AS metric, 'excessive_fanout' AS label, CASE WHEN n > 24 THEN 'critical' ELSE 'warning' END AS kind, count(*) AS value FROM c GROUP BY ALL
+_FAN = ", c AS (SELECT trace_id, parent_span_id, count(*) AS n FROM normalized WHERE parent_span_id IS NOT NULL GROUP BY ALL HAVING count(*) > 8)"
+
+
+@register("metrics_rollup", _AVOID.rstrip() + _FAN + """
+SELECT 'findings' AS metric, 'excessive_fanout' AS label, CASE WHEN n > 24 THEN 'critical' ELSE 'warning' END AS kind, CAST(count(*) AS DOUBLE) AS value FROM c GROUP BY ALL
 UNION ALL SELECT 'io_ops', service, '', count(*) FROM spans GROUP BY ALL
-UNION ALL SELECT 'slow_duration_bucket', CAST(le AS VARCHAR), event_type, count(*) FROM spans, (VALUES (100), (250), (500), (1000), (2500), (5000), (10000)) t(le) WHERE duration_us > 25000 AND duration_us <= le * 1000 GROUP BY le, event_type""")
+UNION ALL SELECT 'slow_duration_bucket', CAST(le AS VARCHAR), event_type, count(*) FROM spans, (VALUES (100), (250), (500), (1000), (2500), (5000), (10000)) t(le) WHERE duration_us > 25000 AND duration_us <= le * 1000 GROUP BY le, event_type
+UNION ALL SELECT 'io_ops_total', '', '', count(*) FROM spans UNION ALL SELECT 'avoidable_io_ops_total', '', '', avoidable FROM avoid
+UNION ALL SELECT 'io_waste_ratio', '', '', avoidable / (SELECT count(*) FROM spans) FROM avoid""")
 def _metrics(spark, sf_dir):
-    n = normalized(spark, sf_dir)
-    return reports.metrics_rollup(n, d.detect_fanout(n, LIMITS.fanout), 25)
+    n, f = _found(spark, sf_dir)
+    return reports.metrics_rollup(n, d.detect_fanout(n, LIMITS.fanout), 25, waste=s.io_waste(n, f))
+
+
+@register("gate_after_acknowledgments", _AVOID.rstrip() + """, nk AS (
+  SELECT event_type, n, CAST('0x' || substr(sha256('n_plus_one_' || CASE event_type WHEN 'http_out' THEN 'http' ELSE event_type END || ':' || service || ':' || translate(source_endpoint, '/ ', '__') || ':' || substr(sha256(template), 1, 32)), 1, 6) AS INTEGER) AS k FROM n1
+), op AS (SELECT * FROM nk WHERE NOT (k % 3 = 0 AND k % 2 = 1)),
+c AS (SELECT CAST(count(*) FILTER (WHERE event_type = 'sql' AND n >= 10) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE event_type = 'http_out') AS DOUBLE) AS b, CAST(count(*) FILTER (WHERE event_type = 'messaging') AS DOUBLE) AS m FROM op),
+w AS (SELECT avoidable / (SELECT count(*) FROM normalized) AS r FROM avoid)
+SELECT 'n_plus_one_sql_critical_max' AS rule, CAST(0 AS DOUBLE) AS threshold, a AS actual, a <= 0 AS passed FROM c UNION ALL SELECT 'n_plus_one_http_warning_max', 3, b, b <= 3 FROM c
+UNION ALL SELECT 'n_plus_one_messaging_warning_max', 3, m, m <= 3 FROM c UNION ALL SELECT 'io_waste_ratio_max', 0.3, r, r <= 0.3 FROM w""")
+def _gate_open(spark, sf_dir):
+    n, f = _found(spark, sf_dir)
+    signed = reports.finding_signature(f)
+    return reports.gate_after_acknowledgments(signed, _acks(signed), "2026-01-01", s.io_waste(n, f))
+
+
+@register("query_coalesced", _SIGNED.rstrip() + " SELECT signature, count(*) AS seen_count FROM sg GROUP BY signature HAVING bool_or(n > 24)")
+def _query_coalesced(spark, sf_dir):
+    signed = _signed(spark, sf_dir)
+    stored = signed.select("signature", F.lit("").alias("gk"), F.lit("").alias("gv"), "severity", F.lit(1).cast("long").alias("seen_count"), F.col("first_timestamp").alias("first_seen"), F.col("last_timestamp").alias("last_seen"))
+    return reports.query_coalesced(stored, "critical").select("signature", "seen_count")
 
 
 @register("sarif_results", _SIGNED.rstrip() + """ SELECT 'excessive_fanout' AS "ruleId", CASE WHEN n > 24 THEN 'error' ELSE 'warning' END AS level, CAST(30 AS DOUBLE) AS rank,
@@ -540,9 +565,10 @@ def _coverage(spark, sf_dir):
     return periodic.period_coverage(_windows(spark, sf_dir))
 
 
-@register("methodology_sets", _WIN + "SELECT string_agg(DISTINCT m, ',') AS models, bool_or(cal) AS calibrated FROM win, (VALUES ('io_proxy_v1', true), ('io_proxy_v1', false)) x(m, cal)")
+@register("methodology_sets", _WIN + "SELECT string_agg(DISTINCT m, ',') AS models, bool_or(cal) AS calibrated, string_agg(DISTINCT 'v' || (ts_ms // 3600000 % 2), ',' ORDER BY 'v' || (ts_ms // 3600000 % 2)) AS versions FROM win, (VALUES ('io_proxy_v1', true), ('io_proxy_v1', false)) x(m, cal)")
 def _methods(spark, sf_dir):
-    return periodic.methodology_sets(_windows(spark, sf_dir)).select(F.array_join("models", ",").alias("models"), "calibrated")
+    windows = _windows(spark, sf_dir).withColumn("version", F.concat(F.lit("v"), (F.floor(F.col("ts_ms") / 3_600_000) % 2).cast("string")))
+    return periodic.methodology_sets(windows).select(F.array_join("models", ",").alias("models"), "calibrated", F.array_join("versions", ",").alias("versions"))
 
 
 @register("measured_ratios", _WIN + "SELECT service, avg(CASE WHEN service IN ('svc-0', 'svc-1') AND ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS measured_ratio FROM bs GROUP BY service")
@@ -555,22 +581,23 @@ def _breakdown(spark, sf_dir):
     return periodic.carbon_breakdown(_windows(spark, sf_dir)).select(*(_r(c, 12) for c in ("operational_kg", "embodied_kg", "transport_kg", "transport_low_kg", "transport_high_kg")))
 
 
-@register("verify_archive_chain", _WIN + """SELECT 'f' || (ts_ms // 10800000) AS file, count(*) AS windows, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 <> 0) AS verified, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0) AS breaks FROM win GROUP BY ALL""")
+@register("verify_archive_chain", _WIN + """SELECT 'f' || (ts_ms // 10800000) AS file, count(*) AS windows, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 <> 0) AS verified, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0) AS breaks,
+count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0 AND ts_ms < 1752192000000) AS breaks_in_period, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0 AND ts_ms >= 1752192000000) AS breaks_outside, CAST(0 AS BIGINT) AS unchained FROM win GROUP BY ALL""")
 def _chain(spark, sf_dir):
     """Chained windows, of which every seventh hour's is changed afterwards."""
     w = _windows(spark, sf_dir).select("file", "line", F.to_json(F.struct("ts_ms", "requests", "io_ops")).alias("body"))
     changed = F.when(F.floor(F.col("line") / 3_600_000) % 7 == 0, F.replace(F.col("body"), F.lit("requests"), F.lit("request"))).otherwise(F.col("body"))
-    return periodic.verify_archive_chain(periodic.chain_windows(w).withColumn("body", changed))
+    return periodic.verify_archive_chain(periodic.chain_windows(w).withColumns({"body": changed, "ts_ms": F.col("line")}), "2025-07-10", "2025-07-10")
 
 
 @register("validate_disclosure", _WIN + """, agg AS (SELECT sum(requests) AS requests, sum(kwh) AS kwh, sum(g + emb + t) / 1000 AS kg, avg(CASE WHEN ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS cov, count(DISTINCT ts_ms // 86400000) AS days FROM win), v AS (
   SELECT unnest([CASE WHEN requests < 0 THEN 'requests is negative' END, CASE WHEN kwh < 0 THEN 'energy is not finite or negative' END, CASE WHEN kg < 0 THEN 'carbon is not finite or negative' END,
-    CASE WHEN cov NOT BETWEEN 0 AND 1 THEN 'period coverage is outside 0 to 1' END, CASE WHEN cov < 0.75 THEN 'period coverage is too low' END, CASE WHEN days > 31 THEN 'more days observed than the period has' END]) AS violation FROM agg)
+    CASE WHEN cov NOT BETWEEN 0 AND 1 THEN 'period coverage is outside 0 to 1' END, CASE WHEN cov < 0.75 THEN 'period coverage is too low' END, CASE WHEN days > 31 THEN 'more days observed than the period has' END, 'canonical threshold is not the fixed one']) AS violation FROM agg)
 SELECT violation FROM v WHERE violation IS NOT NULL""")
 def _disclosure(spark, sf_dir):
     w = _windows(spark, sf_dir)
     totals = periodic.period_totals(w).crossJoin(periodic.period_coverage(w)).crossJoin(periodic.temporal_coverage(w, "2025-07-01", "2025-07-31"))
-    return periodic.validate_disclosure(totals.withColumns({"ratio": F.lit(0.2), "efficiency": F.lit(80.0)}))
+    return periodic.validate_disclosure(totals.withColumns({"ratio": F.lit(0.2), "efficiency": F.lit(80.0), "potential_kg": F.col("carbon_kg") * 0.2, "canonical_threshold": F.lit(5)}))
 
 
 def _pair_input(spark, sf_dir) -> DataFrame:
@@ -607,9 +634,13 @@ def _sticky(spark, sf_dir):
     return held.select("service", "ts_ms", "ops", _r("value"), _r("sticky_value"))
 
 
-@register("live_totals", SPANS_SQL.rstrip() + " SELECT service, count(*) AS io_ops, count(DISTINCT trace_id) AS traces, CAST(sum(duration_us) AS BIGINT) AS busy_us FROM spans GROUP BY service")
+@register("live_totals", _AVOID + """, la AS (SELECT service, max(n) - 1 AS ops FROM (SELECT trace_id, template, source_endpoint, n, service FROM n1
+  UNION ALL SELECT trace_id, template, min_by(endpoint, ord), count(*), min_by(service, ord) FROM normalized WHERE event_type <> 'messaging' AND (trace_id, template) NOT IN (SELECT (trace_id, template) FROM n1) GROUP BY trace_id, event_type, template, params HAVING count(*) >= 2)
+  GROUP BY service, trace_id, template, source_endpoint), lb AS (SELECT service, CAST(sum(ops) AS BIGINT) AS avoidable FROM la GROUP BY service),
+lt AS (SELECT service, count(*) AS io_ops, count(DISTINCT trace_id) AS traces, CAST(sum(duration_us) AS BIGINT) AS busy_us FROM spans GROUP BY service)
+SELECT lt.*, coalesce(avoidable, 0) AS avoidable, coalesce(avoidable, 0) / io_ops AS io_waste_ratio FROM lt LEFT JOIN lb ON lt.service = lb.service""")
 def _live(spark, sf_dir):
-    return live_totals(order_spans(spark, sf_dir))
+    return live_totals(*_found(spark, sf_dir))
 
 
 @register("ancestors", SPANS_SQL.rstrip() + " SELECT trace_id, span_id, 1 AS hop, parent_span_id AS ancestor FROM spans WHERE parent_span_id IS NOT NULL")

@@ -37,8 +37,14 @@ def read_tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
+#: Where the spans of a folder of tables are already written.
+WRITTEN: dict[str, str] = {}
+
+
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all line items, in the span schema."""
+    if sf_dir in WRITTEN:
+        return spark.read.parquet(WRITTEN[sf_dir])
     line, orders, supplier, nation = read_tables(spark, sf_dir, "lineitem", "orders", "supplier", "nation")
     in_order = Window.partitionBy("l_orderkey").orderBy(*_LINE.split(", ")[1:])
     line = line.withColumn("rn", F.row_number().over(in_order))

@@ -88,23 +88,54 @@ def classify_raw(raw: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("io").isNull(), i.filter_reason(attrs, F.col("kind"))))
 
 
-def to_spans(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -> DataFrame:
-    """Classified, enriched and sanitised I/O spans of raw spans of any format.
+#: Names of execute spans, whose statement another span carries.
+_EXECUTES = "(?i)execute|query"
+
 
-    The walks up the span tree read the classified spans once a hop, so they are dealt by trace and kept.
+def convert(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -> tuple[DataFrame, DataFrame]:
+    """I/O spans of raw spans of any format, classified, enriched and sanitised, and the one-row counts of ``ingest_stats``.
+
+    Statements that an ancestor repeats go, and split prepare and execute spans become one; both count as merged_db_span.
+    Endpoints, code, scopes and producer links come from the span or its ancestors, also from those that are no I/O. The
+    walks up the span tree read the classified spans once a hop, so they are dealt by trace and kept.
     """
-    kept = classify_raw(raw.repartition("trace_id")).persist()
-    walk = i.ancestors(kept, carry=("route", "frame", "scope")).persist()
-    classified = i.collect_scopes(i.resolve_source_endpoint(kept, walk=walk), walk=walk)
     a = F.col("attrs")
+    names = {"function": ("code.function.name", "code.function"), "filepath": ("code.file.path", "code.filepath"), "lineno": ("code.line.number", "code.lineno"), "namespace": ("code.namespace",)}
+    code = F.struct(*(F.coalesce(*(a[x] for x in keys)).cast("int" if c == "lineno" else "string").alias(c) for c, keys in names.items()))
+    any_code = F.coalesce(*(a[x] for keys in names.values() for x in keys)).isNotNull()
+    link = F.when(F.col("link_trace_id").rlike("^[0-9a-fA-F]{32}$"), F.lower("link_trace_id"))
+    placed = classify_raw(raw.repartition("trace_id")).withColumns({"code": F.when(any_code, code), "link_trace_id": link, "event_type": F.col("io.event_type"), "target": F.col("io.target")})
+    kept = placed.persist()
+
+    layered = i.layered_duplicates(kept).withColumn("_merged", F.lit(True))
+    orphan = (F.col("reason") == "missing_db_statement") & F.col("name").rlike(_EXECUTES)
+    statement = F.when(F.col("event_type") == "sql", F.col("target"))
+    part = kept.join(layered, ["trace_id", "span_id"], "left").filter("_merged is null").select("trace_id", "span_id", "parent_span_id", "ts_ms", statement.alias("target"), F.coalesce(orphan, F.lit(False)).alias("orphan"))
+    stitched = i.stitch_split_spans(part).persist()
+    donors = part.filter("target is not null").join(stitched, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", F.lit(True).alias("_merged"))
+    taken = stitched.filter("orphan and target is not null").select("trace_id", "span_id", F.col("target").alias("_statement"))
+    merged = layered.unionByName(donors).distinct()
+
+    whole = kept.join(merged, ["trace_id", "span_id"], "left").join(taken, ["trace_id", "span_id"], "left")
+    made = F.struct(F.lit("sql").alias("event_type"), F.col("_statement").alias("target"), F.upper(F.regexp_extract("_statement", r"^\s*(\w+)", 1)).alias("operation"))
+    io = F.when(F.col("_merged"), None).when(F.col("_statement").isNotNull(), made).otherwise(F.col("io"))
+    reason = F.when(F.col("_merged"), F.lit("merged_db_span")).when(F.col("_statement").isNull(), F.col("reason"))
+    whole = whole.withColumns({"io": io, "reason": reason}).drop("event_type", "target", "_merged", "_statement").persist()
+
+    walk = i.ancestors(whole, carry=("route", "frame", "scope")).persist()
+    classified = i.resolve_producer_link(i.resolve_code_attrs(i.collect_scopes(i.resolve_source_endpoint(whole, walk=walk), walk=walk)))
     spans = classified.filter("io is not null").select(
-        iso_ms(F.col("ts_ms")).alias("timestamp"), "trace_id", "span_id", "parent_span_id", "link_trace_id", "service", i.collect_grouping(F.col("resource"), a, grouping_keys).alias("grouping"),
+        iso_ms(F.col("ts_ms")).alias("timestamp"), "trace_id", "span_id", "parent_span_id", F.col("producer_trace").alias("link_trace_id"), "service", i.collect_grouping(F.col("resource"), a, grouping_keys).alias("grouping"),
         F.coalesce(F.col("resource")["cloud.region"], a["cloud.region"]).alias("cloud_region"), "io.event_type", "io.operation", "io.target", "duration_us", F.struct("endpoint", F.lit("").alias("method")).alias("source"),
         F.coalesce(a["http.response.status_code"], a["http.status_code"]).cast("int").alias("status_code"), a["http.response.body.size"].cast("long").alias("response_size_bytes"),
-        F.struct(F.coalesce(a["code.function.name"], a["code.function"]).alias("function"), F.coalesce(a["code.file.path"], a["code.filepath"]).alias("filepath"), F.coalesce(a["code.line.number"], a["code.lineno"]).cast("int").alias("lineno"), a["code.namespace"].alias("namespace")).alias("code"),
-        F.col("scopes").alias("instrumentation_scopes"),
+        "code", F.col("scopes").alias("instrumentation_scopes"),
     )
-    return with_order(i.sanitize_spans(i.suppress_layered_duplicates(spans.persist())))
+    return with_order(i.sanitize_spans(spans)), i.ingest_stats(whole)
+
+
+def to_spans(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -> DataFrame:
+    """The spans of ``convert``."""
+    return convert(raw, grouping_keys)[0]
 
 
 def read_otlp_spans(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -137,8 +168,16 @@ def read_mysql_digests(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("query is not null").withColumn("template", sql_template(sql_tokens(F.col("query"))))
 
 
-def read_energy_readings(spark: SparkSession, path: str, column: str = "energy_kwh") -> DataFrame:
-    """timestamp, service and power_watts or energy_kwh; comment lines, negative and non-finite values are left out."""
+def read_energy_readings(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
+    """service, ts_ms and watts or kwh, by the header's third column (or ``column``): power_watts or energy_kwh.
+
+    Comment lines, negative and non-finite values are left out.
+    """
+    if column is None:
+        head = spark.read.option("comment", "#").csv(path, header=True).columns
+        column = head[2].strip() if len(head) > 2 else ""
+    if column not in ("power_watts", "energy_kwh"):
+        raise ValueError(f"the third column must be power_watts or energy_kwh, not {column!r}")
     rows = spark.read.schema(f"timestamp string, service string, {column} double").csv(path, header=True, comment="#", enforceSchema=True)
     v = F.col(column)
     kept = rows.filter(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))).withColumn("ts_ms", epoch_ms(F.col("timestamp"))).filter("ts_ms is not null")

@@ -12,7 +12,7 @@ from wattspan.operators.detect import detect_all
 from wattspan.operators.energy import with_last_known
 from wattspan.operators.ingest import last_spans
 from wattspan.operators.periodic import chain_windows
-from wattspan.schema import Thresholds
+from wattspan.schema import AVOIDABLE, Thresholds
 
 #: Fixed value: the trailing window of live correlations, ten minutes.
 WINDOW_MS = 600_000
@@ -90,7 +90,17 @@ def sticky(figures: DataFrame, value: str, ttl_ms: int, key: str = "service") ->
     return held.withColumn(f"sticky_{value}", F.when(F.col("ts_ms") - F.col("_last.ts_ms") <= ttl_ms, F.col(f"_last.{value}"))).drop("_last")
 
 
-def live_totals(spans: DataFrame) -> DataFrame:
-    """Cumulative ops, traces and microseconds by service. Of a stream, for update or complete mode, traces are approximate."""
+def live_totals(spans: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Cumulative ops, traces and microseconds by service. Of a stream, for update or complete mode, traces are approximate.
+
+    With the findings so far (a batch) also avoidable ops and their ratio; of one template of a trace and endpoint the
+    largest finding counts.
+    """
     traces = F.approx_count_distinct("trace_id") if spans.isStreaming else F.countDistinct("trace_id")
-    return spans.groupBy("service").agg(F.count(F.lit(1)).alias("io_ops"), traces.alias("traces"), F.sum("duration_us").alias("busy_us"))
+    totals = spans.groupBy("service").agg(F.count(F.lit(1)).alias("io_ops"), traces.alias("traces"), F.sum("duration_us").alias("busy_us"))
+    if findings is None:
+        return totals
+    extra = F.max(F.greatest(F.col("pattern.occurrences") - 1, F.lit(0))).alias("ops")
+    each = findings.filter(F.col("type").isin(*AVOIDABLE)).groupBy("service", "trace_id", F.col("pattern.template").alias("template"), "source_endpoint").agg(extra)
+    avoidable = each.groupBy("service").agg(F.sum("ops").alias("avoidable"))
+    return totals.join(avoidable, "service", "left").fillna(0, ["avoidable"]).withColumn("io_waste_ratio", F.col("avoidable") / F.col("io_ops"))
