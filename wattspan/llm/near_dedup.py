@@ -107,26 +107,24 @@ def _differ(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def _with_facts(pairs: DataFrame, facts: DataFrame, side: str, other: str, total: int) -> DataFrame:
-    """pairs with the facts (rep, ...) of their ``side``, whose columns get its name; a rep of very many pairs is no hot key."""
-    often = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("w"))
-    named = facts.select(*(F.col(c).alias(side if c == "rep" else f"{c}_{side}") for c in facts.columns)).join(often, side)
-    return join_by_key(pairs, named, [side], "w", total).drop("w")
+def _with_facts(pairs: DataFrame, facts: DataFrame, total: int) -> DataFrame:
+    """pairs (a, b) with the fact (rep, fact) of both sides, as fact_a and fact_b; a leader, a, may stand in very many pairs.
+
+    Facts with many values are not broadcast, however often they are asked for.
+    """
+    of = lambda side: facts.select(F.col("rep").alias(side), F.col("fact").alias(f"fact_{side}"))
+    often = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("w"))
+    leaders = of("a").join(often, "a").withColumn("w", F.when(F.size("fact_a") <= BROADCAST_SET, F.col("w")).otherwise(0))
+    return join_by_key(pairs.join(of("b"), "b"), leaders, ["a"], "w", total).drop("w")
 
 
 def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose sets reach the similarity: odd sketches first, then whole sets."""
-    sketches = reps.select("rep", "sketch")
-    total = pairs.count()
-    near = _with_facts(_with_facts(pairs, sketches, "b", "a", total), sketches, "a", "b", total).filter(_differ("sketch_a", "sketch_b") <= MAX_XOR).select("a", "b")
+    near = _with_facts(pairs, reps.select("rep", F.col("sketch").alias("fact")), pairs.count()).filter(_differ("fact_a", "fact_b") <= MAX_XOR).select("a", "b")
     near = materialise(near, "near")
-    total = near.count()
-    full = near
-    for side, other in (("b", "a"), ("a", "b")):
-        small, large = sets.filter(F.size("shingles") <= BROADCAST_SET), sets.filter(F.size("shingles") > BROADCAST_SET)
-        full = _with_facts(full, small, side, other, total).unionByName(full.join(large.select(F.col("rep").alias(side), F.col("shingles").alias(f"shingles_{side}")), side))
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    linked = materialise(full.filter(both * (100 + percent) >= (F.size("shingles_a") + F.size("shingles_b")) * percent).select("a", "b"), "linked")
+    full = _with_facts(near, sets.select("rep", F.col("shingles").alias("fact")), near.count())
+    both = F.size(F.array_intersect("fact_a", "fact_b"))
+    linked = materialise(full.filter(both * (100 + percent) >= (F.size("fact_a") + F.size("fact_b")) * percent).select("a", "b"), "linked")
     discard(near)
     return linked
 
