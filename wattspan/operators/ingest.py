@@ -123,10 +123,10 @@ def resolve_source_endpoint(spans: DataFrame, max_hops: int = MAX_HOPS, walk: Da
     return spans.join(best, ["trace_id", "span_id"], "left").withColumn("endpoint", F.coalesce("_route", "_frame", "frame", F.lit("unknown"))).drop("_route", "_frame")
 
 
-def resolve_code_attrs(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def resolve_code_attrs(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
     """spans with code: their own, else the nearest ancestor's that has any."""
-    walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", "code"), max_hops, ("code",)).filter("code is not null")
-    near = walk.groupBy("trace_id", "span_id").agg(F.min_by("code", "hop").alias("_code"))
+    walk = walk if walk is not None else ancestors(spans.select("trace_id", "span_id", "parent_span_id", "code"), max_hops, ("code",))
+    near = walk.filter("code is not null").groupBy("trace_id", "span_id").agg(F.min_by("code", "hop").alias("_code"))
     return spans.join(near, ["trace_id", "span_id"], "left").withColumn("code", F.coalesce("code", "_code")).drop("_code")
 
 
@@ -138,24 +138,33 @@ def collect_scopes(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame |
     return spans.join(above, ["trace_id", "span_id"], "left").withColumn("scopes", F.array_distinct(F.concat(own, F.coalesce("_above", F.array().cast("array<string>"))))).drop("_above")
 
 
-def resolve_producer_link(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def producer_nodes(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, sibling_link (of the CONSUMER sibling that started last at or before the span, largest span id on ties)
+    and link (its own if it is a CONSUMER, else sibling_link) of the spans that have any."""
+    consumers = spans.filter("kind = 'CONSUMER' and link_trace_id is not null and link_trace_id <> trace_id and link_trace_id <> repeat('0', 32)")
+    siblings = consumers.select("trace_id", "parent_span_id", F.col("ts_ms").alias("_ts"), F.col("span_id").alias("_id"), F.col("link_trace_id").alias("_link"))
+    asked = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms")
+    fits = asked.join(siblings, ["trace_id", "parent_span_id"]).filter("_ts <= ts_ms and _id <> span_id")
+    found = fits.select("trace_id", "span_id", F.struct("_ts", "_id", "_link").alias("s"), F.lit(None).cast("string").alias("own"))
+    own = consumers.select("trace_id", "span_id", F.lit(None).cast(found.schema["s"].dataType).alias("s"), F.col("link_trace_id").alias("own"))
+    both = found.unionByName(own).groupBy("trace_id", "span_id").agg(F.max("s").alias("s"), F.max("own").alias("own"))
+    return both.select("trace_id", "span_id", F.col("s._link").alias("sibling_link"), F.coalesce("own", "s._link").alias("link"))
+
+
+def resolve_producer_link(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
     """spans with producer_trace, the trace whose message started this work; null where none is known.
 
     spans: trace_id, span_id, parent_span_id, kind, ts_ms, link_trace_id. At the span: the link of the CONSUMER sibling that
-    started last at or before it, largest span id on ties. Then at each ancestor, nearest first: its own link if it is a
-    CONSUMER, else that of such a sibling of the ancestor. A link to the own or an all-zero trace is none. Siblings are an
-    as-of join on (trace, parent).
+    started last at or before it. Then at each ancestor, nearest first: its own link if it is a CONSUMER, else that of such a
+    sibling of the ancestor. A link to the own or an all-zero trace is none. With ``walk`` (which carries link) spans
+    already have the columns of ``producer_nodes``.
     """
-    consumers = spans.filter("kind = 'CONSUMER' and link_trace_id is not null and link_trace_id <> trace_id and link_trace_id <> repeat('0', 32)")
-    siblings = consumers.select("trace_id", F.col("parent_span_id").alias("_p"), F.col("ts_ms").alias("_ts"), F.col("span_id").alias("_id"), F.col("link_trace_id").alias("_link"))
-    asked = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms")
-    fits = asked.join(siblings.withColumnRenamed("_p", "parent_span_id"), ["trace_id", "parent_span_id"]).filter("_ts <= ts_ms and _id <> span_id")
-    best = fits.groupBy("trace_id", "span_id").agg(F.max_by("_link", F.struct("_ts", "_id")).alias("_sibling"))
-    own = consumers.select("trace_id", "span_id", F.col("link_trace_id").alias("_own"))
-    known = spans.join(best, ["trace_id", "span_id"], "left")
-    nodes = known.join(own, ["trace_id", "span_id"], "left").select("trace_id", "span_id", "parent_span_id", F.coalesce("_own", "_sibling").alias("link"))
-    above = ancestors(nodes, max_hops, ("link",)).filter("link is not null").groupBy("trace_id", "span_id").agg(F.min_by("link", "hop").alias("_above"))
-    return known.join(above, ["trace_id", "span_id"], "left").withColumn("producer_trace", F.coalesce("_sibling", "_above")).drop("_sibling", "_above")
+    if walk is None:
+        spans = spans.join(producer_nodes(spans), ["trace_id", "span_id"], "left")
+        walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", "link"), max_hops, ("link",))
+    above = walk.filter("link is not null").groupBy("trace_id", "span_id").agg(F.min_by("link", "hop").alias("_above"))
+    out = spans.join(above, ["trace_id", "span_id"], "left")
+    return out.withColumn("producer_trace", F.coalesce("sibling_link", "_above")).drop("sibling_link", "link", "_above")
 
 
 def collect_grouping(resource: Column, attrs: Column, keys: tuple[str, ...] = GROUPING_KEYS) -> Column:
@@ -164,13 +173,14 @@ def collect_grouping(resource: Column, attrs: Column, keys: tuple[str, ...] = GR
     return F.filter(pairs, lambda p: p["value"].isNotNull())
 
 
-def layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
     """trace_id and span_id of SQL spans with an ancestor that has the same statement. Two spans that are ancestors of each
     other, on a cycle, have no outermost one, so both stay. spans may hold other spans, which walks pass through."""
     statement = F.when(F.col("event_type") == "sql", F.col("target"))
     own = spans.select("trace_id", "span_id", "parent_span_id", statement.alias("statement"))
-    walk = ancestors(own, max_hops, ("statement",)).withColumnRenamed("statement", "_above")
-    same = walk.join(own.select("trace_id", "span_id", "statement"), ["trace_id", "span_id"]).filter("_above = statement")
+    walk = walk if walk is not None else ancestors(own, max_hops, ("statement",))
+    above = walk.select("trace_id", "span_id", "hop", "ancestor", F.col("statement").alias("_above"))
+    same = above.join(own.select("trace_id", "span_id", "statement"), ["trace_id", "span_id"]).filter("_above = statement")
     nearest = same.groupBy("trace_id", "span_id").agg(F.min_by("ancestor", "hop").alias("ancestor"))
     mutual = walk.select("trace_id", F.col("span_id").alias("ancestor"), F.col("ancestor").alias("span_id"))
     return nearest.join(mutual, ["trace_id", "span_id", "ancestor"], "left_anti").select("trace_id", "span_id")

@@ -104,26 +104,33 @@ def convert(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) ->
     code = F.struct(*(F.coalesce(*(a[x] for x in keys)).cast("int" if c == "lineno" else "string").alias(c) for c, keys in names.items()))
     any_code = F.coalesce(*(a[x] for keys in names.values() for x in keys)).isNotNull()
     link = F.when(F.col("link_trace_id").rlike("^[0-9a-fA-F]{32}$"), F.lower("link_trace_id"))
-    placed = classify_raw(raw.repartition("trace_id")).withColumns({"code": F.when(any_code, code), "link_trace_id": link, "event_type": F.col("io.event_type"), "target": F.col("io.target")})
-    kept = placed.persist()
-
-    layered = i.layered_duplicates(kept).withColumn("_merged", F.lit(True))
-    orphan = (F.col("reason") == "missing_db_statement") & F.col("name").rlike(_EXECUTES)
     statement = F.when(F.col("event_type") == "sql", F.col("target"))
-    part = kept.join(layered, ["trace_id", "span_id"], "left").filter("_merged is null").select("trace_id", "span_id", "parent_span_id", "ts_ms", statement.alias("target"), F.coalesce(orphan, F.lit(False)).alias("orphan"))
-    stitched = i.stitch_split_spans(part).persist()
-    donors = part.filter("target is not null").join(stitched, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", F.lit(True).alias("_merged"))
-    taken = stitched.filter("orphan and target is not null").select("trace_id", "span_id", F.col("target").alias("_statement"))
-    merged = layered.unionByName(donors).distinct()
-
-    whole = kept.join(merged, ["trace_id", "span_id"], "left").join(taken, ["trace_id", "span_id"], "left")
+    placed = classify_raw(raw.repartition("trace_id")).withColumns({"code": F.when(any_code, code), "link_trace_id": link, "event_type": F.col("io.event_type"), "target": F.col("io.target")})
+    kept = placed.withColumn("statement", statement).persist()
+    # producer links and split spans are absent in most exports; then their joins are left out
+    if kept.filter("kind = 'CONSUMER' and link_trace_id is not null").isEmpty():
+        kept = kept.withColumns({"sibling_link": F.lit(None).cast("string"), "link": F.lit(None).cast("string")})
+    else:
+        kept = kept.join(i.producer_nodes(kept), ["trace_id", "span_id"], "left").persist()
+    # one walk serves all that spans take from their ancestors
+    walk = i.ancestors(kept, carry=("route", "frame", "scope", "code", "statement", "link")).persist()
+    merged = i.layered_duplicates(kept, walk=walk)
+    orphan = F.coalesce((F.col("reason") == "missing_db_statement") & F.col("name").rlike(_EXECUTES), F.lit(False))
+    whole = kept.withColumn("_statement", F.lit(None).cast("string"))
+    if not kept.filter(orphan).isEmpty():
+        part = kept.join(merged, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", "parent_span_id", "ts_ms", statement.alias("target"), orphan.alias("orphan"))
+        stitched = i.stitch_split_spans(part).persist()
+        donors = part.filter("target is not null").join(stitched, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id")
+        merged = merged.unionByName(donors)
+        taken = stitched.filter("orphan and target is not null").select("trace_id", "span_id", F.col("target").alias("_statement"))
+        whole = kept.join(taken, ["trace_id", "span_id"], "left")
+    whole = whole.join(merged.distinct().withColumn("_merged", F.lit(True)), ["trace_id", "span_id"], "left")
     made = F.struct(F.lit("sql").alias("event_type"), F.col("_statement").alias("target"), F.upper(F.regexp_extract("_statement", r"^\s*(\w+)", 1)).alias("operation"))
     io = F.when(F.col("_merged"), None).when(F.col("_statement").isNotNull(), made).otherwise(F.col("io"))
     reason = F.when(F.col("_merged"), F.lit("merged_db_span")).when(F.col("_statement").isNull(), F.col("reason"))
-    whole = whole.withColumns({"io": io, "reason": reason}).drop("event_type", "target", "_merged", "_statement").persist()
-
-    walk = i.ancestors(whole, carry=("route", "frame", "scope")).persist()
-    classified = i.resolve_producer_link(i.resolve_code_attrs(i.collect_scopes(i.resolve_source_endpoint(whole, walk=walk), walk=walk)))
+    whole = whole.withColumns({"io": io, "reason": reason}).drop("event_type", "target", "statement", "_merged", "_statement").persist()
+    classified = i.resolve_code_attrs(i.collect_scopes(i.resolve_source_endpoint(whole, walk=walk), walk=walk), walk=walk)
+    classified = i.resolve_producer_link(classified, walk=walk)
     spans = classified.filter("io is not null").select(
         iso_ms(F.col("ts_ms")).alias("timestamp"), "trace_id", "span_id", "parent_span_id", F.col("producer_trace").alias("link_trace_id"), "service", i.collect_grouping(F.col("resource"), a, grouping_keys).alias("grouping"),
         F.coalesce(F.col("resource")["cloud.region"], a["cloud.region"]).alias("cloud_region"), "io.event_type", "io.operation", "io.target", "duration_us", F.struct("endpoint", F.lit("").alias("method")).alias("source"),
