@@ -52,7 +52,7 @@ def pretokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordBpe:
     """ids(texts) for one worker; the cache of distinct pre-tokens is bounded."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 150_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
