@@ -7,15 +7,15 @@ def fold(text: str) -> bytes:
     return bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
 
 
-def shingle_set(text: str | None) -> frozenset:
+def shingle_set(text: str | None, n: int = 5) -> frozenset:
     words = fold(text).split()
-    if len(words) < 5:
+    if len(words) < n:
         return frozenset([tuple(words)]) if words else frozenset()
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
-def near_components(docs: list[tuple[int, str | None]], percent: int) -> dict[int, tuple[int, int]]:
-    sets = {d: shingle_set(t) for d, t in docs}
+def near_components(docs: list[tuple[int, str | None]], percent: int, n: int = 5) -> dict[int, tuple[int, int]]:
+    sets = {d: shingle_set(t, n) for d, t in docs}
     where: dict = {}
     for d, s in sets.items():
         for x in s:
@@ -73,3 +73,46 @@ def base_digest(text: str | None) -> tuple[int, int, int, str]:
     found = base_spans(text)
     listed = sorted((a, i, b, k) for i, k in enumerate(("assign", "access", "hex")) for a, b in found[k])
     return (*(len(found[k]) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in listed).encode()).hexdigest())
+
+
+def _integers(vector, scale: int = 256) -> list[int] | None:
+    import math
+
+    if vector is None or any(x is None or not math.isfinite(x) for x in vector):
+        return None
+    return [math.floor(scale * x) for x in vector]
+
+
+def hard_negatives(rows: list[tuple], asks, k: int = 5, m: int = 3, low: int = 50, high: int = 95) -> list[tuple]:
+    """(anchor, positive, rank, negative, positive score, negative score) of rows (id, label, vector)."""
+    own = [(i, label, v) for i, label, v in ((i, label, _integers(v)) for i, label, v in rows) if None not in (i, label, v)]
+    out = []
+    for anchor, label, a in own:
+        if asks(anchor):
+            scores = sorted((-sum(x * y for x, y in zip(a, v, strict=True)), i, other) for i, other, v in own)
+            for p, i, _ in [s for s in scores if s[2] == label and s[1] != anchor][:k]:
+                found = [(j, -s) for s, j, other in scores if other != label and low * -p <= 100 * -s <= high * -p][:m]
+                out += [(anchor, i, rank, j, -p, s) for rank, (j, s) in enumerate(found, 1)]
+    return out
+
+
+def vector_codes(rows: list[tuple], parts: int, entries: int, rounds: int) -> tuple[dict, list]:
+    """{id: (code, error, label error)} of rows (id, label, vector), and the codebooks."""
+    own = sorted((i, label, v) for i, label, v in ((i, label, _integers(v)) for i, label, v in rows) if v is not None)
+    width = len(own[0][2]) // parts
+    cut = {i: [v[p * width : (p + 1) * width] for p in range(parts)] for i, _, v in own}
+    books = [[cut[i][p] for i, _, _ in own[:entries]] for p in range(parts)]
+
+    def assign():
+        return {i: [min((sum((a - b) ** 2 for a, b in zip(x, e)), n) for n, e in enumerate(books[p])) for p, x in enumerate(xs)] for i, xs in cut.items()}
+
+    for _ in range(rounds):
+        got = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                if members := [cut[i][p] for i in cut if got[i][p][1] == e]:
+                    books[p][e] = [sum(c) // len(members) for c in zip(*members)]
+    got = assign()
+    errors = {i: sum(d for d, _ in x) for i, x in got.items()}
+    labels = {i: label for i, label, _ in own}
+    return {i: ("".join(f"{e:02x}" for _, e in x), errors[i], sum(errors[j] for j in cut if labels[j] == labels[i])) for i, x in got.items()}, books

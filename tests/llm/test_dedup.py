@@ -138,3 +138,11 @@ def test_representatives_of_null_and_repeated_ids(spark):
     assert len(rest) == 2 and sum(x in docs[4:6] for x in rest) == sum(x in docs[15:] for x in rest) == 1
     got = {(r.doc_id, r.component_id) for r in near_duplicates(table(spark, docs)).collect()}
     assert got == {(None, None), (1, 1), (7, 1), (None, 1), (7, 7), (3, 3), (4, 3), (5, 3)}
+
+
+@pytest.mark.parametrize("percent", [50, 79, 101])
+def test_near_dedup_refuses_what_its_bands_would_miss(spark, percent):
+    with pytest.raises(ValueError):
+        near_duplicates(table(spark, [(1, "a b c")]), percent)
+    with pytest.raises(ValueError):
+        keep_representatives(table(spark, [(1, "a b c")]), percent)

@@ -15,7 +15,8 @@ A pair at similarity 0.85 shares no band with a probability below 1e-8; the sket
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,8 @@ SETS = "rep long, shingles array<long>"
 MAX_XOR = int(BITS / 2 * (1 - np.exp(-4 * SAMPLES * 0.4 / BITS)))
 #: Sets of at most so many shingles are broadcast where they stand in very many pairs.
 BROADCAST_SET = 2_000
+#: The bands miss a pair at this similarity in hundredths with a probability of 3e-6, one at 70 with 0.3 %, one at 60 with 7 %.
+LEAST_PERCENT = 80
 #: Parts over which the postings of one shingle are spread where they meet.
 SALTS = 8
 
@@ -41,12 +44,12 @@ _SAMPLE = np.arange(SAMPLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _ROW = _RNG.integers(0, 1 << 63, (SAMPLES // ROWS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def document_shingles(words: Words) -> Iterator[np.ndarray]:
-    """For each text of a block its distinct shingle hashes, sorted; a text of fewer than five words has one of all its words."""
+def document_shingles(words: Words, n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """For each text of a block its distinct hashes of n words, sorted; a text of fewer words has one of all its words."""
     hashes = hash_ranges(words.data, words.starts, words.ends)[0]
-    runs = hash_runs(hashes, SHINGLE).view(np.int64)
+    runs = hash_runs(hashes, n).view(np.int64)
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-        yield np.unique(runs[a : b - SHINGLE + 1]) if b - a >= SHINGLE else hash_runs(hashes[a:b], b - a).view(np.int64) if b > a else runs[:0]
+        yield np.unique(runs[a : b - n + 1]) if b - a >= n else hash_runs(hashes[a:b], b - a).view(np.int64) if b > a else runs[:0]
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
@@ -68,7 +71,7 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bit.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _lists(values: list[np.ndarray]):
+def lists(values: list[np.ndarray]):
     import pyarrow as pa
 
     offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
@@ -86,7 +89,7 @@ def _features(batches: Iterator) -> Iterator:
             own_bands.append(bands(samples) if len(shingles) else shingles)
             sketches.append(odd_sketch(samples) if len(shingles) else shingles)
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(x) for x in ("doc_id", "x", "c")), pa.array(n, pa.int64()), *map(pa.array, words.keys()), _lists(own_bands), _lists(sketches)],
+            [*(part.column(x) for x in ("doc_id", "x", "c")), pa.array(n, pa.int64()), *map(pa.array, words.keys()), lists(own_bands), lists(sketches)],
             ["doc_id", "x", "c", "n_shingles", "k1", "k2", "bands", "sketch"],
         )
 
@@ -99,14 +102,32 @@ def _sets(batches: Iterator) -> Iterator:
         # rows that repeat id and text meet in a task
         new = [i for i, rep in enumerate(part.column("rep").to_pylist()) if not (rep in seen or seen.add(rep))]
         own = list(document_shingles(Words([texts[i] for i in new], fold=True)))
-        yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(new, pa.int64())), _lists(own)], ["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(new, pa.int64())), lists(own)], ["rep", "shingles"])
 
 
-def _differ(x: str, y: str) -> Column:
+def differ(x: str, y: str) -> Column:
     """Bits in which two odd sketches differ."""
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
+@dataclass(frozen=True)
+class Method:
+    """How candidate pairs are found and refused before full sets decide; shared by the joins on shingle sets."""
+
+    #: mapInArrow functions from texts to features and to full sets, with their schemas.
+    features: Callable
+    features_schema: str
+    sets: Callable
+    sets_schema: str
+    #: Columns of a feature row that a representative keeps.
+    columns: tuple[str, ...]
+    #: (band, m, rep, n_shingles) of the representatives (reps, discarding nothing) that share a band with m - 1 others.
+    placed: Callable[[DataFrame], DataFrame]
+    #: (rep, fact) from reps and sets, and the condition on fact_a and fact_b that every linked pair meets.
+    facts: Callable[[DataFrame, DataFrame], DataFrame]
+    close: Callable[[int], Column]
+
+
 def _with_facts(pairs: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     """pairs (a, b) with the fact (rep, fact) of both sides, as fact_a and fact_b; a leader, a, may stand in very many pairs.
 
@@ -118,9 +139,9 @@ def _with_facts(pairs: DataFrame, facts: DataFrame, total: int) -> DataFrame:
     return join_by_key(pairs.join(of("b"), "b"), leaders, ["a"], "w", total).drop("w")
 
 
-def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose sets reach the similarity: odd sketches first, then whole sets."""
-    near = _with_facts(pairs, reps.select("rep", F.col("sketch").alias("fact")), pairs.count()).filter(_differ("fact_a", "fact_b") <= MAX_XOR).select("a", "b")
+def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, method: Method) -> DataFrame:
+    """The distinct pairs (a, b) whose sets reach the similarity: sketches first, then whole sets."""
+    near = _with_facts(pairs, method.facts(reps, sets), pairs.count()).filter(method.close(percent)).select("a", "b")
     near = materialise(near, "near")
     full = _with_facts(near, sets.select("rep", F.col("shingles").alias("fact")), near.count())
     both = F.size(F.array_intersect("fact_a", "fact_b"))
@@ -129,7 +150,7 @@ def _links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return linked
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, and two hashes of the text: rows that are equal in id and text are one document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text).alias("x"), F.hash(text).alias("c"))
@@ -146,15 +167,15 @@ def _numbered(reps: DataFrame) -> DataFrame:
     return materialise(reps.join(materialise(order, "order"), ["k1", "k2"]), "numbered")
 
 
-def _judged(source: DataFrame, percent: int) -> DataFrame:
-    """doc_id, x, c, n_shingles, component_id and kept of each row of ``source`` (see _keyed)."""
-    features = materialise(source.mapInArrow(_features, FEATURES), "features")
+def judged(source: DataFrame, percent: int, method: Method) -> DataFrame:
+    """doc_id, x, c, n_shingles, component_id and kept of each row of ``source`` (see keyed)."""
+    features = materialise(source.mapInArrow(method.features, method.features_schema), "features")
     same = features.filter("n_shingles > 0").groupBy("k1", "k2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "c")).alias("first")
-    reps = same.agg(first, F.count(F.lit(1)).alias("size"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")))
+    reps = same.agg(first, F.count(F.lit(1)).alias("size"), *(F.any_value(c).alias(c) for c in ("n_shingles", *method.columns)))
     own = [F.col(f"first.{c}").alias(n) for c, n in (("doc_id", "id"), ("x", "x"), ("c", "c"))]
-    reps = _numbered(materialise(reps.select("k1", "k2", "size", "n_shingles", "bands", "sketch", *own), "reps"))
-    roots = _roots(source, reps, percent)
+    reps = _numbered(materialise(reps.select("k1", "k2", "size", "n_shingles", *method.columns, *own), "reps"))
+    roots = _roots(source, reps, percent, method)
     # a component is named by its root's id; the root's first row is the one that stays
     named = roots.join(reps.select(F.col("rep").alias("root"), F.col("id").alias("root_id")), "root").select("node", "root", "root_id")
     keyed = reps.join(named, reps.rep == named.node, "left").select(
@@ -167,6 +188,11 @@ def _judged(source: DataFrame, percent: int) -> DataFrame:
     return out.unionByName(features.filter("n_shingles = 0").select("doc_id", "x", "c", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
 
 
+def _check(percent: int) -> None:
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 100")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -175,16 +201,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     smallest id reachable, and the document of that id is kept. Null, empty and blank texts have no shingles, are linked with
     nothing and are kept. Rows that share an id but not their text, or have a null id, are documents of their own; a null id
     takes the smallest other id of its component, or stays null, and is kept only where no row with an id is linked. Rows
-    that repeat both id and text are one document. An empty table gives no rows; other columns are not read.
+    that repeat both id and text are one document. An empty table gives no rows; other columns are not read. ``percent`` is
+    80 to 100; below, the bands would lose links, so ValueError is raised.
     """
-    return _judged(_keyed(docs, id_col, text_col), percent).select("doc_id", "n_shingles", "component_id", "kept")
+    _check(percent)
+    return judged(keyed(docs, id_col, text_col), percent, MINHASH).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _leader_pairs(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(band, m, rep, leader) of the members of shared bands, and the pairs (a, b) of leaders and members whose sizes allow a link."""
+def _in_shared_bands(reps: DataFrame) -> DataFrame:
     banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    placed = materialise(join_by_key(banded, shared, ["band"], "m", reps.count() * (SAMPLES // ROWS)), "placed")
+    return join_by_key(banded, shared, ["band"], "m", reps.count() * (SAMPLES // ROWS))
+
+
+#: MinHash bands and odd sketches.
+MINHASH = Method(
+    _features, FEATURES, _sets, SETS, ("bands", "sketch"), _in_shared_bands,
+    lambda reps, sets: reps.select("rep", F.col("sketch").alias("fact")), lambda percent: differ("fact_a", "fact_b") <= MAX_XOR,
+)
+
+
+def _leader_pairs(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(band, m, rep, leader) of the members of shared bands, and the pairs (a, b) of leaders and members whose sizes allow a link."""
     # a text that shares most with most others is central: its edits, if any, are fewest
     central = placed.groupBy("rep").agg(F.sum("m").alias("ties"))
     best = placed.join(central, "rep").groupBy("band", "m").agg(F.max_by(F.struct("rep", "n_shingles"), F.struct("ties", -F.col("rep"))).alias("best"))
@@ -259,9 +297,9 @@ def _open_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _roots(source: DataFrame, reps: DataFrame, percent: int, method: Method) -> DataFrame:
     """(node, root) of the representatives that are linked with others."""
-    members, pairs = _leader_pairs(reps, percent)
+    members, pairs = _leader_pairs(materialise(method.placed(reps), "placed"), percent)
     # full sets are needed of all that are compared, now or later
     often = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band")
     open_ = members.join(often, "band", "left_semi").select("rep")
@@ -270,8 +308,8 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     keys = key_filter(involved, F.xxhash64("id", "rx", "rc"))
     texts = with_passes(source.withColumn("key", F.xxhash64("doc_id", "x", "c")), keys, "key").filter("passes")
     own = texts.doc_id.eqNullSafe(F.col("id")) & (texts.x == F.col("rx")) & (texts.c == F.col("rc"))
-    sets = materialise(texts.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(_sets, SETS), "sets")
-    links = _links(pairs, reps, sets, percent)
+    sets = materialise(texts.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(method.sets, method.sets_schema), "sets")
+    links = _links(pairs, reps, sets, percent, method)
     discard(pairs, involved)
 
     roots = components(links)
@@ -279,8 +317,8 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     placed = members.join(roots, F.col("rep") == F.col("u"), "left").select("band", "rep", comp)
     open_bands = materialise(_several(placed, "band", "m"), "open")
     open_reps = join_by_key(placed, open_bands, ["band"], "m", members.count()).select("rep", "comp").distinct()
-    pairs = _open_pairs(sets.join(open_reps, "rep"), percent)
-    found = _links(pairs, reps, sets, percent)
+    pairs = _open_pairs(sets.select("rep", "shingles").join(open_reps, "rep"), percent)
+    found = _links(pairs, reps, sets, percent, method)
     if not found.isEmpty():
         more = components(links.unionByName(found))
         discard(roots)
@@ -294,6 +332,7 @@ def keep_representatives(docs: DataFrame, percent: int = 80, id_col: str = "doc_
 
     Null, empty and blank texts stay, with or without an id; an empty table stays empty.
     """
-    dropped = materialise(_judged(_keyed(docs, id_col, text_col), percent).filter("not kept").select("doc_id", "x", "c").distinct(), "dropped")
+    _check(percent)
+    dropped = materialise(judged(keyed(docs, id_col, text_col), percent, MINHASH).filter("not kept").select("doc_id", "x", "c").distinct(), "dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return without(docs, dropped, [F.col(id_col).cast("long"), F.xxhash64(text), F.hash(text)])
