@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tests.spans import BASE, stamp
 from wattspan.operators import ingest, periodic
 from wattspan.sources import readers
-from wattspan.streaming.live import append_window_archive, detect_stream
 
 
 def put(path, value, lines=False):
@@ -68,36 +67,6 @@ def test_energy_profiles_and_acknowledgments(spark, tmp_path):
     assert readers.read_acknowledgments(spark, str(tmp_path / "a.json")).count() == 1
 
 
-def test_archive_chain_and_malformed_lines(spark, tmp_path):
-    lines = [json.dumps({"ts": stamp(i * 1000), "report": {"requests": i, "io_ops": 10 * i, "per_service": []}}) for i in range(4)]
-    (tmp_path / "w.json").write_text("\n".join([*lines, "{broken", json.dumps({"ts": "no"})]))
-    good, bad = readers.read_window_archive(spark, str(tmp_path / "w.json"))
-    assert good.count() == 4 and bad.count() == 2
-    out = str(tmp_path / "chain")
-    append_window_archive(good.select("file", "line", F.to_json(F.struct("ts_ms", "requests")).alias("body")), out)
-    chained = spark.read.schema("file string, line long, body string, prev string, seq long, hash string").json(out)
-    assert [tuple(r)[1:] for r in periodic.verify_archive_chain(chained).collect()] == [(4, 4, 0)]
-    forged = chained.withColumn("body", F.when(F.col("seq") == 1, "{}").otherwise(F.col("body")))
-    assert [tuple(r)[1:] for r in periodic.verify_archive_chain(forged).collect()] == [(4, 3, 1)]
-
-
-def test_stream_of_files_gives_the_findings_of_complete_traces(spark, tmp_path):
-    folder = tmp_path / "in"
-    folder.mkdir()
-    row = lambda i, trace, ms: {"timestamp": stamp(ms), "trace_id": trace, "span_id": f"{trace}{i}", "service": "shop", "event_type": "sql", "operation": "SELECT", "target": f"SELECT * FROM t WHERE id = {i}", "duration_us": 10, "source": {"endpoint": "/o", "method": "GET"}}
-    put(folder / "1.json", [row(i, "a", i * 10) for i in range(6)], lines=True)
-    found = []
-    query = detect_stream(readers.stream_spans(spark, str(folder)), lambda f, epoch: found.extend((r.type, r.trace_id, r.pattern.occurrences) for r in f.collect()), str(tmp_path / "check"))
-    try:
-        query.processAllAvailable()
-        assert not found  # the trace may still go on
-        put(folder / "2.json", [row(0, "b", 300_000)], lines=True)
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    assert found == [("n_plus_one_sql", "a", 6)]
-
-
 def test_sanitize_and_secrets(spark):
     texts = [("https://u:p@h/x?token=1#f", "https://h/x"), ("/a/b?c", "/a/b"), ("a/b://c@d", "a/b://c@d")]
     rows = spark.createDataFrame(texts, "s string, want string").withColumn("got", ingest.strip_endpoint_secrets(F.col("s")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspan.functions.hashes import fnv1a64
+
 MAX_HOPS = 8
 # Byte limits of the span fields.
 LIMITS = {"trace_id": 128, "span_id": 128, "service": 256, "operation": 256, "target": 65_536, "timestamp": 64}
@@ -232,10 +234,11 @@ def stitch_split_spans(spans: DataFrame) -> DataFrame:
 
 
 def sample_traces(spans: DataFrame, rate: float) -> DataFrame:
-    """Whole traces at a rate, chosen by a hash of the id."""
+    """Whole traces at a rate: those whose FNV-1a hash of the id, as a share of all hashes, is below it. Spans without an id go
+    unless the rate is 1 or more."""
     if rate >= 1:
         return spans
-    return spans.filter(F.pmod(F.xxhash64("trace_id"), F.lit(1_000_000)) < rate * 1_000_000)
+    return spans.filter(fnv1a64(F.col("trace_id")) / float(1 << 64) < rate)
 
 
 def last_spans(spans: DataFrame, keep: int = 1000) -> DataFrame:

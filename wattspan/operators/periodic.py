@@ -181,47 +181,86 @@ def archive_hash(body: str | None, prev: str | None, seq: int | None) -> str | N
     return "sha256:" + hashlib.sha256(canonical_json(line).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def chain_windows(reports: DataFrame, seed: str = SEED) -> DataFrame:
-    """reports (file, line, body: JSON) with prev, seq and hash of a chain a file.
+def chain_windows(reports: DataFrame, seed: str = SEED, heads: DataFrame | None = None) -> DataFrame:
+    """reports (file, line, body: JSON) with prev, seq, hash, and text, the whole line; a chain a file.
 
-    A chain is sequential, so each file is one group; files are the unit of parallelism.
+    ``heads`` (file, hash, seq) are the last lines of chains that go on. Each hash holds the one before, so the new lines of a
+    file are one group; files are the unit of parallelism. A body that is no JSON object has null in all four and is skipped
+    by the chain.
     """
 
     def run(pdf):
-        pdf = pdf.sort_values("line")
-        prev, out = seed, []
-        for n, body in enumerate(pdf["body"]):
-            digest = archive_hash(body, prev, n)
-            out.append((prev, n, digest))
-            prev = digest
-        pdf["prev"], pdf["seq"], pdf["hash"] = zip(*out, strict=True)
-        return pdf[["file", "line", "body", "prev", "seq", "hash"]]
-
-    return reports.select("file", "line", "body").groupBy("file").applyInPandas(run, "file string, line long, body string, prev string, seq long, hash string")
-
+        import json
 
-def verify_archive_chain(chained: DataFrame, first: str | None = None, last: str | None = None, seed: str = SEED) -> DataFrame:
-    """Per file: windows, verified, and breaks; with the days of a period (and ts_ms) also breaks in and out of it and unchained lines.
-
-    A line is unchained if it has no hash. A break is a line whose hash is not its own, or that does not follow the hash and number
-    stated before it; after a break the stated ones are followed. A line without a time counts as in the period.
+        pdf = pdf.sort_values("line")
+        head = pdf["head"].iloc[0]
+        prev, seq = (seed, 0) if head is None else (head["hash"], int(head["seq"]) + 1)
+        out = []
+        for body in pdf["body"]:
+            digest = archive_hash(body, prev, seq)
+            if digest is None:
+                out.append((None, None, None, None))
+                continue
+            line = json.loads(body, parse_int=_Literal, parse_float=_Literal) | {"prev": prev, "seq": _Literal(seq), "hash": digest}
+            out.append((prev, seq, digest, canonical_json(line)))
+            prev, seq = digest, seq + 1
+        columns = [pd.Series(list(c), index=pdf.index, dtype=t) for c, t in zip(zip(*out, strict=True), (object, "Int64", object, object), strict=True)]
+        pdf["prev"], pdf["seq"], pdf["hash"], pdf["text"] = columns
+        return pdf[["file", "line", "body", "prev", "seq", "hash", "text"]]
+
+    rows = reports.select("file", "line", "body")
+    none = F.lit(None).cast("struct<hash:string,seq:bigint>")
+    rows = rows.withColumn("head", none) if heads is None else rows.join(heads.select("file", F.struct("hash", "seq").alias("head")), "file", "left")
+    return rows.groupBy("file").applyInPandas(run, "file string, line long, body string, prev string, seq long, hash string, text string")
+
+
+def _previous(lines: DataFrame, columns: dict[str, Column], segment: int) -> DataFrame:
+    """lines (file, line) with, for each of ``columns``, its last value that is not null in the lines before of the same file.
+
+    Lines are cut into segments of ``segment`` lines; inside one the window looks back, and its first lines take what the
+    segments before leave, of which there is one row a segment.
+    """
+    rows = lines.withColumns({"_segment": F.floor(F.col("line") / segment)} | {f"_{n}": c for n, c in columns.items()})
+    inside = Window.partitionBy("file", "_segment").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("file").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("file", "_segment").agg(*(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col("line"))).alias(n) for n in columns))
+    left = last.select("file", "_segment", *(F.last(n, ignorenulls=True).over(over).alias(f"_{n}_left") for n in columns))
+    seen = rows.withColumns({f"_{n}_in": F.last(f"_{n}", ignorenulls=True).over(inside) for n in columns}).join(left, ["file", "_segment"])
+    return seen.withColumns({n: F.coalesce(f"_{n}_in", f"_{n}_left") for n in columns}).drop("_segment", *(f"_{n}{x}" for n in columns for x in ("", "_in", "_left")))
+
+
+def verify_archive_chain(chained: DataFrame, first: str | None = None, last: str | None = None, seed: str = SEED, segment: int = 50_000) -> DataFrame:
+    """Per file: windows, verified, breaks and unchained lines; with the days of a period (and ts_ms) also breaks in and out of it.
+
+    chained: file, line, body (a line as it stands, or without prev, seq and hash), prev, seq, hash. A break is a line whose hash
+    is not its own, or that does not follow the hash and number of the line before it (the seed and 0 at the start); after a
+    break the stated ones are followed. A line without a hash is unchained while no line before it had one, later it is a
+    break, and the next line is taken as it is. Lines that are no JSON object are no windows and are passed over. Lines
+    without a number are in sequence. A break counts as in the period if its line or the one before is, or has no time.
     """
 
     @F.pandas_udf("string")
     def own_hash(body: pd.Series, prev: pd.Series, seq: pd.Series) -> pd.Series:
         return pd.Series([archive_hash(*x) for x in zip(body, prev, seq)], dtype=object)
 
-    in_order = Window.partitionBy("file").orderBy("line")
-    stated = F.col("hash").isNotNull()
-    before = lambda c: F.last(F.when(stated, F.col(c)), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    linked = (F.col("prev") == F.coalesce(before("hash"), F.lit(seed))) & (F.coalesce("seq", before("seq") + 1) == F.coalesce(before("seq") + 1, F.lit(0)))
-    checked = chained.withColumn("_own", own_hash("body", "prev", "seq")).withColumn("_ok", stated & F.coalesce((F.col("_own") == F.col("hash")) & linked, F.lit(False)))
-    broken = stated & ~F.col("_ok")
-    counts = [F.count(F.lit(1)).alias("windows"), F.count_if("_ok").alias("verified"), F.count_if(broken).alias("breaks")]
-    if first is not None and last is not None:
-        inside = F.coalesce((F.col("ts_ms") >= _day_ms(first)) & (F.col("ts_ms") < _day_ms(last) + DAY_MS), F.lit(True))
-        counts += [F.count_if(broken & inside).alias("breaks_in_period"), F.count_if(broken & ~inside).alias("breaks_outside"), F.count_if(~stated).alias("unchained")]
-    return checked.groupBy("file").agg(*counts)
+    dated = first is not None and last is not None
+    inside = F.coalesce((F.col("ts_ms") >= _day_ms(first)) & (F.col("ts_ms") < _day_ms(last) + DAY_MS), F.lit(True)) if dated else F.lit(True)
+    lines = chained.withColumns({"own": own_hash("body", "prev", "seq"), "inside": inside})
+    json, stated = F.col("own").isNotNull(), F.col("hash").isNotNull()
+    known = {"anchor": F.when(json, F.struct("hash", "seq")), "started": F.when(json & stated, F.lit(True)), "inside_before": F.col("inside")}
+    rows = _previous(lines, known, segment)
+    # without an anchor a line that has its own hash is taken as it is
+    lost = F.col("anchor").isNotNull() & F.col("anchor.hash").isNull() & F.col("started").isNotNull()
+    fresh = F.col("started").isNull()
+    follows = F.when(fresh, F.col("prev") == seed).otherwise(F.col("prev") == F.col("anchor.hash"))
+    in_sequence = F.col("seq").isNull() | F.when(fresh, F.col("seq") == 0).otherwise(F.coalesce(F.col("seq") == F.col("anchor.seq") + 1, F.lit(True)))
+    ok = json & stated & (F.col("own") == F.col("hash")) & (lost | F.coalesce(follows & in_sequence, F.lit(False)))
+    rows = rows.withColumns({"json": json, "ok": ok, "unchained": json & ~stated & fresh}).withColumn("broken", F.col("json") & ~F.col("ok") & ~F.col("unchained"))
+    counts = [F.count_if("json").alias("windows"), F.count_if("ok").alias("verified"), F.count_if("broken").alias("breaks")]
+    if dated:
+        scope = F.col("inside") | F.coalesce("inside_before", F.lit(False))
+        counts += [F.count_if(F.col("broken") & scope).alias("breaks_in_period"), F.count_if(F.col("broken") & ~scope).alias("breaks_outside"), F.count_if("unchained").alias("unchained")]
+    return rows.groupBy("file").agg(*counts)
 
 
 def _bad(c: str) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.schema import SEVERITIES
+from wattspan.sources.shared import shared_folder
 
 _INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2069\\ufeff]"
 
@@ -142,17 +141,10 @@ def findings_for_trace(findings: DataFrame, trace_id: str) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read back; a local folder only where that setting is missing (local mode)."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tree-{uuid.uuid4().hex}"
+    """df written as Parquet below spark.checkpoint.dir and read back."""
+    path = shared_folder(df.sparkSession, "tree")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def explain_tree(spans: DataFrame, findings: DataFrame, max_depth: int = 256) -> DataFrame:

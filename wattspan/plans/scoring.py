@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattspan.functions.times import iso_ms
 from wattspan.operators import detect as d
 from wattspan.operators import energy as e
 from wattspan.operators import ingest, periodic, reports
 from wattspan.operators import score as s
 from wattspan.plans.detection import _N1, LIMITS, normalized
 from wattspan.plans.registry import register
+from wattspan.sources import archive
 from wattspan.sources.derived import SPANS_SQL, order_spans, read_tables
 from wattspan.sources.reference_tables import region_rows
-from wattspan.streaming.live import cross_trace_correlations, live_totals, sticky, top_pairs
+from wattspan.sources.shared import shared_folder
+from wattspan.streaming.correlate import cross_trace_correlations, top_pairs
+from wattspan.streaming.live import live_totals, sticky
 
 #: Findings of the direct rules that count as avoidable.
 _AVOID = _N1 + """, r AS (
@@ -590,6 +594,24 @@ def _chain(spark, sf_dir):
     return periodic.verify_archive_chain(periodic.chain_windows(w).withColumns({"body": changed, "ts_ms": F.col("line")}), "2025-07-10", "2025-07-10")
 
 
+@register("archive_round_trip", _WIN + """SELECT 'f' || (ts_ms // 10800000) AS file, count(*) AS windows, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 <> 0) AS verified, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0) AS breaks,
+  count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0 AND ts_ms < 1752192000000) AS breaks_in_period, count(*) FILTER (WHERE (ts_ms // 3600000) % 7 = 0 AND ts_ms >= 1752192000000) AS breaks_outside,
+  CAST(0 AS BIGINT) AS unchained, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(io_ops) AS BIGINT) AS io_ops, max(ts_ms) AS last_ms FROM win GROUP BY ALL""")
+def _round_trip(spark, sf_dir):
+    """Windows are appended to an archive in three batches, the last of them twice, and read back; then every seventh hour's
+    line is changed, and the chains that go over three files are verified."""
+    path = shared_folder(spark, "archive")
+    report = F.struct("requests", "io_ops", "energy_kwh", "operational_g", "embodied_g", "transport_g", "models", "per_service")
+    windows = _windows(spark, sf_dir).withColumn("body", archive.window_body(iso_ms(F.col("ts_ms")), report))
+    for batch in (0, 1, 2, 2):
+        archive.append_window_archive(windows.filter(F.floor(F.col("ts_ms") / 3_600_000) % 3 == batch), path, batch)
+    lines = archive.read_archive_lines(spark, path)
+    changed = F.when(F.floor(F.col("ts_ms") / 3_600_000) % 7 == 0, F.replace("body", F.lit('"io_ops":'), F.lit('"io_ops":1'))).otherwise(F.col("body"))
+    checked = periodic.verify_archive_chain(lines.withColumn("body", changed), "2025-07-10", "2025-07-10")
+    good, _ = archive.read_window_archive(spark, path)
+    return checked.join(good.groupBy("file").agg(F.sum("requests").alias("requests"), F.sum("io_ops").alias("io_ops"), F.max("ts_ms").alias("last_ms")), "file")
+
+
 @register("validate_disclosure", _WIN + """, agg AS (SELECT sum(requests) AS requests, sum(kwh) AS kwh, sum(g + emb + t) / 1000 AS kg, avg(CASE WHEN ts_ms % 7200000 = 0 THEN 1.0 ELSE 0.0 END) AS cov, count(DISTINCT ts_ms // 86400000) AS days FROM win), v AS (
   SELECT unnest([CASE WHEN requests < 0 THEN 'requests is negative' END, CASE WHEN kwh < 0 THEN 'energy is not finite or negative' END, CASE WHEN kg < 0 THEN 'carbon is not finite or negative' END,
     CASE WHEN cov NOT BETWEEN 0 AND 1 THEN 'period coverage is outside 0 to 1' END, CASE WHEN cov < 0.75 THEN 'period coverage is too low' END, CASE WHEN days > 31 THEN 'more days observed than the period has' END, 'canonical threshold is not the fixed one']) AS violation FROM agg)
@@ -653,7 +675,12 @@ def _sanitize(spark, sf_dir):
     return ingest.sanitize_spans(order_spans(spark, sf_dir)).select("span_id", "target", F.col("source.endpoint").alias("endpoint"))
 
 
-@register("sample_traces")
+@register("sample_traces", SPANS_SQL.rstrip() + """, h AS (
+  SELECT trace_id, count(*) AS spans, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(trace_id, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+    lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS hash
+  FROM spans GROUP BY trace_id
+)
+SELECT trace_id, spans FROM h WHERE CAST(hash AS DOUBLE) / 18446744073709551616 < 0.25""")
 def _sample(spark, sf_dir):
     return ingest.sample_traces(order_spans(spark, sf_dir), 0.25).groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))
 

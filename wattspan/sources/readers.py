@@ -191,19 +191,6 @@ def read_energy_readings(spark: SparkSession, path: str, column: str | None = No
     return kept.select("service", "ts_ms", v.alias("watts" if column == "power_watts" else "kwh"))
 
 
-_WINDOW = (
-    "ts string, prev string, seq long, hash string, report struct<requests:bigint,io_ops:bigint,energy_kwh:double,operational_g:double,embodied_g:double,transport_g:double,models:array<string>,"
-    "per_service:array<struct<service:string,io_ops:bigint,energy_kwh:double,co2_g:double,measured_ratio:double>>>, _bad string"
-)
-
-
-def read_window_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Window rows of a JSON-lines archive, and the malformed lines."""
-    parsed = spark.read.schema(_WINDOW).option("columnNameOfCorruptRecord", "_bad").json(path).withColumns({"file": F.input_file_name(), "line": F.monotonically_increasing_id()}).withColumn("ts_ms", epoch_ms(F.col("ts")))
-    broken = F.col("_bad").isNotNull() | F.col("ts_ms").isNull()
-    return parsed.filter(~broken).select("file", "line", "ts_ms", "prev", "seq", "hash", "report.*"), parsed.filter(broken).select("file", "line", F.col("_bad").alias("text"))
-
-
 def read_findings(spark: SparkSession, path: str, schema) -> DataFrame:
     """Findings of a saved report in the schema of findings."""
     from pyspark.sql import types as T

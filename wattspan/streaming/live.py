@@ -1,87 +1,44 @@
-"""Streaming forms: traces are assembled by event time, then the batch operators run on each micro-batch."""
+"""Streaming forms: traces are assembled by processing time, then the batch operators run on each micro-batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattspan.functions.normalize import normalize_spans
 from wattspan.operators.detect import detect_all
 from wattspan.operators.energy import with_last_known
-from wattspan.operators.ingest import last_spans
-from wattspan.operators.periodic import chain_windows
 from wattspan.schema import AVOIDABLE, Thresholds
+from wattspan.streaming.correlate import LiveCorrelations, correlation_input
+from wattspan.streaming.window import MAX_SPANS, MAX_TRACES, TTL_MS, assemble_traces, trace_spans
 
-#: Fixed value: the trailing window of live correlations, ten minutes.
-WINDOW_MS = 600_000
-_SPAN_FIELDS = ("timestamp", "ts_ms", "span_id", "parent_span_id", "service", "grouping", "cloud_region", "event_type", "operation", "target", "duration_us", "source", "response_size_bytes", "code", "instrumentation_scopes", "ord")
 
+def detect_stream(
+    stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, thresholds: Thresholds | None = None, ttl_ms: int = TTL_MS, max_spans: int = MAX_SPANS, max_traces: int = MAX_TRACES,
+    correlations: LiveCorrelations | None = None, pairs_sink: Callable[[DataFrame, int], None] | None = None,
+):
+    """A started query that gives the findings of each batch of given-out traces to ``sink``.
 
-def assemble_traces(stream: DataFrame, ttl: str = "30 seconds", delay: str = "30 seconds") -> DataFrame:
-    """trace_id, first and last time, and spans of each trace that was quiet for ``ttl``.
-
-    Event time, not processing time: a span later than the watermark is dropped instead of starting a partial trace.
+    With ``correlations`` each batch's findings also go into the trailing window, and its pairs to ``pairs_sink``.
     """
-    session = F.session_window("ts", ttl)
-    return stream.withWatermark("ts", delay).groupBy(session.alias("session"), "trace_id").agg(F.collect_list(F.struct(*_SPAN_FIELDS)).alias("spans")).select("trace_id", F.col("session.start").alias("first"), F.col("session.end").alias("last"), "spans")
-
-
-def trace_spans(traces: DataFrame, keep: int = 1000) -> DataFrame:
-    """The spans of assembled traces as rows, the last ``keep`` of each."""
-    return last_spans(traces.select("trace_id", F.explode("spans").alias("s")).select("trace_id", "s.*"), keep)
-
-
-def detect_stream(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, thresholds: Thresholds | None = None, ttl: str = "30 seconds", delay: str = "30 seconds"):
-    """A started query that gives the findings of each batch of complete traces to ``sink``."""
 
     def each(batch: DataFrame, epoch: int) -> None:
+        # the findings of a batch are computed once, from traces that are computed once
         spans = normalize_spans(trace_spans(batch)).persist()
+        findings = detect_all(spans, thresholds or Thresholds(), dealt=True).persist()
         try:
-            sink(detect_all(spans, thresholds or Thresholds(), dealt=True), epoch)
+            sink(findings, epoch)
+            if correlations is not None:
+                pairs = correlations.update(correlation_input(findings), epoch)
+                if pairs_sink is not None:
+                    pairs_sink(pairs, epoch)
         finally:
+            findings.unpersist()
             spans.unpersist()
 
-    return assemble_traces(stream, ttl, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
-
-
-def cross_trace_correlations(findings: DataFrame, lag_ms: int = 5_000, min_count: int = 5, min_confidence: float = 0.7, max_pairs: int | None = None, window_ms: int | None = None) -> DataFrame:
-    """Pairs of findings of different services that follow each other within the lag; each first finding counts once a pair.
-
-    findings: ts_ms, trace_id, service, type, template, gk, gv. ``window_ms`` looks at the time before the newest finding only
-    (WINDOW_MS for live batches). Time is cut into buckets of the lag. In a bucket, findings of one identity are one list of
-    at most ``lag_ms`` distinct times, and first findings of one identity and time are one row, so a busy moment costs a
-    row for each of its times and each identity that follows, not for each pair of findings.
-    """
-    who = F.concat_ws("|", "service", "type", "template")
-    base = findings.select("gk", "gv", "ts_ms", "trace_id", "service", who.alias("who"), F.floor(F.col("ts_ms") / lag_ms).alias("bucket"))
-    if window_ms is not None:
-        newest = base.agg((F.max("ts_ms") - window_ms).alias("since"))
-        base = base.crossJoin(F.broadcast(newest)).filter("ts_ms >= since").drop("since")
-    a = base.groupBy("gk", "gv", F.col("who").alias("a"), F.col("service").alias("sa"), F.col("ts_ms").alias("ta"), "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("trace_id").alias("trace_a"))
-    a = a.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
-    b = base.groupBy("gk", "gv", "bucket", F.col("service").alias("sb"), F.col("who").alias("b")).agg(F.collect_set("ts_ms").alias("times"))
-    after = F.array_min(F.filter("times", lambda t: t >= F.col("ta")))
-    near = a.join(b, ["gk", "gv", "bucket"]).filter(F.col("sa") != F.col("sb")).withColumn("lag", after - F.col("ta")).filter(F.col("lag") <= lag_ms)
-    first = near.groupBy("gk", "gv", "a", "b", "ta", "n", "trace_a").agg(F.min("lag").alias("lag"))
-    pairs = first.groupBy("gk", "gv", "a", "b").agg(
-        F.sum("n").alias("count"), F.percentile("lag", F.lit(0.5), F.col("n")).alias("median_lag_ms"), F.min("ta").alias("first_seen"), F.max("ta").alias("last_seen"), F.min_by("trace_a", F.struct("ta", "trace_a")).alias("sample_trace")
-    )
-    totals = base.groupBy("gk", "gv", F.col("who").alias("a")).agg(F.count(F.lit(1)).alias("total"))
-    out = pairs.join(totals, ["gk", "gv", "a"]).withColumn("confidence", F.least(F.col("count") / F.col("total"), F.lit(1.0)))
-    out = out.filter((F.col("count") >= min_count) & (F.col("confidence") >= min_confidence))
-    return out if max_pairs is None else top_pairs(out, max_pairs)
-
-
-def top_pairs(pairs: DataFrame, n: int = 10_000) -> DataFrame:
-    """The n most frequent pairs."""
-    return pairs.orderBy(F.desc("count"), "a", "b").limit(n)
-
-
-def append_window_archive(reports: DataFrame, path: str) -> None:
-    """Append chained windows as JSON lines; a chain starts anew in each file."""
-    chain_windows(reports).write.mode("append").json(path)
+    return assemble_traces(stream, ttl_ms, max_spans, max_traces).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each).start()
 
 
 def sticky(figures: DataFrame, value: str, ttl_ms: int, key: str = "service") -> DataFrame:
