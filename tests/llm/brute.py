@@ -116,3 +116,19 @@ def vector_codes(rows: list[tuple], parts: int, entries: int, rounds: int) -> tu
     errors = {i: sum(d for d, _ in x) for i, x in got.items()}
     labels = {i: label for i, label, _ in own}
     return {i: ("".join(f"{e:02x}" for _, e in x), errors[i], sum(errors[j] for j in cut if labels[j] == labels[i])) for i, x in got.items()}, books
+
+
+def redacted(text: str | None, live: list[tuple[int, int]], mark: str = "[secret]") -> str | None:
+    """The text with the ranges of code points replaced, ranges that overlap or touch by one mark."""
+    if text is None or not live:
+        return text
+    inside = [False] * len(text)
+    for a, b in live:
+        inside[a:b] = [True] * (b - a)
+    out = []
+    for i, c in enumerate(text):
+        if not inside[i]:
+            out.append(c)
+        elif i == 0 or not inside[i - 1]:
+            out.append(mark)
+    return "".join(out)

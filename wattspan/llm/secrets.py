@@ -4,8 +4,9 @@ Base kinds (assign, access, hex) are found by their patterns. The method adds ca
 prefixes, key blocks, tokens of three parts) and judges every candidate value by who owns it: values are hashed and
 counted by distinct repositories and distinct owners over the corpus (``repository_col`` and ``owner_col``; documents
 know only their source, which stands for both by default). A value that many owners carry is an example; one that few
-owners carry, in however many repositories of theirs, is live unless it is a placeholder: a key block without a body, or
-a value without digits that repeats a few letters.
+owners carry, in however many repositories of theirs, is live unless it is a placeholder (a key block without a body, or
+a value without digits that repeats a few letters) or plain words, as prose has them behind "token:". How many owners are few
+grows with the logarithm of all owners of the corpus.
 
 A key block reaches from its BEGIN to its END line; if no END line follows, as far as lines of base64 go. Its body without
 line breaks and indents is what is counted.
@@ -38,6 +39,9 @@ _PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, VENDOR, KEY_BLOCK, JWT)))
 #: A value without digits is a placeholder if it has fewer different letters behind its prefix.
 LETTERS = 4
 _PREFIX = r"^(?:AKIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\.|npm_|SG\.)"
+#: Up to two words of prose with punctuation between or behind them: letters of one case, or with a capital first.
+_WORD = r"(?:[A-Za-z][a-z]{0,10}|[A-Z]{1,11})"
+_PLAIN = rf"^{_WORD}(?:[-_./+=]+{_WORD})?[-_./+=]*$"
 #: Matches of a text that are put in place together.
 CHUNK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -83,9 +87,9 @@ def _value_hash(span: Column) -> Column:
 
 
 def _looks_real(span: Column) -> Column:
-    """Not a placeholder: a key block with a body, a value with a digit, or one of several different letters."""
+    """Not a placeholder: a key block with a body, a value with a digit, or one of several different letters that isn't plain words."""
     letters = F.regexp_replace(F.lower(F.regexp_replace(span["value"], _PREFIX, "")), "[^a-z]", "")
-    varied = F.size(F.array_distinct(F.split(letters, ""))) >= LETTERS
+    varied = (F.size(F.array_distinct(F.split(letters, ""))) >= LETTERS) & ~span["value"].rlike(_PLAIN)
     return F.when(span["kind"] == KINDS.index("keyblock"), _key_body(span["value"]) != "").otherwise(span["value"].rlike("[0-9]") | varied)
 
 
@@ -110,11 +114,17 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return each.groupBy("value_hash").agg(F.sum("rows").alias("rows"), F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"))
 
 
+def owner_limit(owners: int, max_owners: int) -> int:
+    """How many owners a live value can have: ``max_owners``, or one less than the binary logarithm of all owners."""
+    return max(max_owners, owners.bit_length() - 2)
+
+
 def scan_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, found (spans with value, owners, repositories and rows of the value, and live).
 
-    A value is live when at most ``max_owners`` distinct owners carry it and it is no placeholder (see above); other
-    values are widely copied examples or placeholders. Null and empty texts have no spans; a null owner or repository counts
+    A value is live when at most ``owner_limit`` distinct owners carry it (``max_owners`` in a corpus of up to 15 owners, 3
+    from 16 on, 4 from 32 on, 18 in one of a million) and it is neither placeholder nor plain words (see above); other
+    values are widely copied examples or no secrets. Null and empty texts have no spans; a null owner or repository counts
     as one of its own; rows that repeat are separate documents; an empty table gives no rows; other columns are not read.
     """
     return _scanned(docs, max_owners, id_col, text_col, owner_col, repository_col).select("doc_id", "found")
@@ -127,7 +137,8 @@ def _scanned(docs: DataFrame, max_owners: int, id_col: str, text_col: str, owner
     single = rows.filter(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).withColumn("value_hash", _value_hash(F.col("s")))
     total = owned.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     judged = join_by_key(single, owned, ["value_hash"], "rows", total)
-    live = (F.col("owners") <= max_owners) & _looks_real(F.col("s"))
+    everyone = rows.select(F.coalesce("owner", F.lit("")).alias("owner")).distinct().count()
+    live = (F.col("owners") <= owner_limit(everyone, max_owners)) & _looks_real(F.col("s"))
     one = F.struct(*(F.col(f"s.{c}").alias(c) for c in ("start", "kind", "end", "value")), "owners", "repositories", "rows", live.alias("live"))
     found = judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("found"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repositories:bigint,rows:bigint,live:boolean>>")
@@ -147,12 +158,15 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the value of every live candidate replaced by ``mark``; widely copied examples stay, no row goes.
 
-    A document's live values are replaced wherever they stand in it. Rows that share an id, or have none, are told apart by
+    Values are replaced where they were found, so nothing else in a text changes; values that overlap or touch become one
+    mark. Rows that share an id, or have none, are told apart by
     their texts; null and empty texts stay as they are; an empty table stays empty; other columns may have any name.
     ``length_col`` is set anew where a text changed. Only rows that may hold a live value are shuffled with their texts.
     """
     scanned = _scanned(docs, max_owners, id_col, text_col, owner_col, repository_col)
-    values = F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), lambda s: s["value"]))
+    # the value is the end of its span
+    place = lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"))
+    values = F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda s: s["live"]), place)))
     keys = F.col("doc_id").alias("of_id"), F.col("x").alias("of_x"), F.col("c").alias("of_c")
     live = materialise(scanned.select(*keys, values.alias("live")).filter(F.size("live") > 0).dropDuplicates(["of_id", "of_x", "of_c"]), "live")
     x, c = _text_hashes(text_col)
@@ -160,8 +174,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", max_owners: int = 2, id_col:
     rows = with_passes(rows, key_filter(live, F.xxhash64("of_id", "of_x", "of_c")), "key")
     own = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("x") == F.col("of_x")) & (F.col("c") == F.col("of_c"))
     held = rows.filter("passes").join(live, own, "left")
-    longest_first = F.array_sort("live", lambda a, b: F.length(b) - F.length(a))
-    text = F.aggregate(longest_first, F.col("row").getField(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
+    whole = F.col("row").getField(text_col)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    between = lambda s, v: F.when(v["start"] > s["at"], F.concat(F.substring(whole, s["at"] + 1, v["start"] - s["at"]), F.lit(mark))).otherwise(F.when(v["start"] == 0, mark).otherwise(""))
+    step = lambda s, v: F.struct(F.greatest(s["at"], v["end"]).alias("at"), F.concat(s["out"], between(s, v)).alias("out"))
+    text = F.aggregate("live", start, step, lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole))))
     changed = F.col("row").withField(f"`{text_col}`", text)
     if length_col in docs.columns:
         changed = changed.withField(f"`{length_col}`", F.length(text).cast(docs.schema[length_col].dataType))
