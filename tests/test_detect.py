@@ -136,3 +136,26 @@ def test_explain_tree_holds_deep_spans_and_findings_without_a_span(spark):
     assert sum(r.trace_id == "t2" and r.depth == 0 and r.findings is None for r in tree) == 9
     assert [(r.trace_id, r.template, r.findings) for r in tree if r.span_id is None] == [("t2", "parent:gone", ["excessive_fanout"])]
     assert max(r.depth for r in reports.explain_tree(n, found, 3).collect() if r.path) == 3
+
+
+def test_open_statements_of_a_huge_trace(spark):
+    """A trace with most spans, over many blocks, with ends before starts, spans of no duration and spans over many blocks."""
+    import random
+
+    rng = random.Random(2)
+    rows = [span(i, query(i % 9), rng.randrange(0, 60_000), us=rng.choice([0, 500, 20_000, 3_000_000, 0])) for i in range(4_000)]
+    rows += [span(i, query(i), i, trace=f"small{i % 40}", us=rng.choice([0, 5_000])) for i in range(400)]
+    n = frame(spark, rows)
+    got = {(r.trace_id, r.t): r.open for r in d._concurrency(n, 1).collect()}
+    steps: dict = {}
+    for r in n.select("trace_id", "ts_ms", "duration_us").collect():
+        steps.setdefault(r.trace_id, []).extend([(r.ts_ms * 1000, 1), (r.ts_ms * 1000 + r.duration_us, -1)])
+    want = {}
+    for trace, own in steps.items():
+        open_ = 0
+        for t, x in sorted(own):
+            open_ = max(open_ + x, 0)
+            want[trace, t] = open_
+    assert got == want and max(got.values()) > 30 and len(want) > 6_000
+    saturated = {r.trace_id: r.pattern.occurrences for r in d.detect_pool_saturation(n, 20).collect()}
+    assert saturated == {"t1": max(v for (trace, _), v in want.items() if trace == "t1")}

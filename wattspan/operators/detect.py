@@ -211,17 +211,33 @@ def detect_chatty(normalized: DataFrame, minimum: int = _D.chatty) -> DataFrame:
     return _findings(groups, F.lit("chatty_service"), severity, F.col("n"), F.col("distinct"), text, template=F.col("rep.endpoint"), timed=False)
 
 
+#: Microseconds of a block of the scan over open statements; it has a row for each different time in it.
+BLOCK_US = 1_000_000
+
+
 def _concurrency(normalized: DataFrame, threshold: int) -> DataFrame:
-    """Running number of open statements after each start and end; ends come before starts of the same time, and it stops at 0."""
-    keys = ("trace_id", "service", "gk", "gv")
+    """Open statements after each time at which one starts or ends; ends come before starts of the same time, and it stops at 0.
+
+    What is open is the running sum of starts less ends, above the lowest that it has been. Both are scanned in two levels:
+    within blocks of a second, whose rows are different times, and over the sums and lowest points of the blocks. So a trace
+    with very many statements is spread over its blocks.
+    """
+    keys = ["trace_id", "service", "gk", "gv"]
     sql = _keyed(normalized).filter("event_type = 'sql' and ts_ms is not null")
     enough = sql.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= threshold).select(*keys)
-    sql = sql.join(enough, list(keys), "left_semi")
+    sql = sql.join(enough, keys, "left_semi")
     start = F.col("ts_ms") * 1000
-    steps = sql.select(*keys, F.explode(F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct((start + F.col("duration_us")).alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.t", "x.d")
-    upto = Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = steps.withColumn("s", F.sum("d").over(upto))
-    return walked.withColumn("open", F.col("s") - F.least(F.min("s").over(upto), F.lit(0)))
+    step = lambda t, up, down: F.struct(t.alias("t"), F.lit(up).alias("up"), F.lit(down).alias("down"))
+    steps = sql.select(*keys, F.explode(F.array(step(start, 1, 0), step(start + F.col("duration_us"), 0, 1))).alias("x")).select(*keys, F.floor(F.col("x.t") / BLOCK_US).alias("block"), "x.*")
+    times = steps.groupBy(*keys, "block", "t").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    within = Window.partitionBy(*keys, "block").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = times.withColumn("s", F.sum(F.col("up") - F.col("down")).over(within)).withColumn("low", F.min(F.col("s") - F.col("up")).over(within))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = walked.groupBy(*keys, "block").agg(F.sum(F.col("up") - F.col("down")).alias("total"), F.min("low").alias("lowest"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("low_before", F.coalesce(F.min(F.col("before") + F.col("lowest")).over(earlier), F.lit(0))).select(*keys, "block", "before", "low_before")
+    lowest = F.least(F.lit(0), F.col("low_before"), F.col("before") + F.col("low"))
+    return walked.join(blocks, [*keys, "block"]).select(*keys, "t", (F.col("before") + F.col("s") - lowest).alias("open"))
 
 
 def detect_pool_saturation(normalized: DataFrame, threshold: int = _D.pool) -> DataFrame:

@@ -296,11 +296,11 @@ def _gate(spark, sf_dir):
     return reports.quality_gate(f, s.io_waste(n, f))
 
 
-def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _runs(spark, sf_dir, slow_ms: float = LIMITS.slow_ms) -> tuple[DataFrame, DataFrame]:
     """Findings of orders with odd and with even keys, as the runs before and after."""
     n = normalized(spark, sf_dir)
     odd = F.substring("trace_id", 2, 20).cast("long") % 2 == 1
-    found = d.detect_slow(n, LIMITS.slow_ms, LIMITS.slow_min)
+    found = d.detect_slow(n, slow_ms, LIMITS.slow_min)
     return found.filter(odd), found.filter(~odd)
 
 
@@ -328,9 +328,10 @@ def _diff(spark, sf_dir):
     return _changes(reports.diff_findings(*_runs(spark, sf_dir)))
 
 
-@register("severity_changes", _DIFF + "SELECT * FROM d WHERE change IN ('regressed', 'improved')")
+@register("severity_changes", _DIFF.replace("> 125000", "> 49500").replace("> 25000", "> 9900") + "SELECT * FROM d WHERE change IN ('regressed', 'improved')")
 def _severity(spark, sf_dir):
-    return _changes(reports.severity_changes(*_runs(spark, sf_dir)))
+    """With a limit of 9.9 ms only the longest calls are critical, so some identities are so in one run alone."""
+    return _changes(reports.severity_changes(*_runs(spark, sf_dir, 9.9)))
 
 
 @register("endpoint_deltas", SPANS_SQL.rstrip() + """, c AS (SELECT service, endpoint AS source_endpoint, count(*) FILTER (WHERE l_orderkey % 2 = 1) AS ops_before, count(*) FILTER (WHERE l_orderkey % 2 = 0) AS ops_after FROM spans GROUP BY ALL)
@@ -341,8 +342,8 @@ def _deltas(spark, sf_dir):
     return reports.endpoint_deltas(s.endpoint_stats(spans.filter(odd)), s.endpoint_stats(spans.filter(~odd)))
 
 
-def _signed(spark, sf_dir) -> DataFrame:
-    return reports.finding_signature(reports.stamp_confidence(d.detect_fanout(normalized(spark, sf_dir), LIMITS.fanout)))
+def _signed(spark, sf_dir, maximum: int = LIMITS.fanout) -> DataFrame:
+    return reports.finding_signature(reports.stamp_confidence(d.detect_fanout(normalized(spark, sf_dir), maximum)))
 
 
 _SIGNED = SPANS_SQL.rstrip() + """, c AS (SELECT trace_id, parent_span_id, count(*) AS n, min(ts_ms) AS lo, max(ts_ms) AS hi FROM normalized WHERE parent_span_id IS NOT NULL GROUP BY ALL HAVING count(*) > 8), sg AS (
@@ -481,9 +482,10 @@ def _gate_open(spark, sf_dir):
     return reports.gate_after_acknowledgments(signed, _acks(signed), "2026-01-01", s.io_waste(n, f))
 
 
-@register("query_coalesced", _SIGNED.rstrip() + " SELECT signature, count(*) AS seen_count FROM sg GROUP BY signature HAVING bool_or(n > 24)")
+@register("query_coalesced", _SIGNED.replace("> 8)", "> 3)").rstrip() + " SELECT signature, count(*) AS seen_count FROM sg GROUP BY signature HAVING bool_or(n > 9)")
 def _query_coalesced(spark, sf_dir):
-    signed = _signed(spark, sf_dir)
+    """Parents of more than three children, critical from ten on: a signature is as severe as its worst finding."""
+    signed = _signed(spark, sf_dir, 3)
     stored = signed.select("signature", F.lit("").alias("gk"), F.lit("").alias("gv"), "severity", F.lit(1).cast("long").alias("seen_count"), F.col("first_timestamp").alias("first_seen"), F.col("last_timestamp").alias("last_seen"))
     return reports.query_coalesced(stored, "critical").select("signature", "seen_count")
 
