@@ -21,6 +21,8 @@ from wattspan.llm.common import batch_blocks
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Open windows of a task; beyond this they are consolidated, which loses nothing.
 MAX_OPEN = 4096
+#: Bytes of text that are cut and looked up at once; the arrays of a block take about forty times as much.
+BLOCK = 250_000
 
 
 class Packer:
@@ -146,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         def table(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        for part, texts in batch_blocks(batches, "_text"):
+        for part, texts in batch_blocks(batches, "_text", BLOCK):
             rows: list[tuple] = []
             for doc, ids in zip(part.column("_id").to_pylist(), bpe.ids(texts), strict=True):
                 rows += packer.add(doc, np.concatenate([ids, end]))
