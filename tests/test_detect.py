@@ -159,3 +159,25 @@ def test_open_statements_of_a_huge_trace(spark):
     assert got == want and max(got.values()) > 30 and len(want) > 6_000
     saturated = {r.trace_id: r.pattern.occurrences for r in d.detect_pool_saturation(n, 20).collect()}
     assert saturated == {"t1": max(v for (trace, _), v in want.items() if trace == "t1")}
+
+
+def test_serialized_calls_of_a_huge_parent_are_cut_where_it_idles(spark):
+    """One parent with most children, with ties, children of no duration and children over many blocks; both scans agree with a plain walk."""
+    import random
+
+    rng = random.Random(4)
+    rows = [span(i, f"SELECT a{i % 3} FROM t", rng.randrange(0, 90_000), parent="root", us=rng.choice([0, 1_000, 20_000, 40_000, 2_500_000 * (i % 50 == 0)])) for i in range(3_000)]
+    rows += [span(i, f"SELECT a{i // 30 % 2} FROM t", rng.randrange(0, 40), trace=f"small{i % 30}", parent="p", us=rng.choice([0, 5_000])) for i in range(240)]
+    n = frame(spark, rows)
+    children: dict = {}
+    for r in n.collect():
+        children.setdefault(r.trace_id, []).append({"start": r.ts_ms * 1000, "ord": r.ord, "span_id": r.span_id, "end": r.ts_ms * 1000 + r.duration_us})
+    order = ("start", "ord", "span_id", "end")
+    want = {(t, x) for t, own in children.items() for x in d._longest_chain(sorted(own, key=lambda s: tuple(s[k] for k in order)))}
+    for large in (1_000, 10_000):
+        chains = d.serialized_chains(n, 3, large).collect()
+        assert {(r.trace_id, r.span_id) for r in chains} == want and len(chains) == len(want)
+    timed = spark.createDataFrame([("t", "p", 3_000, s["start"], s["end"], s["ord"], s["span_id"]) for s in children["t1"]], "trace_id string, parent string, n int, start long, end long, ord long, span_id string")
+    sizes = [sorted(r["count"] for r in d.busy_segments(timed, large).groupBy("segment").count().collect()) for large in (1_000, 10_000)]
+    assert sizes[0] == sizes[1] and len(sizes[0]) > 20 and sizes[0][-1] < 1_500
+    assert {r.trace_id for r in d.detect_serialized(n, 3, 1_000).collect()} == {t for t, own in children.items() if sum(x == t for x, _ in want) >= 3}

@@ -213,6 +213,8 @@ def detect_chatty(normalized: DataFrame, minimum: int = _D.chatty) -> DataFrame:
 
 #: Microseconds of a block of the scan over open statements; it has a row for each different time in it.
 BLOCK_US = 1_000_000
+#: A parent with more children than this is scanned in blocks of time as well.
+LARGE_PARENT = 10_000
 
 
 def _concurrency(normalized: DataFrame, threshold: int) -> DataFrame:
@@ -258,8 +260,8 @@ def pool_peak_spans(normalized: DataFrame, threshold: int = _D.pool) -> DataFram
     return sql.join(peak, keys).filter((start <= F.col("peak_t")) & (F.col("peak_t") < start + F.col("duration_us"))).select("trace_id", "service", "span_id")
 
 
-def _longest_chain(spans: list[dict], minimum: int) -> list[str] | None:
-    """Of the children of one parent the longest chain that never overlaps: spans by end, then start order; inclusion on ties."""
+def _longest_chain(spans: list[dict]) -> list[str]:
+    """Of some children of one parent the longest chain that never overlaps: spans by end, then start order; inclusion on ties."""
     from bisect import bisect_right
 
     spans = sorted(spans, key=lambda s: s["end"])
@@ -271,41 +273,71 @@ def _longest_chain(spans: list[dict], minimum: int) -> list[str] | None:
     chain, i = [], len(spans)
     while i:
         if best[before[i - 1]] + 1 >= best[i - 1]:
-            chain.append(spans[i - 1])
+            chain.append(spans[i - 1]["span_id"])
             i = before[i - 1]
         else:
             i -= 1
-    if len(chain) < minimum or len({s["template"] for s in chain}) < 2:
-        return None
-    return [s["span_id"] for s in chain[::-1]]
+    return chain[::-1]
 
 
-def _chains(minimum: int):
-    def run(batches):
-        import pyarrow as pa
+def _chains(batches):
+    import pyarrow as pa
 
-        for batch in batches:
-            ids = [_longest_chain(x, minimum) for x in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("trace_id"), batch.column("parent"), pa.array(ids, pa.list_(pa.string()))], ["trace_id", "parent", "ids"])
+    for batch in batches:
+        ids = [_longest_chain(x) for x in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("trace_id"), batch.column("parent"), pa.array(ids, pa.list_(pa.string()))], ["trace_id", "parent", "ids"])
 
-    return run
 
+def _cut(rows: DataFrame, by: list[str], reach: Column) -> DataFrame:
+    """rows with segment, the running count of the starts at which nothing that began before them, nor ``reach``, still runs."""
+    in_order = Window.partitionBy(*by).orderBy("start", "ord", "span_id")
+    latest = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    idle = rows.withColumn("idle", F.coalesce(F.col("start") >= F.greatest(latest, reach), F.lit(True)).cast("long"))
+    return idle.withColumn("segment", F.sum("idle").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
-def serialized_chains(normalized: DataFrame, minimum: int = _D.serialized) -> DataFrame:
-    """trace_id, parent and the span ids of the longest chain of siblings that could run at once; of groups with enough children only."""
+
+def busy_segments(children: DataFrame, large: int = LARGE_PARENT) -> DataFrame:
+    """children (trace_id, parent, n, start, end, ord, span_id) with segment: a parent's children are cut wherever none of them runs.
+
+    Parents of over ``large`` children are scanned in two levels, within blocks of time and over the blocks, so that their
+    children are spread; the segments are the same.
+    """
+    keys = ["trace_id", "parent"]
+    none = F.lit(None).cast("long")
+    small = _cut(children.filter(F.col("n") <= large), keys, none)
+    rows = children.filter(F.col("n") > large).withColumn("block", F.floor(F.col("start") / BLOCK_US))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy(*keys, "block").agg(F.max("end").alias("top"))
+    reach = tops.select(*keys, "block", F.max("top").over(earlier).alias("reach"))
+    cut = _cut(rows.join(reach, [*keys, "block"]), [*keys, "block"], F.col("reach"))
+    counts = cut.groupBy(*keys, "block").agg(F.sum("idle").alias("own"))
+    seen = counts.select(*keys, "block", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("seen"))
+    spread = cut.join(seen, [*keys, "block"]).withColumn("segment", F.col("segment") + F.col("seen"))
+    return small.drop("idle").unionByName(spread.drop("idle", "block", "reach", "seen"))
+
+
+def serialized_chains(normalized: DataFrame, minimum: int = _D.serialized, large: int = LARGE_PARENT) -> DataFrame:
+    """trace_id, parent and span_id of each span of the longest chain of siblings that never overlap; of parents with enough children only.
+
+    Spans of different segments never overlap, so a parent's longest chain is that of each of its segments, one after the
+    other, ties included. One task holds a segment, not a parent.
+    """
     start = F.col("ts_ms") * 1000
     timed = _children(normalized).filter("ts_ms is not null").select("trace_id", F.col("parent_span_id").alias("parent"), "span_id", "ord", "template", start.alias("start"), (start + F.col("duration_us")).alias("end"))
-    groups = timed.groupBy("trace_id", "parent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template").alias("t"), F.sort_array(F.collect_list(F.struct("start", "ord", "span_id", "end", "template"))).alias("spans"))
-    found = groups.filter((F.col("n") >= minimum) & (F.col("t") >= 2)).select("trace_id", "parent", "spans")
-    return found.mapInArrow(_chains(minimum), "trace_id string, parent string, ids array<string>").filter("ids is not null")
+    enough = timed.groupBy("trace_id", "parent").agg(F.count(F.lit(1)).alias("n"), F.min("template").alias("a"), F.max("template").alias("b"))
+    enough = enough.filter((F.col("n") >= minimum) & (F.col("a") != F.col("b"))).select("trace_id", "parent", "n")
+    segments = busy_segments(timed.drop("template").join(enough, ["trace_id", "parent"]), large)
+    groups = segments.groupBy("trace_id", "parent", "segment").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "span_id", "end"))).alias("spans"))
+    found = groups.select("trace_id", "parent", "spans").mapInArrow(_chains, "trace_id string, parent string, ids array<string>")
+    return found.select("trace_id", "parent", F.explode("ids").alias("span_id"))
 
 
-def detect_serialized(normalized: DataFrame, minimum: int = _D.serialized) -> DataFrame:
+def detect_serialized(normalized: DataFrame, minimum: int = _D.serialized, large: int = LARGE_PARENT) -> DataFrame:
     """Siblings that run one after the other although their templates differ."""
-    chains = serialized_chains(normalized, minimum)
-    links = chains.select("trace_id", "parent", F.explode("ids").alias("span_id"))
+    links = serialized_chains(normalized, minimum, large)
     spans = _children(normalized).withColumn("parent", F.col("parent_span_id")).join(links, ["trace_id", "parent", "span_id"])
     groups = spans.groupBy("trace_id", "parent").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("template").alias("distinct"), F.sum("duration_us").alias("total"), F.max("duration_us").alias("most"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative())
+    groups = groups.filter((F.col("n") >= minimum) & (F.col("distinct") >= 2))
     text = F.format_string("%d calls take %d ms in a row; at once they would take %d ms.", F.col("n"), F.floor(F.col("total") / 1000), F.floor(F.col("most") / 1000))
     return _findings(groups, F.lit("serialized_calls"), F.lit("info"), F.col("n"), F.col("distinct"), text, timed=False, evidence=F.sort_array("ids"))
 
