@@ -1,4 +1,4 @@
-"""From raw trace spans to I/O spans: clean, classify, walk the span tree, drop and stitch layered spans."""
+"""From raw trace spans to I/O spans: clean, classify, walk the span tree, drop layered spans."""
 
 from __future__ import annotations
 
@@ -193,46 +193,6 @@ def suppress_layered_duplicates(spans: DataFrame, max_hops: int = MAX_HOPS) -> D
     return spans.join(layered_duplicates(spans, max_hops), ["trace_id", "span_id"], "left_anti")
 
 
-def _stitch(pdf):
-    """One trace: each orphan, by start, takes the statement of its nearest unused donor of the same parent, or of its ancestors or descendants."""
-    rows = pdf.sort_values(["ts_ms", "span_id"]).to_dict("records")
-    by_id = {r["span_id"]: r for r in rows}
-
-    def line(r):
-        out, hops = [], 0
-        while (r := by_id.get(r["parent_span_id"])) is not None and hops < MAX_HOPS:
-            out.append(r["span_id"])
-            hops += 1
-        return out
-
-    lines = {r["span_id"]: line(r) for r in rows}
-    donors = [r for r in rows if r["target"]]
-    used: set = set()
-    for orphan in (r for r in rows if not r["target"] and r["orphan"]):
-        own = [d for d in donors if d["parent_span_id"] == orphan["parent_span_id"] and d["ts_ms"] <= orphan["ts_ms"]][-8:]
-        own += [d for d in donors if d["span_id"] in lines[orphan["span_id"]] or orphan["span_id"] in lines[d["span_id"]]]
-        if own:
-            best = min(own, key=lambda d: (d["span_id"] in used, d["ts_ms"] > orphan["ts_ms"], abs(orphan["ts_ms"] - d["ts_ms"]), d["span_id"]))
-            orphan["target"] = best["target"]
-            used.add(best["span_id"])
-    import pandas as pd
-
-    kept = [r for r in rows if r["span_id"] not in used]
-    return pd.DataFrame(kept, columns=pdf.columns)
-
-
-def stitch_split_spans(spans: DataFrame) -> DataFrame:
-    """Statement spans and execute spans of one query become one. spans: trace_id, span_id, parent_span_id, ts_ms, target, orphan.
-
-    Greedy and order-dependent, so a trace is one group; only traces with an orphan are sent to Python.
-    """
-    columns = ["trace_id", "span_id", "parent_span_id", "ts_ms", "target", "orphan"]
-    slim = spans.select(*columns)
-    with_orphan = slim.filter("orphan and target is null").select("trace_id").distinct()
-    stitched = slim.join(with_orphan, "trace_id", "left_semi").groupBy("trace_id").applyInPandas(_stitch, slim.schema)
-    return slim.join(with_orphan, "trace_id", "left_anti").unionByName(stitched)
-
-
 def sample_traces(spans: DataFrame, rate: float) -> DataFrame:
     """Whole traces at a rate: those whose FNV-1a hash of the id, as a share of all hashes, is below it. Spans without an id go
     unless the rate is 1 or more."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattspan.operators import ingest, reports
+from wattspan.operators import ingest, reports, stitch
 from wattspan.plans.registry import register
 from wattspan.sources.derived import read_tables
 
@@ -53,6 +53,20 @@ def _ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.ancestors(deep_spans(spark, sf_dir))
 
 
+@register("orphan_carriers_deep", _SQL + """, o AS (
+  SELECT trace_id, span_id FROM d
+  WHERE event_type IS NULL AND (event_id % 2 = 0 OR (trace_id, parent_span_id) IN (SELECT (trace_id, parent_span_id) FROM d WHERE event_type = 'sql' AND parent_span_id IS NOT NULL))
+), above AS (
+  SELECT up.trace_id, up.span_id, arg_max(up.ancestor, hop) AS carrier
+  FROM up JOIN o a ON a.trace_id = up.trace_id AND a.span_id = up.ancestor GROUP BY up.trace_id, up.span_id
+)
+SELECT o.trace_id, o.span_id, carrier FROM o LEFT JOIN above ON above.trace_id = o.trace_id AND above.span_id = o.span_id""")
+def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = F.when(F.col("event_type") == "sql", F.col("target"))
+    execute = {"target": statement, "orphan": F.col("event_type").isNull(), "sql_system": F.col("event_id") % 2 == 0}
+    return stitch.orphan_carriers(deep_spans(spark, sf_dir).withColumns(execute))
+
+
 @register("layered_duplicates_deep", _SQL + """
 SELECT DISTINCT s.trace_id, s.span_id FROM d s JOIN up ON up.trace_id = s.trace_id AND up.span_id = s.span_id JOIN d a ON a.trace_id = up.trace_id AND a.span_id = up.ancestor
 WHERE s.event_type = 'sql' AND a.event_type = 'sql' AND a.target = s.target""")

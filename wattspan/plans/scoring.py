@@ -10,6 +10,7 @@ from wattspan.operators import detect as d
 from wattspan.operators import energy as e
 from wattspan.operators import ingest, periodic, reports
 from wattspan.operators import score as s
+from wattspan.operators import stitch
 from wattspan.plans.detection import _N1, LIMITS, normalized
 from wattspan.plans.registry import register
 from wattspan.sources import archive
@@ -702,7 +703,7 @@ WHERE NOT EXISTS (SELECT 1 FROM pk u WHERE u.trace_id = k.trace_id AND u.pick =
 def _stitch(spark, sf_dir):
     spans = order_spans(spark, sf_dir).filter("event_type = 'sql'")
     split = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms", F.when(F.col("ord") % 5 != 0, F.col("target")).alias("target"), (F.col("ord") % 5 == 0).alias("orphan"))
-    return ingest.stitch_split_spans(split)
+    return stitch.stitch_split_spans(split)
 
 
 @register("suppress_layered_duplicates", SPANS_SQL.rstrip() + """ SELECT c.span_id FROM spans c LEFT JOIN spans p ON c.parent_span_id = p.span_id AND c.trace_id = p.trace_id AND p.event_type = 'sql' AND c.event_type = 'sql' AND p.target = c.target WHERE p.span_id IS NULL""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wattspan.functions.normalize import sql_template, sql_tokens
 from wattspan.functions.times import epoch_ms, iso_ms
 from wattspan.operators import ingest as i
+from wattspan.operators.stitch import stitch_decisions
 from wattspan.schema import SPANS
 
 _KEY_VALUE = "array<struct<key:string,value:struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>>>"
@@ -90,6 +91,8 @@ def classify_raw(raw: DataFrame) -> DataFrame:
 
 #: Names of execute spans, whose statement another span carries.
 _EXECUTES = "(?i)execute|query"
+#: Attributes of spans that are no statement's execution, whatever their name.
+_NO_EXECUTE = ("http.url", "url.full", "http.method", "http.request.method", "rpc.system", "messaging.system")
 
 
 def convert(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) -> tuple[DataFrame, DataFrame]:
@@ -115,15 +118,16 @@ def convert(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) ->
     # one walk serves all that spans take from their ancestors
     walk = i.ancestors(kept, carry=("route", "frame", "scope", "code", "statement", "link")).persist()
     merged = i.layered_duplicates(kept, walk=walk)
-    orphan = F.coalesce((F.col("reason") == "missing_db_statement") & F.col("name").rlike(_EXECUTES), F.lit(False))
+    system = i.db_system(a)
+    other = F.coalesce(*(a[c] for c in _NO_EXECUTE)).isNotNull() | F.coalesce(system.isin(*i.NON_SQL), F.lit(False))
+    orphan = F.coalesce(F.col("io").isNull() & ~other & F.col("name").rlike(_EXECUTES), F.lit(False))
     whole = kept.withColumn("_statement", F.lit(None).cast("string"))
     if not kept.filter(orphan).isEmpty():
-        part = kept.join(merged, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id", "parent_span_id", "ts_ms", statement.alias("target"), orphan.alias("orphan"))
-        stitched = i.stitch_split_spans(part).persist()
-        donors = part.filter("target is not null").join(stitched, ["trace_id", "span_id"], "left_anti").select("trace_id", "span_id")
-        merged = merged.unionByName(donors)
-        taken = stitched.filter("orphan and target is not null").select("trace_id", "span_id", F.col("target").alias("_statement"))
-        whole = kept.join(taken, ["trace_id", "span_id"], "left")
+        part = kept.join(merged.withColumn("suppressed", F.lit(True)), ["trace_id", "span_id"], "left")
+        part = part.select("trace_id", "span_id", "parent_span_id", "ts_ms", F.col("statement").alias("target"), orphan.alias("orphan"), F.coalesce(system.isin(*i.SQL_SYSTEMS), F.lit(False)).alias("sql_system"), "suppressed")
+        decided = stitch_decisions(part, walk).persist()
+        merged = merged.unionByName(decided.filter("statement is null").select("trace_id", "span_id"))
+        whole = kept.join(decided.filter("statement is not null").withColumnRenamed("statement", "_statement"), ["trace_id", "span_id"], "left")
     whole = whole.join(merged.distinct().withColumn("_merged", F.lit(True)), ["trace_id", "span_id"], "left")
     made = F.struct(F.lit("sql").alias("event_type"), F.col("_statement").alias("target"), F.upper(F.regexp_extract("_statement", r"^\s*(\w+)", 1)).alias("operation"))
     io = F.when(F.col("_merged"), None).when(F.col("_statement").isNotNull(), made).otherwise(F.col("io"))
