@@ -97,6 +97,14 @@ def _short(event_type: str = "event_type") -> Column:
 _GROUP = ("trace_id", "event_type", "template", "gk", "gv")
 
 
+def _frequent(spans: DataFrame, minimum: int, *keys: str) -> DataFrame:
+    """spans without those of groups of fewer than ``minimum``. Groups are counted by a 64-bit hash of their keys, before texts
+    and lists of them are gathered; two that share a hash only stay longer."""
+    hashed = spans.withColumn("_group", F.xxhash64(*keys))
+    many = hashed.groupBy("trace_id", "_group").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= minimum)
+    return hashed.join(many.select("trace_id", "_group"), ["trace_id", "_group"], "left_semi").drop("_group")
+
+
 def sequential_siblings(normalized: DataFrame) -> DataFrame:
     """Per (trace, type, template, grouping): whether at least three spans of one parent run strictly one after the other."""
     in_order = Window.partitionBy(*_GROUP).orderBy("ts_ms", "ord", "span_id")
@@ -108,7 +116,7 @@ def sequential_siblings(normalized: DataFrame) -> DataFrame:
 
 def n_plus_one_groups(normalized: DataFrame, threshold: int = _D.n_plus_one) -> DataFrame:
     """Groups of at least ``threshold`` spans with what the direct and the heuristic rules need."""
-    keyed = _keyed(normalized)
+    keyed = _frequent(_keyed(normalized), threshold, *_GROUP)
     agg = keyed.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("same").alias("distinct"), F.bool_and("bare").alias("bare"),
         F.bool_or(F.exists(F.coalesce("instrumentation_scopes", F.array().cast("array<string>")), lambda s: s.rlike(_ORM))).alias("orm"), *timing_stats(), *_bounds(), _representative(),
@@ -141,7 +149,7 @@ def detect_n_plus_one(normalized: DataFrame, threshold: int = _D.n_plus_one, win
 
 
 def _redundant_groups(normalized: DataFrame, n_plus_one: DataFrame) -> DataFrame:
-    keyed = _keyed(normalized).filter("event_type <> 'messaging'")
+    keyed = _frequent(_keyed(normalized).filter("event_type <> 'messaging'"), 2, *_GROUP, "same")
     fired = n_plus_one.select("trace_id", F.col("pattern.template").alias("template"), _identity("key").alias("gk"), _identity("value").alias("gv")).distinct()
     groups = keyed.groupBy(*_GROUP, "same").agg(F.count(F.lit(1)).alias("n"), F.collect_list("span_id").alias("ids"), *_bounds(), _representative())
     return groups.filter("n >= 2").join(fired, ["trace_id", "template", "gk", "gv"], "left_anti")
