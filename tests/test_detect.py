@@ -181,3 +181,32 @@ def test_serialized_calls_of_a_huge_parent_are_cut_where_it_idles(spark):
     sizes = [sorted(r["count"] for r in d.busy_segments(timed, large).groupBy("segment").count().collect()) for large in (1_000, 10_000)]
     assert sizes[0] == sizes[1] and len(sizes[0]) > 20 and sizes[0][-1] < 1_500
     assert {r.trace_id for r in d.detect_serialized(n, 3, 1_000).collect()} == {t for t, own in children.items() if sum(x == t for x, _ in want) >= 3}
+
+
+def test_variation_does_not_depend_on_the_order_of_spans(spark):
+    """1000 * deviation / mean is exactly 437.5 here, so 438; running means over some orders of the values give 437."""
+    from itertools import permutations
+
+    values = [11000, 27000, 17000, 9000]
+    rows = [(i, x) for i, p in enumerate(permutations(values)) for x in p] + [(-1, 15_000), (-1, 17_000), (-2, 7), (-3, 0), (-3, 0)]
+    got = {r.g: r.cv for r in spark.createDataFrame(rows, "g int, duration_us long").coalesce(1).groupBy("g").agg(*d.timing_stats()).collect()}
+    assert {v for g, v in got.items() if g >= 0} == {438} and (got[-1], got[-2], got[-3]) == (63, 0, 0)
+
+
+@pytest.mark.parametrize("mode", ["auto", "strict", "always"])
+def test_repeats_in_one_pass_equal_the_two_detectors_and_deal_spans_once(spark, mode):
+    import random
+
+    rng = random.Random(7)
+    target = {"sql": lambda: f"SELECT * FROM t{rng.randrange(3)} WHERE id = {rng.choice([1, 2, rng.randrange(99), '?'])}", "http_out": lambda: f"http://a/{rng.choice('xy')}/{rng.randrange(3)}", "messaging": lambda: "orders"}
+    rows = []
+    for i in range(1_500):
+        kind = rng.choice(list(target))
+        rows.append(span(i, target[kind](), rng.randrange(600), trace=f"t{i % 40}", kind=kind, us=rng.randrange(1, 30_000), parent=rng.choice(["p", "p", None]), grouping=[("ns", "x")] if rng.random() < 0.1 else ()))
+    n = frame(spark, rows)
+    n1 = d.detect_n_plus_one(n, 4, 500, mode)
+    row = lambda f: [str((r.type, r.severity, r.trace_id, r.grouping, r.source_endpoint, r.pattern, r.first_timestamp, r.last_timestamp, r.classification_method, r.evidence, r.suggestion)) for r in f.collect()]
+    both = row(d.detect_repeats(n, 4, 500, mode))
+    assert sorted(both) == sorted(row(n1) + row(d.detect_redundant(n, n1))) and len(set(both)) > 40
+    plan = d.detect_repeats(n.repartition(3, "trace_id"), 4, 500, mode)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
