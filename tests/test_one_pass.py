@@ -47,3 +47,15 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
         counts.append(derived.order_spans(spark, "/root/testdata/sf0.001").rdd.getNumPartitions())
     assert counts[0] == spark.sparkContext.defaultParallelism and counts[1] > 50
 
+
+#: evidence
+
+
+def test_fanout_and_serialized_calls_are_found_in_one_pass(spark):
+    n = dealt(spark, "evidence")
+    # Spark forgets how rows are dealt where Python finds the chains, so these are dealt once more
+    assert passes(d.detect_fanout(n, 8)) == (1, 1) and passes(d.detect_serialized(n, 3, None)) == (1, 2)
+    rows = lambda found: sorted(str(r) for r in found.collect())
+    at_once = rows(d.detect_serialized(n, 3, None))
+    assert at_once == rows(d.detect_serialized(spans(spark), 3, 100)) and len(at_once) == 10
+
