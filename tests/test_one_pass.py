@@ -59,3 +59,17 @@ def test_fanout_and_serialized_calls_are_found_in_one_pass(spark):
     at_once = rows(d.detect_serialized(n, 3, None))
     assert at_once == rows(d.detect_serialized(spans(spark), 3, 100)) and len(at_once) == 10
 
+
+#: all findings
+
+
+def test_findings_are_sorted_after_one_run_of_the_detectors(spark):
+    n = dealt(spark, "all")
+    kept = d.kept_spans(n, dealt=True)
+    kept.count()  # Spark knows how kept rows are dealt once they are there
+    parts = [d.detect_repeats(kept, 5, 500), d.detect_chatty(kept, 2), d.detect_slow(kept, 25, 3)]
+    assert all(x._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("Exchange") == 0 for x in parts)
+    ordered = d.sort_findings(parts[1])._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert ordered.count("Exchange hashpartitioning") == 1 and ordered.count("Exchange rangepartitioning") == 1
+    kept.unpersist()
+    spark.catalog.clearCache()
