@@ -24,13 +24,16 @@ class Report:
     gate: DataFrame
 
 
-def analyze(spans: DataFrame, thresholds: Thresholds | None = None, confidence: str = "ci_batch", **context) -> Report:
-    """Findings with impact, fix, confidence and signature, the green summary, endpoint counts and the gate."""
+def analyze(spans: DataFrame, thresholds: Thresholds | None = None, confidence: str = "ci_batch", dealt: bool = False, **context) -> Report:
+    """Findings with impact, fix, confidence and signature, the green summary, endpoint counts and the gate. ``dealt``: the spans are dealt by trace."""
     n = normalize_spans(spans)
-    raw = detect.detect_all(n, thresholds or Thresholds())
-    stats = score.endpoint_stats(spans)
+    kept = detect.kept_spans(n, dealt)
+    raw = detect.detect_all(kept, thresholds or Thresholds(), dealt=True)
+    # a row for each endpoint; once they are counted, Spark knows how few they are and copies them to the findings
+    stats = score.endpoint_stats(kept).persist()
+    stats.count()
     findings = reports.finding_signature(reports.stamp_confidence(enrich_suggestions(score.enrich_findings_with_iis(raw, stats)), confidence))
-    return Report(detect.sort_findings(findings), score.green_summary(n, raw, **context), stats, reports.quality_gate(raw, score.io_waste(n, raw)))
+    return Report(detect.sort_findings(findings), score.green_summary(n, raw, **context), stats, reports.quality_gate(raw, score.io_waste(kept, raw)))
 
 
 @register("enrich_suggestions", SPANS_SQL.rstrip() + """
@@ -45,4 +48,4 @@ def _suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattspan.sources.derived import order_spans
 
-    return analyze(order_spans(spark, sf_dir), LIMITS).findings.select("type", "severity", "trace_id", "service", "source_endpoint", "confidence", "signature", F.col("green_impact.estimated_extra_io_ops").alias("extra_io_ops"))
+    return analyze(order_spans(spark, sf_dir), LIMITS, dealt=True).findings.select("type", "severity", "trace_id", "service", "source_endpoint", "confidence", "signature", F.col("green_impact.estimated_extra_io_ops").alias("extra_io_ops"))
