@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import join_by_key, materialise, without
+from wattspan.llm.common import discard, join_by_key, materialise, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits of a block of the hit filter, and its blocks: at most 2048 blocks of 4 KiB, 8 MiB, are broadcast.
 FILTER_BITS, FILTER_BLOCKS = 32768, 2048
-_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
+_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def normalised(text):
@@ -74,7 +74,9 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest", memtables: int = 8
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
     digests = materialise(rows.select("id", F.sha2("norm", 256).alias("digest")), "digests")
-    level = compact(flush_runs(digests, memtables, keep), keep)
+    runs = flush_runs(digests, memtables, keep)
+    level = compact(runs, keep)
+    discard(runs)
     total = digests.count()
 
     hits = _may_hit(rows.withColumn("digest", F.sha2("norm", 256)), hit_filter(level))
