@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import HOT_SHARE, batch_blocks, components, discard, join_by_key, key_filter, materialise, with_passes, without
+from wattspan.llm.common import HOT_SHARE, batch_blocks, components, discard, join_by_key, key_filter, map_texts, materialise, with_passes, without
 from wattspan.llm.segments import Words, hash_ranges, hash_runs, mix
 
 SHINGLE, SAMPLES, ROWS, BITS = 5, 160, 5, 1024
@@ -169,7 +169,7 @@ def _numbered(reps: DataFrame) -> DataFrame:
 
 def judged(source: DataFrame, percent: int, method: Method) -> DataFrame:
     """doc_id, x, c, n_shingles, component_id and kept of each row of ``source`` (see keyed)."""
-    features = materialise(source.mapInArrow(method.features, method.features_schema), "features")
+    features = materialise(map_texts(source, method.features, method.features_schema), "features")
     same = features.filter("n_shingles > 0").groupBy("k1", "k2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "x", "c")).alias("first")
     reps = same.agg(first, F.count(F.lit(1)).alias("size"), *(F.any_value(c).alias(c) for c in ("n_shingles", *method.columns)))
@@ -308,7 +308,7 @@ def _roots(source: DataFrame, reps: DataFrame, percent: int, method: Method) ->
     keys = key_filter(involved, F.xxhash64("id", "rx", "rc"))
     texts = with_passes(source.withColumn("key", F.xxhash64("doc_id", "x", "c")), keys, "key").filter("passes")
     own = texts.doc_id.eqNullSafe(F.col("id")) & (texts.x == F.col("rx")) & (texts.c == F.col("rc"))
-    sets = materialise(texts.join(involved.hint("shuffle_hash"), own).select("rep", "text").mapInArrow(method.sets, method.sets_schema), "sets")
+    sets = materialise(map_texts(texts.join(involved.hint("shuffle_hash"), own).select("rep", "text"), method.sets, method.sets_schema), "sets")
     links = _links(pairs, reps, sets, percent, method)
     discard(pairs, involved)
 

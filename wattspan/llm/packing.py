@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks
+from wattspan.llm.common import batch_blocks, map_texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Open windows of a task; beyond this they are consolidated, which loses nothing.
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         def table(rows: list[tuple]):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        for part, texts in batch_blocks(batches, "_text", BLOCK):
+        for part, texts in batch_blocks(batches, "_text", BLOCK, keep=shared):
             rows: list[tuple] = []
             for doc, ids in zip(part.column("_id").to_pylist(), bpe.ids(texts), strict=True):
                 rows += packer.add(doc, np.concatenate([ids, end]))
@@ -157,4 +157,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: i
         if rows := packer.consolidate(last=True):
             yield table(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, SCHEMA)
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), run, SCHEMA)

@@ -14,13 +14,12 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks
+from wattspan.llm.common import batch_blocks, once_a_worker
 from wattspan.llm.segments import BASES, WordIndex, hash_ranges, mix
 
 SPACE = "▁"
@@ -267,7 +266,7 @@ class PieceModel:
         return [x[1:] if self.prefix and x[:1] == " " else x for x in cut]
 
 
-@lru_cache(1)
+@once_a_worker
 def shared(path: str) -> PieceModel:
     """One for all tasks of a worker."""
     return PieceModel(path)
@@ -300,7 +299,7 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, id_col: str = "
         import pyarrow as pa
 
         model = shared(path)
-        for part, texts in batch_blocks(batches, "text"):
+        for part, texts in batch_blocks(batches, "text", keep=shared):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), _id_lists(model.encode(texts))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -333,7 +332,7 @@ def encode_digests(docs: DataFrame, model_path: str | None = None, id_col: str =
         import pyarrow as pa
 
         model = shared(path)
-        for part, texts in batch_blocks(batches, "text"):
+        for part, texts in batch_blocks(batches, "text", keep=shared):
             ids = model.encode(texts)
             back = model.decode(ids)
             same = [b == (t or "").replace(SPACE, " ") for b, t in zip(back, texts, strict=True)]

@@ -7,10 +7,9 @@ vocabulary's BPE model once a worker. Any other text goes to the tokenizer whole
 from __future__ import annotations
 
 import re
-from functools import lru_cache
-
 import numpy as np
 
+from wattspan.llm.common import once_a_worker
 from wattspan.llm.segments import WordIndex, hash_ranges
 
 #: Texts of these characters only, without special-token strings, are cut by byte class.
@@ -91,7 +90,7 @@ class WordBpe:
         return out
 
 
-@lru_cache(1)
+@once_a_worker
 def shared(path: str) -> WordBpe:
     """One for all tasks of a worker."""
     return WordBpe(path)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspan.llm.common import batch_blocks, materialise
+from wattspan.llm.common import batch_blocks, map_texts, materialise
 
 #: Labelled rows of a fit, lexicon entries and words known to be clean: the bounds of all that the driver holds.
 SAMPLE, LEXICON, CLEAN = 12_000, 3_000, 5_000
@@ -197,7 +197,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     n_neg, n_pos = (rows.filter(F.col("toxic") == k).count() for k in (0, 1))
     if not n_pos or not n_neg:
         return ToxicityModel({}, {}, weights=[0.0] * len(FEATURES) + [-5.0])
-    counts = rows.mapInArrow(_word_counts, "term string, stem int, pos long, neg long").groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = map_texts(rows, _word_counts, "term string, stem int, pos long, neg long").groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     counts = materialise(counts, "words")
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     # so many toxic documents that no word out of exp(12) would gather them by chance
@@ -213,7 +213,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
     model = ToxicityModel(terms, stems)
     clean = counts.filter("stem = 0 and neg > 0 and pos <= 3 * neg").select("term", "neg").mapInArrow(_fuzzy_words(model), "term string, neg long")
     model.clean = frozenset(r.term for r in clean.orderBy(F.desc("neg"), "term").limit(CLEAN).collect())
-    learned = rows.mapInArrow(_feature_rows(model, ["toxic"]), "toxic int, features array<double>").collect()
+    learned = map_texts(rows, _feature_rows(model, ["toxic"]), "toxic int, features array<double>").collect()
     model.weights = _logistic(np.array([r.features for r in learned]), np.array([r.toxic for r in learned], float))
     return model
 
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
             features = np.array(part.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.probability(features)), part.column("features")], ["doc_id", "score", "features"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double, features array<double>")
+    scored = map_texts(rows, run, "doc_id long, score double, features array<double>")
     return scored.select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "features")
 
 
@@ -276,4 +276,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
             features = np.array([window_features(t, automaton) for t in texts], float).reshape(-1, len(FEATURES))
             yield part.filter(pa.array(model.probability(features) < 0.5))
 
-    return docs.select(*columns).mapInArrow(run, fields)
+    return map_texts(docs.select(*columns), run, fields)
