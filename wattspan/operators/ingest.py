@@ -140,17 +140,61 @@ def collect_scopes(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame |
     return spans.join(above, ["trace_id", "span_id"], "left").withColumn("scopes", F.array_distinct(F.concat(own, F.coalesce("_above", F.array().cast("array<string>"))))).drop("_above")
 
 
-def producer_nodes(spans: DataFrame) -> DataFrame:
-    """trace_id, span_id, sibling_link (of the CONSUMER sibling that started last at or before the span, largest span id on ties)
-    and link (its own if it is a CONSUMER, else sibling_link) of the spans that have any."""
-    consumers = spans.filter("kind = 'CONSUMER' and link_trace_id is not null and link_trace_id <> trace_id and link_trace_id <> repeat('0', 32)")
-    siblings = consumers.select("trace_id", "parent_span_id", F.col("ts_ms").alias("_ts"), F.col("span_id").alias("_id"), F.col("link_trace_id").alias("_link"))
-    asked = spans.select("trace_id", "span_id", "parent_span_id", "ts_ms")
-    fits = asked.join(siblings, ["trace_id", "parent_span_id"]).filter("_ts <= ts_ms and _id <> span_id")
-    found = fits.select("trace_id", "span_id", F.struct("_ts", "_id", "_link").alias("s"), F.lit(None).cast("string").alias("own"))
-    own = consumers.select("trace_id", "span_id", F.lit(None).cast(found.schema["s"].dataType).alias("s"), F.col("link_trace_id").alias("own"))
-    both = found.unionByName(own).groupBy("trace_id", "span_id").agg(F.max("s").alias("s"), F.max("own").alias("own"))
-    return both.select("trace_id", "span_id", F.col("s._link").alias("sibling_link"), F.coalesce("own", "s._link").alias("link"))
+def with_producer_nodes(spans: DataFrame) -> DataFrame:
+    """spans with sibling_link (of the CONSUMER sibling that started last at or before the span, largest span id on ties) and
+    link (its own if it is a CONSUMER, else sibling_link).
+
+    Siblings are scanned in their order and nothing is joined, so spans that are dealt by trace stay where they are.
+    """
+    consumer = (F.col("kind") == "CONSUMER") & (F.col("link_trace_id") != F.col("trace_id")) & (F.col("link_trace_id") != "0" * 32)
+    family, same_id = Window.partitionBy("trace_id", "parent_span_id"), Window.partitionBy("trace_id", "span_id")
+    in_order = family.orderBy("ts_ms", "span_id")
+    before, upto = (in_order.rowsBetween(Window.unboundedPreceding, end) for end in (-1, Window.currentRow))
+    timed = F.col("ts_ms").isNotNull() & F.col("span_id").isNotNull()
+    rows = spans.withColumn("_own", F.when(consumer & timed, F.struct(F.col("ts_ms").alias("ts"), F.col("span_id").alias("id"), F.col("link_trace_id").alias("to"))))
+    # a span is not its own sibling, so each CONSUMER also has the last one before it with another id
+    rows = rows.withColumn("_before", F.last("_own", True).over(before))
+    turn = F.when(F.col("_own").isNotNull() & ~F.col("_before.id").eqNullSafe(F.col("span_id")), F.struct("_before"))
+    rows = rows.withColumn("_other", F.last(turn, True).over(upto)["_before"])
+    newest = F.max(F.when(F.col("_own").isNotNull(), F.struct(F.col("_own").alias("own"), F.col("_other").alias("other")))).over(family.orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_newest", newest)
+    sibling = F.when(F.col("_newest.own.id") != F.col("span_id"), F.col("_newest.own")).otherwise(F.col("_newest.other"))
+    rows = rows.withColumn("_sibling", F.when(F.col("trace_id").isNotNull() & F.col("parent_span_id").isNotNull() & timed, sibling))
+    # rows of one id share what any of them has
+    rows = rows.withColumns({"sibling_link": F.max("_sibling").over(same_id)["to"], "link": F.max(F.when(consumer, F.col("link_trace_id"))).over(same_id)})
+    known = F.col("trace_id").isNotNull() & F.col("span_id").isNotNull()
+    rows = rows.withColumns({"sibling_link": F.when(known, F.col("sibling_link")), "link": F.when(known, F.coalesce("link", "sibling_link"))})
+    return rows.drop("_own", "_before", "_other", "_newest", "_sibling")
+
+
+def _asked(rows: DataFrame, key: Column, give: Column) -> DataFrame:
+    """rows with _got: what the span of the same trace whose id is ``key`` gives (null: nothing). Each row stands once under the id it
+    asks for and, if it gives anything, once under its own, so a lookup is a window."""
+    gives = F.col("trace_id").isNotNull() & F.col("span_id").isNotNull() & give.isNotNull()
+    place = lambda at, gift: F.struct(at.alias("at"), gift.alias("gift"), gift.isNotNull().alias("own"))
+    ask, offer = place(F.coalesce(key, F.col("span_id")), F.when(F.lit(False), give)), place(F.col("span_id"), give)
+    rows = rows.withColumn("_place", F.explode(F.when(gives, F.array(ask, offer)).otherwise(F.array(ask))))
+    got = F.max("_place.gift").over(Window.partitionBy("trace_id", "_place.at"))
+    return rows.withColumn("_got", got).filter("not _place.own").drop("_place").withColumn("_got", F.when(key.isNotNull(), F.col("_got")))
+
+
+def _nearest_above(rows: DataFrame, max_hops: int) -> DataFrame:
+    """rows (with link) with _above: the link of the nearest ancestor that has any, within ``max_hops``; walks stop as those of ``ancestors``.
+
+    Each span keeps the nearest link of itself and the spans above it, and the id above those; what the span with that id
+    keeps doubles their number (or, for an odd number, adds one). So eight hops are four lookups.
+    """
+    parent = F.when(F.col("parent_span_id") != F.col("span_id"), F.col("parent_span_id"))
+    gift = lambda near, at: F.when(near.isNotNull() | at.isNotNull(), F.struct(near.alias("near"), F.when(near.isNull(), at).alias("at")))
+    own = gift(F.when(F.col("link").isNotNull(), F.struct(F.col("link").alias("to"), F.col("span_id").alias("id"))), parent)
+    rows = rows.withColumn("_kept", own)
+    for bit in f"{max_hops:b}"[1:]:
+        for give in [F.col("_kept")] + [own] * (bit == "1"):
+            rows = _asked(rows, F.col("_kept.at"), give)
+            rows = rows.withColumn("_kept", gift(F.coalesce("_kept.near", "_got.near"), F.col("_got.at"))).drop("_got")
+    rows = _asked(rows, F.when(F.col("sibling_link").isNull(), parent), F.col("_kept"))
+    # on a cycle the walk comes back to the span itself and ends there
+    return rows.withColumn("_above", F.when(F.col("_got.near.id") != F.col("span_id"), F.col("_got.near.to"))).drop("_kept", "_got")
 
 
 def resolve_producer_link(spans: DataFrame, max_hops: int = MAX_HOPS, walk: DataFrame | None = None) -> DataFrame:
@@ -159,13 +203,14 @@ def resolve_producer_link(spans: DataFrame, max_hops: int = MAX_HOPS, walk: Data
     spans: trace_id, span_id, parent_span_id, kind, ts_ms, link_trace_id. At the span: the link of the CONSUMER sibling that
     started last at or before it. Then at each ancestor, nearest first: its own link if it is a CONSUMER, else that of such a
     sibling of the ancestor. A link to the own or an all-zero trace is none. With ``walk`` (which carries link) spans
-    already have the columns of ``producer_nodes``.
+    already have the columns of ``with_producer_nodes``; without it nothing is joined, and spans that are dealt by trace are
+    not shuffled. Ids are taken to be unique within a trace; of repeated ones with several parents one is gone up by.
     """
     if walk is None:
-        spans = spans.join(producer_nodes(spans), ["trace_id", "span_id"], "left")
-        walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id", "link"), max_hops, ("link",))
-    above = walk.filter("link is not null").groupBy("trace_id", "span_id").agg(F.min_by("link", "hop").alias("_above"))
-    out = spans.join(above, ["trace_id", "span_id"], "left")
+        out = _nearest_above(with_producer_nodes(spans), max_hops)
+    else:
+        above = walk.filter("link is not null").groupBy("trace_id", "span_id").agg(F.min_by("link", "hop").alias("_above"))
+        out = spans.join(above, ["trace_id", "span_id"], "left")
     return out.withColumn("producer_trace", F.coalesce("sibling_link", "_above")).drop("sibling_link", "link", "_above")
 
 

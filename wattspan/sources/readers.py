@@ -114,7 +114,7 @@ def convert(raw: DataFrame, grouping_keys: tuple[str, ...] = i.GROUPING_KEYS) ->
     if kept.filter("kind = 'CONSUMER' and link_trace_id is not null").isEmpty():
         kept = kept.withColumns({"sibling_link": F.lit(None).cast("string"), "link": F.lit(None).cast("string")})
     else:
-        kept = kept.join(i.producer_nodes(kept), ["trace_id", "span_id"], "left").persist()
+        kept = i.with_producer_nodes(kept).persist()
     # one walk serves all that spans take from their ancestors
     walk = i.ancestors(kept, carry=("route", "frame", "scope", "code", "statement", "link")).persist()
     merged = i.layered_duplicates(kept, walk=walk)
