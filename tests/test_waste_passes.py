@@ -31,3 +31,10 @@ def test_tiers_of_no_spans(spark):
     n = spans(spark).filter("false")
     got = score.canonical_tiers(n, score.scored_spans(n)).collect()
     assert sorted((r.tier, r.io_ops, r.avoidable, r.ratio, r.avoidable_kwh) for r in got) == [("canonical", 0, 0, 0.0, 0.0), ("operational", 0, 0, 0.0, 0.0)]
+
+
+def test_gates_find_repeats_once(spark):
+    # the findings are written once; what is left of the spans is their number
+    for name in ("gate_after_acknowledgments", "quality_gate"):
+        gate = entry.queries()[name](spark, SF)
+        assert line_scans(gate) == 1 and len(gate.collect()) == 4

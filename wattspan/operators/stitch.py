@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspan.operators.ingest import MAX_HOPS, ancestors
-from wattspan.sources.shared import shared_folder
+from wattspan.sources.shared import written
 
 #: Fixed value: how many donors before a carrier may be taken unused.
 LOOKBACK = 8
@@ -50,12 +50,6 @@ def stitch_parts(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return donors, orphans.select(*_ID, "parent", "ts_ms")
 
 
-def _written(frame: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def related_pairs(members: DataFrame, walk: DataFrame) -> DataFrame:
     """trace_id, span_id, hop, ancestor of members below members, with is_donor and above_donor; never both donors."""
     own = members.select(*_ID, "is_donor")
@@ -147,11 +141,11 @@ def stitch_decisions(spans: DataFrame, walk: DataFrame | None = None, max_hops:
     donors, orphans = stitch_parts(spans)
     nothing = F.lit(None).cast("string").alias("statement")
     whole = donors.withColumn("is_donor", F.lit(True)).unionByName(orphans.withColumns({"target": nothing, "gone": F.lit(False), "is_donor": F.lit(False)}))
-    members = _written(whole.join(orphans.select("trace_id").distinct(), "trace_id", "left_semi"), "stitch")
+    members = written(whole.join(orphans.select("trace_id").distinct(), "trace_id", "left_semi"), "stitch")
     if walk is None:
         asked = members.filter("not is_donor").select("trace_id").distinct()
         walk = ancestors(spans.select("trace_id", "span_id", "parent_span_id").join(asked, "trace_id", "left_semi"), max_hops)
-    pairs = _written(related_pairs(members.filter("not gone"), walk), "stitch-pairs")
+    pairs = written(related_pairs(members.filter("not gone"), walk), "stitch-pairs")
     deferred = deferred_orphans(pairs)
     donors = members.filter("is_donor")
     members = members.filter("not gone").select(*_ID, "parent", "ts_ms", "is_donor").join(deferred.select(*_ID), _ID, "left_anti")
