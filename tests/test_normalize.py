@@ -56,3 +56,10 @@ def test_long_statements_are_cut(spark):
     texts = ["SELECT '" + "é" * 70_000 + "' , 5", "SELECT 'x" + "é" * 70_000 + "' , 5"]  # the second is cut inside a character
     got = spark.createDataFrame([(t,) for t in texts], "s string").select(sql_template(sql_tokens(F.col("s"))).alias("t")).collect()
     assert [r.t for r in got] == ["SELECT ?"] * 2
+
+
+def test_words_and_digits_are_ascii(spark):
+    """Letters and digits of other scripts are no words and no numbers, whatever class the pattern names them by."""
+    rows = spark.createDataFrame([("a = ٣ AND é7 = 4²", "a = ٣ AND é? = ?²", ["7", "4"]), ("x٣9, ſ1_1, K2", "x٣?, ſ?_1, K2", ["9", "1"])], "sql string, want string, params array<string>")
+    got = rows.select("want", "params", sql_template(sql_tokens(F.col("sql"))).alias("t"), sql_params(sql_tokens(F.col("sql"))).alias("p")).collect()
+    assert all((r.t, r.p) == (r.want, r.params) for r in got), got
